@@ -11,24 +11,31 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from symtrail.session import small
+from symtrail.session import cut, small
 
 SALTS = 32
+#: A key with this many left rows is hot; at most rows / HOT_ROWS keys can be.
+HOT_ROWS = 1_000_000
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-           salts: int = SALTS) -> DataFrame:
+           salts: int = SALTS, hot_rows: int | None = None) -> DataFrame:
     """Join many `left` rows to `right` rows that are few per key, whatever the skew of `left`.
 
-    A small right side (counted) is broadcast.  Beyond that the left side is salted and each right
-    row repeated once per salt, which bounds the largest task at 1/salts of the hottest key.
-    """
-    if small(right):
+    A small right side (counted) is broadcast.  Beyond that the hot keys of the left side are
+    counted (a pass over the key columns alone); only their rows are salted, and only their right
+    rows repeated, so the rest of the right side is shuffled once.  The list of hot keys is bounded
+    by rows / HOT_ROWS and may be broadcast."""
+    if hot_rows is None and small(right):
         return left.join(F.broadcast(right), keys, how)
+    counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counted.filter(F.col("_n") >= (hot_rows or HOT_ROWS)).select(*keys, F.lit(True).alias("_hot")))
     # Salt from the row itself, not from rand(): a recomputed task must send its rows the same way.
     hashable = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    spread = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -61,6 +68,13 @@ def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[Col
     return out.drop("_b")
 
 
+def range_buckets(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds `bucket`, a range number along `columns`.  The split is sampled, so it is written down
+    before use: a recomputed bucket could differ."""
+    parts = df.repartitionByRange(*[F.col(c) for c in columns])
+    return cut(parts.withColumn("bucket", F.spark_partition_id()))
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str,
           values: list[str], bucket, strict: bool = False, tie: str | None = None) -> DataFrame:
     """For each left row, the right `values` with the greatest `since` at or before `at`.
