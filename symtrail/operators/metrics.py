@@ -106,5 +106,5 @@ def decisions(counters: DataFrame) -> DataFrame:
 
 
 def answer_cost(tokens_in: Column, tokens_out: Column, packed: Column) -> Column:
-    used = F.coalesce(F.nullif(tokens_in, F.lit(0)), packed)
+    used = F.coalesce(tokens_in, packed)
     return (used * K.LLM_INPUT_RATE + F.coalesce(tokens_out, F.lit(0)) * K.LLM_OUTPUT_RATE) / 1e6
