@@ -16,6 +16,11 @@ LEXEME = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once, also where `body` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode white space on both sides (`trim` removes spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")

@@ -72,10 +72,10 @@ def vlq_encode(fields: Column) -> Column:
     def field(v):
         n = F.abs(v.cast("bigint")) * 2 + F.when(v < 0, 1).otherwise(0)
         digits = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.pmod(
-            F.shiftright(n, i * 5), F.lit(32)).cast("int"))
+            F.floor(n / F.pow(F.lit(32.0), i)), F.lit(32)).cast("int"))
         last = F.aggregate(F.transform(digits, lambda d, i: F.when(d > 0, i).otherwise(0)), F.lit(0),
                            lambda a, x: F.greatest(a, x))
-        return F.array_join(F.transform(F.slice(digits, F.lit(1), last + 1), lambda d, i: F.substring(
+        return F.array_join(F.transform(F.slice(digits, F.lit(1), last + 1), lambda d, i: F.substr(
             F.lit(K.VLQ_ALPHABET), d + 1 + F.when(i < last, 32).otherwise(0), F.lit(1))), "")
 
     return F.array_join(F.transform(fields, field), "")

@@ -75,15 +75,14 @@ def _step(edges: DataFrame, kinds) -> DataFrame:
     return edges.filter(F.col("kind").isin(*kinds)).select("src", "tgt", F.col("kind").alias("rel"))
 
 
-def overridden(entities: DataFrame, edges: DataFrame, hops: int = K.OVERRIDE_HOPS) -> DataFrame:
-    """`question_id, uid, base` for what each entity overrides within `hops` steps."""
-    over = edges.filter("kind = 'OVERRIDES'").select("src", F.col("tgt").alias("next")).distinct()
-    level = entities.select("question_id", "uid", F.col("uid").alias("base"))
-    out = None
-    for _ in range(hops):
-        level = lookup(level, over.withColumnRenamed("src", "base"), ["base"], "inner").select(
-            "question_id", "uid", F.col("next").alias("base")).distinct()
-        out = level if out is None else out.unionByName(level)
+def override_closure(edges: DataFrame, hops: int = K.OVERRIDE_HOPS) -> DataFrame:
+    """`uid, base`: everything a symbol overrides within `hops` steps."""
+    step = edges.filter("kind = 'OVERRIDES'").select(F.col("src").alias("uid"), F.col("tgt").alias("base")).distinct()
+    level = out = step
+    for _ in range(hops - 1):
+        ahead = step.select(F.col("uid").alias("base"), F.col("base").alias("next"))
+        level = level.join(ahead, "base").select("uid", F.col("next").alias("base"))
+        out = out.unionByName(level)
     return out.distinct()
 
 
@@ -96,7 +95,7 @@ def traverse(entities: DataFrame, symbols: DataFrame, edges: DataFrame, rule: st
     none = F.lit("").alias("via")
     if direction == "in_with_dispatch":
         direct = _into(steps, entities).select("question_id", "uid", none)
-        bases = overridden(entities, edges).select("question_id", F.col("base").alias("uid")).distinct()
+        bases = entities.join(override_closure(edges), "uid").select("question_id", F.col("base").alias("uid")).distinct()
         named = bases.join(symbols.select("uid", F.col("qualified_name").alias("via")), "uid")
         found = direct.unionByName(_into(steps, named).select("question_id", "uid", "via"))
         found = found.groupBy("question_id", "uid").agg(F.min("via").alias("via"))
@@ -138,7 +137,7 @@ def impact(entities: DataFrame, symbols: DataFrame, edges: DataFrame, kinds=K.IM
     the entity.  A symbol's parent is the least uid of the level below that reaches it.  The limit
     cuts a level in (path, line, uid) order and ends that question's walk."""
     steps = _step(edges, kinds).select("src", "tgt").distinct()
-    over = edges.filter("kind = 'OVERRIDES'")
+    over = cut(override_closure(edges))
     place = symbols.select("uid", "qualified_name", "rel_path", "start_line")
     start = entities.select("question_id", "uid").distinct().join(place.select("uid", "qualified_name"), "uid")
     frontier = cut(start.select("question_id", "uid", F.array("qualified_name").alias("path")))
@@ -146,8 +145,7 @@ def impact(entities: DataFrame, symbols: DataFrame, edges: DataFrame, kinds=K.IM
     found = None
     for level in range(1, depth + 1):
         ends = frontier.select("question_id", "uid", F.col("uid").alias("parent"))
-        reach = overridden(ends.select("question_id", "uid"), over).select(
-            "question_id", F.col("base").alias("uid"), F.col("uid").alias("parent"))
+        reach = ends.join(over, "uid").select("question_id", F.col("base").alias("uid"), "parent")
         targets = ends.unionByName(reach).distinct()
         next_ = _into(steps, targets).groupBy("question_id", "uid").agg(F.min("parent").alias("parent"))
         next_ = next_.join(seen, ["question_id", "uid"], "left_anti").join(place, "uid")

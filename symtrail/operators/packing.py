@@ -102,40 +102,47 @@ def _statement_starts(lines: Column) -> Column:
     rest = F.filter(F.slice(lines, 2, F.size(lines)), lambda l: ~_blank(l))
     least = F.coalesce(F.array_min(F.transform(rest, _indent)), F.lit(0))
     numbered = F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i")))
-    return F.transform(F.filter(numbered, lambda x: (x["i"] > 0) & ~_blank(x["l"]) & (_indent(x["l"]) == least)),
-                       lambda x: x["i"])
+    return X.let(least, lambda least: F.transform(F.filter(
+        numbered, lambda x: (x["i"] > 0) & ~_blank(x["l"]) & (_indent(x["l"]) == least)), lambda x: x["i"]))
+
+
+def _marked_lines(body: Column) -> Column:
+    """`struct(l, cost, start)` per line: its text, its token cost, whether a statement starts there."""
+    return X.let(F.split(body, "\n"), lambda lines: X.let(
+        F.map_from_entries(F.transform(_statement_starts(lines), lambda i: F.struct(i, F.lit(True)))),
+        lambda starts: F.transform(lines, lambda l, i: F.struct(
+            l.alias("l"), (X.token_count(l) + 1).alias("cost"), F.coalesce(
+                F.try_element_at(starts, i), F.lit(False)).alias("start")))))
 
 
 def overflow_parts(body: Column, header: Column, cap: int = K.CHUNK_OVERFLOW_TOKENS) -> Column:
     """A body over `cap` tokens, cut before top-level statements, the header repeated on each part."""
-    lines = F.split(body, "\n")
     whole = F.concat_ws("\n", header, body)
-    rest = F.filter(F.slice(lines, 2, F.size(lines)), lambda l: ~_blank(l))
-    starts = _statement_starts(lines)
-    head = X.token_count(header) + 1
-    empty = F.array().cast("array<string>")
-    state = F.struct(empty.alias("parts"), empty.alias("current"), head.alias("running"))
+    return F.when(X.token_count(whole) <= cap, F.array(whole)).otherwise(X.let(
+        F.struct(_marked_lines(body).alias("lines"), (X.token_count(header) + 1).alias("head")),
+        lambda v: F.transform(_cut_lines(v["lines"], v["head"], cap), lambda p: F.concat_ws("\n", header, p))))
+
+
+def _cut_lines(lines: Column, head: Column, cap: int) -> Column:
+    """Part texts: first the line ranges (a fold over costs), then one slice per range."""
+    ints = F.array().cast("array<int>")
+    state = F.struct(ints.alias("cuts"), F.lit(0).alias("i"), F.lit(0).alias("held"), head.alias("running"))
 
     def step(acc, x):
-        cost = X.token_count(x["l"]) + 1
-        split_here = (acc["running"] + cost > cap) & (F.size(acc["current"]) > 0) & F.array_contains(starts, x["i"])
-        done = F.concat(acc["parts"], F.array(F.array_join(acc["current"], "\n")))
-        return F.when(split_here, F.struct(done.alias("parts"), F.array(x["l"]).alias("current"),
-                                           (head + cost).alias("running"))).otherwise(
-            F.struct(acc["parts"].alias("parts"), F.concat(acc["current"], F.array(x["l"])).alias("current"),
-                     (acc["running"] + cost).alias("running")))
+        split_here = (acc["running"] + x["cost"] > cap) & (acc["held"] > 0) & x["start"]
+        return F.struct(
+            F.when(split_here, F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"]).alias("cuts"),
+            (acc["i"] + 1).alias("i"), F.when(split_here, 1).otherwise(acc["held"] + 1).alias("held"),
+            F.when(split_here, head + x["cost"]).otherwise(acc["running"] + x["cost"]).cast("int").alias("running"))
 
-    numbered = F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i")))
-    parts = F.aggregate(numbered, state, step, lambda acc: F.concat(
-        acc["parts"], F.array(F.array_join(acc["current"], "\n"))))
-    one = (X.token_count(whole) <= cap) | (F.size(rest) == 0)
-    return F.when(one, F.array(whole)).otherwise(F.transform(parts, lambda p: F.concat_ws("\n", header, p)))
+    bounds = F.aggregate(lines, state, step, lambda acc: F.concat(F.array(F.lit(0)), acc["cuts"], F.array(F.size(lines))))
+    return X.let(bounds, lambda b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda lo, k: F.array_join(F.transform(
+        F.slice(lines, lo + 1, F.get(b, k + 1) - lo), lambda x: x["l"]), "\n")))
 
 
 def truncated(header: Column, body: Column, language: Column, budget: int) -> Column:
     """A body cut at a statement start within `budget`, with a marker saying how much is shown."""
-    lines = F.split(body, "\n")
-    total = F.size(lines)
+    total = F.size(F.split(body, "\n"))
     script = language == "typescript"
 
     def marker(count):
@@ -143,19 +150,25 @@ def truncated(header: Column, body: Column, language: Column, budget: int) -> Co
         ts = F.format_string(K.TS_TRUNCATION.replace("{shown}", "%s").replace("{total}", "%s"), count, total)
         return F.when(script, ts).otherwise(python)
 
-    room = F.lit(budget) - (X.token_count(header) + 1) - (X.token_count(marker(total)) + 1)
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept"), F.lit(False).alias("stop"))
 
-    def step(acc, line):
-        cost = X.token_count(line) + 1
-        full = acc["stop"] | (acc["used"] + cost > room)
-        return F.struct(F.when(full, acc["used"]).otherwise(acc["used"] + cost).alias("used"),
-                        F.when(full, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"), full.alias("stop"))
+    def fitting(v):
+        def step(acc, x):
+            full = acc["stop"] | (acc["used"] + x["cost"] > v["room"])
+            return F.struct(F.when(full, acc["used"]).otherwise(acc["used"] + x["cost"]).cast("int").alias("used"),
+                            F.when(full, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"), full.alias("stop"))
+
+        return F.aggregate(v["lines"], start, step, lambda acc: acc["kept"])
 
-    fits = F.aggregate(lines, start, step, lambda acc: acc["kept"])
-    back = F.coalesce(F.array_max(F.filter(_statement_starts(lines), lambda i: i <= fits)), F.lit(0))
-    kept = F.greatest(F.lit(1), F.when(fits >= total, total).otherwise(back))
-    return F.concat_ws("\n", header, F.array_join(F.slice(lines, F.lit(1), kept), "\n"), marker(kept))
+    def kept(v, fits):
+        starts = F.filter(F.transform(v["lines"], lambda x, i: F.when(x["start"] & (i <= fits), i)), lambda i: i.isNotNull())
+        back = F.coalesce(F.array_max(starts), F.lit(0))
+        return F.greatest(F.lit(1), F.when(fits >= total, total).otherwise(back))
+
+    room = F.lit(budget) - (X.token_count(header) + 1) - (X.token_count(marker(total)) + 1)
+    ready = F.struct(_marked_lines(body).alias("lines"), room.alias("room"))
+    return X.let(ready, lambda v: X.let(fitting(v), lambda fits: X.let(kept(v, fits), lambda n: F.concat_ws(
+        "\n", header, F.array_join(F.transform(F.slice(v["lines"], F.lit(1), n), lambda x: x["l"]), "\n"), marker(n)))))
 
 
 # -- the packer ---------------------------------------------------------------------------------------------
@@ -231,7 +244,7 @@ def pack(blocks: DataFrame, available: int = K.AVAILABLE, seed_share: float = K.
         F.sort_array(F.collect_list(F.when(F.col("role") == "seed", costs))).alias("seeds"),
         F.sort_array(F.collect_list(F.when(F.col("role") != "seed", costs))).alias("stubs"))
     folded = listed.withColumn("s", _fold_seeds(F.col("seeds"), seed_cap, per_seed)).withColumn(
-        "t", _fold_stubs(F.col("stubs"), F.col("s.out"), available - seed_cap))
+        "t", X.let(F.col("s.out"), lambda held: _fold_stubs(F.col("stubs"), held, available - seed_cap)))
     every = F.concat("s.out", "t.out")
     kept = F.filter(every, lambda b: b["level"] != "dropped")
     gone = F.filter(every, lambda b: b["level"] == "dropped")

@@ -14,12 +14,12 @@ _WITH = "WITH " + D.SQL
 
 @query("graph_symbols", _WITH + "SELECT uid, kind, name, qualified_name, rel_path, start_line FROM sym")
 def graph_symbols(spark, sf):
-    return D.symbols(spark, sf).drop("repo_id")
+    return D.build_symbols(spark, sf).drop("repo_id")
 
 
 @query("graph_edges", _WITH + "SELECT src, tgt, kind, origin_path FROM edge")
 def graph_edges(spark, sf):
-    return D.edges(spark, sf).drop("repo_id").dropDuplicates(["src", "kind", "origin_path", "tgt"])
+    return D.build_edges(spark, sf).drop("repo_id").dropDuplicates(["src", "kind", "origin_path", "tgt"])
 
 
 @query("graph_degree", _WITH + "SELECT uid, CAST(degree AS BIGINT) degree FROM deg")
@@ -200,7 +200,6 @@ def neighbourhood_expansion(spark, sf):
     """Each customer's eight dearest orders as seeds, expanded one hop."""
     from pyspark.sql import Window as W
     symbols, edges = D.symbols(spark, sf), D.edges(spark, sf)
-    symbols = symbols.join(G.degrees(symbols, edges), "uid")
     order = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     seeds = table(spark, sf, "orders").withColumn("rn", F.row_number().over(order)).filter("rn <= 8").select(
         F.concat(F.lit("C:"), "o_custkey").alias("question_id"), F.concat(F.lit("O:"), "o_orderkey").alias("uid"))

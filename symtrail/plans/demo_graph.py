@@ -8,18 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from symtrail.operators import graph as G
+from symtrail.session import stored, table_schema
+
 REPO = "shop"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(table_schema(spark, path)).parquet(path)
 
 
 def _uid(prefix: str, key: str):
     return F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string"))
 
 
-def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`uid, repo_id, kind, name, qualified_name, rel_path, start_line`."""
     def nodes(name, prefix, key, kind, label, owner, path):
         leaf = F.concat(F.lit(label), F.col(key).cast("string"))
@@ -40,7 +44,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(nodes("orders", "O", "o_orderkey", "function", "order", customer, py(customer))))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`repo_id, src, tgt, kind, origin_path`, distinct by key; every end exists."""
     def links(df, src, tgt, kind, path):
         return df.select(F.lit(REPO).alias("repo_id"), src.alias("src"), tgt.alias("tgt"), F.lit(kind).alias("kind"), path.alias("origin_path"))
@@ -63,6 +67,20 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(links(over, _uid("P", "p_partkey"), _uid("P", "base"), "OVERRIDES", F.concat("p_brand", F.lit(".py")))))
 
 
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbol table with degrees, written once and scanned by every query."""
+    def build():
+        plain = build_symbols(spark, sf_dir)
+        return plain.join(G.degrees(plain, edges(spark, sf_dir)), "uid")
+
+    return stored(spark, f"demo symbols {sf_dir}", build)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge table, partitioned by kind so that a traversal reads only the kinds it follows."""
+    return stored(spark, f"demo edges {sf_dir}", lambda: build_edges(spark, sf_dir), ("kind",))
+
+
 #: The same two tables for the reference SQL.
 SQL = """
 sym AS (

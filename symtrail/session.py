@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -41,6 +42,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: dict[tuple, object] = {}
+
+
+def table_schema(spark: SparkSession, path: str):
+    """The schema of a parquet table, read from its footers once per session."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _written:
+        _written[key] = spark.read.parquet(path).schema
+    return _written[key]
+
+
+def stored(spark: SparkSession, name: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """A derived table, written once per application to the shared folder and read from there.
+
+    Later plans scan parquet (pruned columns, partitions and filters) instead of deriving it again."""
+    app = spark.sparkContext.applicationId
+    digest = hashlib.sha1(name.encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/symtrail-tables/{app}/{digest}"
+    key = (app, path)
+    if key not in _written:
+        df = build()
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        _written[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_written[key]).parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether `df` holds at most `limit` rows; reads no more than `limit + 1` of them."""
     return df.limit(limit + 1).count() <= limit

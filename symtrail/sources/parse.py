@@ -17,7 +17,7 @@ _BOUND = pa.struct([("name", pa.string()), ("base", pa.string()), ("local", pa.i
                     ("imported", pa.string())])
 _DEF = pa.struct([
     ("path", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("arity", pa.int32()),
-    ("ordinal", pa.int32()), ("signature", pa.string()), ("docstring", pa.string()),
+    ("ordinal", pa.int32()), ("parent", pa.int32()), ("signature", pa.string()), ("docstring", pa.string()),
     ("source", pa.string()), ("enclosing", pa.string()), ("names", pa.list_(pa.string())),
     ("decorators", pa.list_(pa.string())), ("attributes", pa.list_(_BOUND)),
     ("start_line", pa.int32()), ("end_line", pa.int32())])
@@ -27,15 +27,15 @@ _REF = pa.struct([
 _IMPORT = pa.struct([("module", pa.string()), ("name", pa.string())])
 _FACTS = pa.schema([
     ("repo_id", pa.string()), ("rel_path", pa.string()), ("text", pa.string()),
-    ("imports", pa.map_(pa.string(), _IMPORT)), ("defs", pa.list_(_DEF)), ("refs", pa.list_(_REF)),
+    ("script", pa.bool_()), ("module", pa.string()), ("package", pa.string()), ("imports", pa.map_(pa.string(), _IMPORT)), ("defs", pa.list_(_DEF)), ("refs", pa.list_(_REF)),
     ("docstring", pa.string()), ("client", pa.bool_()), ("end_line", pa.int32())])
 
-_DEF_DDL = ("path:string,name:string,kind:string,arity:int,ordinal:int,signature:string,docstring:string,"
+_DEF_DDL = ("path:string,name:string,kind:string,arity:int,ordinal:int,parent:int,signature:string,docstring:string,"
             "source:string,enclosing:string,names:array<string>,decorators:array<string>,"
             "attributes:array<struct<name:string,base:string,local:int,imported:string>>,"
             "start_line:int,end_line:int")
 FACTS_DDL = (
-    "repo_id string, rel_path string, text string, imports map<string,struct<module:string,name:string>>, "
+    "repo_id string, rel_path string, text string, script boolean, module string, package string, imports map<string,struct<module:string,name:string>>, "
     f"defs array<struct<{_DEF_DDL}>>, refs array<struct<owner:int,kind:string,mode:string,member:string,"
     "base:string,local:int,imported:string>>, docstring string, client boolean, end_line int")
 
@@ -56,13 +56,13 @@ def _extract(batches):
 def facts(files: DataFrame) -> DataFrame:
     """One row per parseable source file with what its syntax says."""
     wanted = files.filter(F.col("rel_path").rlike(r"\.(py|pyi|ts|tsx|mts|cts)$"))
-    texts = wanted.select("repo_id", P.checked(F.col("rel_path")).alias("rel_path"),
-                          F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    read = texts.mapInArrow(_extract, FACTS_DDL)
     script = F.col("rel_path").rlike(K.TS_LIKE_PATH)
-    module = P.module_name(F.col("rel_path"))
-    return read.withColumn("script", script).withColumn("module", module)\
-        .withColumn("package", F.when(script, F.lit("")).otherwise(P.py_package(F.col("rel_path"))))
+    # Names derived from the path go through the parser stage, so later lambdas read them as columns.
+    texts = wanted.select("repo_id", P.checked(F.col("rel_path")).alias("rel_path"),
+                          F.make_valid_utf8(F.col("content").cast("string")).alias("text")).select(
+        "*", script.alias("script"), P.module_name(F.col("rel_path")).alias("module"),
+        F.when(script, F.lit("")).otherwise(P.py_package(F.col("rel_path"))).alias("package"))
+    return texts.mapInArrow(_extract, FACTS_DDL)
 
 
 def file_rows(files: DataFrame) -> DataFrame:
@@ -104,6 +104,7 @@ def symbols(parsed: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(imports)).alias("used_imports"),
         F.array().cast("array<string>").alias("decorators"), F.array().cast("array<string>").alias("bases"),
         F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("attributes"),
+        F.transform(F.filter("defs", lambda d: d["parent"] == -1), lambda d: d["signature"]).alias("members"),
         F.lit(1).alias("start_line"), F.col("end_line"))
 
     def definition(d, i):
@@ -118,7 +119,9 @@ def symbols(parsed: DataFrame) -> DataFrame:
                         d["docstring"].alias("docstring"), d["source"].alias("source"),
                         d["enclosing"].alias("enclosing"), used.alias("used_imports"),
                         d["decorators"].alias("decorators"), bases.alias("bases"),
-                        attributes.alias("attributes"), d["start_line"].alias("start_line"),
+                        attributes.alias("attributes"), F.transform(F.filter(
+                            F.col("defs"), lambda m: m["parent"] == i), lambda m: m["signature"]).alias("members"),
+                        d["start_line"].alias("start_line"),
                         d["end_line"].alias("end_line"))
 
     every = F.concat(F.array(script_module), F.transform("defs", definition))
@@ -133,6 +136,7 @@ def symbols(parsed: DataFrame) -> DataFrame:
         F.col("d.source").alias("source_code"), F.col("d.enclosing").alias("enclosing_signature"),
         F.col("d.used_imports").alias("used_imports"), F.col("d.decorators").alias("decorators"),
         F.col("d.bases").alias("bases"), F.col("d.attributes").alias("attributes"),
+        F.col("d.members").alias("members"),
         F.col("d.start_line").alias("start_line"), F.col("d.end_line").alias("end_line"),
         F.col("client").alias("is_client_component"))
     return out.withColumn("uid", X.symbol_uid(*[F.col(c) for c in (
@@ -155,14 +159,8 @@ def raw_edges(parsed: DataFrame) -> DataFrame:
         return F.struct(source.alias("source_uid"), kind.alias("kind"), target.alias("target_uid"),
                         hint.alias("target_hint"), mode.alias("mode"))
 
-    last = F.map_from_entries(F.array_distinct(F.transform(
-        F.col("defs"), lambda d: F.struct(d["path"], F.array_max(F.transform(
-            F.filter(F.transform(F.col("defs"), lambda o, j: F.struct(o["path"].alias("p"), j.alias("j"))),
-                     lambda o: o["p"] == d["path"]), lambda o: o["j"]))))))
     defines = F.transform("defs", lambda d: edge(
-        uid_at(F.when(d["path"].contains("."), F.coalesce(
-            F.try_element_at(F.col("_last"), P.owner(d["path"])), F.lit(-2))).otherwise(F.lit(-1))),
-        F.lit("DEFINES"), uid(_qualified(d["path"]), d["arity"], d["ordinal"])))
+        uid_at(d["parent"]), F.lit("DEFINES"), uid(_qualified(d["path"]), d["arity"], d["ordinal"])))
     imports = F.transform(
         F.array_distinct(F.transform(F.map_values("imports"), lambda e: _import_target(e, True))),
         lambda t: edge(uid_at(F.lit(-1)), F.lit("IMPORTS"), none, t))
@@ -182,7 +180,7 @@ def raw_edges(parsed: DataFrame) -> DataFrame:
     router = F.when(F.col("script") & routed.isNotNull(), F.transform(
         F.filter("defs", lambda d: d["kind"] == "function"),
         lambda d: edge(uid_at(F.lit(-1)), routed, uid(_qualified(d["path"]), d["arity"], d["ordinal"]))))
-    rows = parsed.withColumn("_last", last).withColumn("_router", router).select(
+    rows = parsed.withColumn("_router", router).select(
         "repo_id", F.col("rel_path").alias("origin_path"),
         F.explode(F.concat(defines, imports, refs, F.coalesce("_router", F.array().cast(
             "array<struct<source_uid:string,kind:string,target_uid:string,target_hint:string,mode:string>>"
