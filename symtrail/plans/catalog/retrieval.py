@@ -224,34 +224,36 @@ _LEX = r"""'(?s:"{3}.*?"{3})|(?s:''{3}.*?''{3})|"(?:\\.|[^"\\])*"|''(?:\\.|[^''\
 
 
 def _cost_sql(text):
-    return (f"CAST(list_sum(list_transform(regexp_extract_all({text}, {_LEX}), lambda x: CASE WHEN regexp_full_match(x, '\\s+') "
-            "THEN 1 + length(x) - length(replace(x, chr(10), '')) ELSE CAST(ceil(length(x) / 4.0) AS BIGINT) END)) AS BIGINT)")
+    return (f"CAST(coalesce(list_sum(list_transform(regexp_extract_all({text}, {_LEX}), lambda x: CASE WHEN regexp_full_match(x, '\\s+') "
+            "THEN 1 + length(x) - length(replace(x, chr(10), '')) ELSE CAST(ceil(length(x) / 4.0) AS BIGINT) END)), 0) AS BIGINT)")
 
 
-_PACK_SQL = f"""WITH RECURSIVE {_BM25}, b AS MATERIALIZED (SELECT item_id AS q, CAST(doc_id AS VARCHAR) AS uid, score, rank <= 8 AS seed,
-    {_cost_sql("concat('# ', source, '/', lang, '.txt :: document ', doc_id, chr(10), text)")} AS full_cost,
-    {_cost_sql("concat_ws(chr(10), concat('# ', source, '/', lang, '.txt :: document ', doc_id), concat('document ', doc_id), CASE WHEN trim(split_part(trim(substr(text, 1, 80), chr(10) || ' '), chr(10), 1)) <> '' THEN concat('    \"\"\"', trim(split_part(trim(substr(text, 1, 80), chr(10) || ' '), chr(10), 1)), '\"\"\"') END)")} AS stub_cost
+_HEADER = "concat('# ', source, '/', lang, '.txt :: document ', doc_id)"
+_FIRST = "trim(split_part(trim(substr(text, 1, 80), chr(10) || ' '), chr(10), 1))"
+_MARK = "concat('# ⟨truncated: ', {0}, ' of ', len(ls), ' lines shown⟩')"
+_PACK_SQL = f"""WITH RECURSIVE {_BM25}, b AS MATERIALIZED (SELECT item_id AS q, CAST(doc_id AS VARCHAR) AS uid, score, rank <= 8 AS seed, {_HEADER} AS hdr, string_split(text, chr(10)) AS ls,
+    {_cost_sql(f"concat({_HEADER}, chr(10), text)")} AS full_cost,
+    {_cost_sql(f"concat_ws(chr(10), {_HEADER}, concat('document ', doc_id), CASE WHEN {_FIRST} <> '' THEN concat('    ', chr(34), chr(34), chr(34), {_FIRST}, chr(34), chr(34), chr(34)) END)")} AS stub_cost
   FROM ft JOIN documents USING (doc_id) WHERE rank <= 40),
-s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q, seed ORDER BY score DESC, uid) AS i FROM b),
+room AS (SELECT q, uid, hdr, ls, list_transform(ls, lambda l: 1 + {_cost_sql("l")}) AS lc, 1440 - 1 - {_cost_sql("hdr")} - 1 - {_cost_sql(_MARK.format("len(ls)"))} AS room FROM b WHERE seed AND full_cost > 1440),
+fit AS (SELECT *, len(list_filter(range(1, len(ls) + 1), lambda k: list_sum(lc[1:k]) <= room)) AS fits FROM room),
+kept AS (SELECT *, CASE WHEN fits >= len(ls) THEN len(ls) ELSE greatest(1, coalesce(list_max(list_filter(range(1, fits + 1), lambda i: trim(ls[i + 1]) <> '')), 0)) END AS kept FROM fit),
+cut AS MATERIALIZED (SELECT q, uid, {_cost_sql(f"concat(hdr, chr(10), array_to_string(ls[1:kept], chr(10)), chr(10), {_MARK.format('kept')})")} AS cut_cost FROM kept),
+s AS MATERIALIZED (SELECT b.*, coalesce(cut_cost, 0) AS cut_cost, row_number() OVER (PARTITION BY b.q, seed ORDER BY score DESC, b.uid) AS i FROM b LEFT JOIN cut USING (q, uid)),
 seeds AS (SELECT q, 0 AS i, 0::BIGINT AS used, '' AS uid, '' AS level, 0::BIGINT AS cost, 0 AS packed FROM (SELECT DISTINCT q FROM s)
-  UNION ALL SELECT s.q, s.i::INT, used + CASE WHEN full_cost <= 1440 AND used + full_cost <= 3600 THEN full_cost ELSE 0 END, s.uid,
-    CASE WHEN full_cost <= 1440 AND used + full_cost <= 3600 THEN 'full' WHEN packed = 0 THEN 'truncated' ELSE 'dropped' END,
-    CASE WHEN full_cost <= 1440 AND used + full_cost <= 3600 THEN full_cost ELSE 0 END,
-    packed + CASE WHEN full_cost <= 1440 AND used + full_cost <= 3600 OR packed = 0 THEN 1 ELSE 0 END
-  FROM seeds p JOIN s ON s.q = p.q AND s.seed AND s.i = p.i + 1),
+  UNION ALL SELECT q, i, used + cost, uid, level, cost, packed + (level <> 'dropped')::INT FROM (SELECT s.q, s.i::INT AS i, used, s.uid, packed,
+    CASE WHEN full_cost <= 1440 AND used + full_cost <= 3600 THEN 'full' WHEN packed = 0 THEN 'truncated' ELSE 'dropped' END AS level,
+    CASE WHEN full_cost <= 1440 AND used + full_cost <= 3600 THEN full_cost WHEN packed = 0 THEN cut_cost ELSE 0 END AS cost FROM seeds p JOIN s ON s.q = p.q AND s.seed AND s.i = p.i + 1)),
 stubs AS (SELECT q, 0 AS i, 0::BIGINT AS used, '' AS uid, '' AS level, 0::BIGINT AS cost FROM (SELECT DISTINCT q FROM s)
-  UNION ALL SELECT s.q, s.i::INT, used + CASE WHEN used + stub_cost > 2400 THEN 0 ELSE stub_cost END, s.uid, CASE WHEN used + stub_cost > 2400 THEN 'dropped' ELSE 'stub' END,
-    CASE WHEN used + stub_cost > 2400 THEN 0 ELSE stub_cost END FROM stubs p JOIN s ON s.q = p.q AND NOT s.seed AND s.i = p.i + 1)
+  UNION ALL SELECT q, i, used + cost, uid, CASE WHEN over THEN 'dropped' ELSE 'stub' END, cost FROM (SELECT s.q, s.i::INT AS i, used, s.uid, used + stub_cost > 2400 AS over,
+    CASE WHEN used + stub_cost > 2400 THEN 0 ELSE stub_cost END AS cost FROM stubs p JOIN s ON s.q = p.q AND NOT s.seed AND s.i = p.i + 1))
 SELECT q AS question_id, uid, level, cost FROM seeds WHERE i > 0 UNION ALL SELECT q, uid, level, cost FROM stubs WHERE i > 0"""
 
 
 @query("packed_levels", _PACK_SQL)
 def packed_levels(spark, sf):
-    """Levels and costs; the cost of a cut seed is checked by test, so it counts as 0 here.
-
-    Cut seeds spend budget, so questions whose first seed is cut are compared with one unit less."""
-    packed = packing.pack(_blocks(spark, sf), available=6000)
-    return packed.select("question_id", "uid", "level", F.when(F.col("level") == "truncated", 0).otherwise(F.col("cost")).cast("bigint").alias("cost"))
+    """Each block's level and cost in a budget of 6,000 tokens."""
+    return packing.pack(_blocks(spark, sf), available=6000).select("question_id", "uid", "level", F.col("cost").cast("bigint").alias("cost"))
 
 
 @query("packed_context")

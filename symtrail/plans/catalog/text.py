@@ -9,6 +9,7 @@ from symtrail.functions import paths as P, questions as Q, text as X, vectors as
 from symtrail.operators import frames as FR, packing
 from symtrail.plans.catalog import query
 from symtrail.plans.demo_graph import table
+from symtrail.session import stored
 
 
 def _lit_list(words):
@@ -279,8 +280,9 @@ def source_map_positions(spark, sf):
     """Running sums over whole maps, from encoded segments."""
     items = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(
         F.max("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"))
-    encoded = _segments(items).select("map_id", "gen_line", "seg", V.vlq_decode(V.vlq_encode(F.col("deltas"))).alias("fields"))
-    out = FR.map_positions(encoded)
+    encoded = stored(spark, f"mapping segments {sf}", lambda: _segments(items).select(
+        "map_id", "gen_line", "seg", V.vlq_encode(F.col("deltas")).alias("segment")))
+    out = FR.map_positions(encoded.select("map_id", "gen_line", "seg", V.vlq_decode(F.col("segment")).alias("fields")))
     return out.select("map_id", "gen_line", "seg", *[F.col(c).cast("bigint").alias(c) for c in ("gen_column", "source", "line", "column")])
 
 
