@@ -71,7 +71,7 @@ def vlq_encode(fields: Column) -> Column:
     """The inverse of `vlq_decode` (used to derive mapping tables from integer columns)."""
     def field(v):
         n = F.abs(v.cast("bigint")) * 2 + F.when(v < 0, 1).otherwise(0)
-        digits = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.pmod(
+        digits = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.pmod(
             F.floor(n / F.pow(F.lit(32.0), i)), F.lit(32)).cast("int"))
         last = F.aggregate(F.transform(digits, lambda d, i: F.when(d > 0, i).otherwise(0)), F.lit(0),
                            lambda a, x: F.greatest(a, x))

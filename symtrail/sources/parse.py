@@ -125,10 +125,10 @@ def symbols(parsed: DataFrame) -> DataFrame:
                         d["end_line"].alias("end_line"))
 
     every = F.concat(F.array(script_module), F.transform("defs", definition))
-    rows = parsed.select("repo_id", "rel_path", "module", "client", F.explode(every).alias("d"))
+    rows = parsed.select("repo_id", "rel_path", "module", "client", F.posexplode(every).alias("seq", "d"))
     qname = F.when(F.col("d.path") == "", F.col("module")).otherwise(_qualified(F.col("d.path")))
     out = rows.select(
-        "repo_id", "rel_path", F.col("rel_path").alias("origin_path"), qname.alias("qualified_name"),
+        "repo_id", "rel_path", "seq", F.col("rel_path").alias("origin_path"), qname.alias("qualified_name"),
         F.when((F.col("d.path") == "") & (F.col("module") == ""), F.col("rel_path"))
         .otherwise(P.leaf(qname)).alias("name"),
         F.col("d.arity").alias("arity"), F.col("d.ordinal").alias("ordinal"), F.col("d.kind").alias("kind"),
