@@ -19,7 +19,7 @@ def quiet_periods(events: DataFrame, keys: list[str], ts: str, gap_seconds: floa
     marks = events.select(*keys, F.col(ts).alias("_ts")).distinct()
     before = as_of(marks, marks, keys, "_ts", "_ts", [], bucket, strict=True)
     silent = F.col("matched_at").isNull() | (
-        F.col("_ts").cast("double") - F.col("matched_at").cast("double") > gap_seconds)
+        F.col("_ts") - F.col("matched_at") > F.make_dt_interval(secs=F.lit(gap_seconds)))
     starts = before.filter(silent).select(*keys, "_ts")
     out = as_of(events, starts, keys, ts, "_ts", [], bucket)
     return out.withColumnRenamed("matched_at", "flush_start")

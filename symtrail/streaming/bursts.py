@@ -26,7 +26,11 @@ def run_once(spark: SparkSession, path: str, key: str, ts: str, gap: str, late:
     reader = spark.readStream.schema(table_schema(spark, path))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    out = bursts(reader.parquet(path), key, ts, gap, late)
+    folder, _, name = path.rpartition("/")
+    events = reader.option("pathGlobFilter", name).parquet(folder)
+    kind = events.schema[ts].dataType           # windows need zoned time; the result gets the type back
+    out = bursts(events.withColumn(ts, F.col(ts).cast("timestamp")), key, ts, gap, late)
+    out = out.withColumn("flush_start", F.col("flush_start").cast(kind))
     stream = (out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
               .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     stream.awaitTermination()
