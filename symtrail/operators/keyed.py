@@ -19,14 +19,15 @@ HOT_ROWS = 1_000_000
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-           salts: int = SALTS, hot_rows: int | None = None) -> DataFrame:
+           salts: int = SALTS, hot_rows: int | None = None, bound: DataFrame | None = None) -> DataFrame:
     """Join many `left` rows to `right` rows that are few per key, whatever the skew of `left`.
 
     A small right side (counted) is broadcast.  Beyond that the hot keys of the left side are
     counted (a pass over the key columns alone); only their rows are salted, and only their right
     rows repeated, so the rest of the right side is shuffled once.  The list of hot keys is bounded
-    by rows / HOT_ROWS and may be broadcast."""
-    if hot_rows is None and small(right):
+    by rows / HOT_ROWS and may be broadcast.  `bound` is a cheaper DataFrame known to have at least as
+    many rows as `right`; it is counted in its place."""
+    if hot_rows is None and small(right if bound is None else bound):
         return left.join(F.broadcast(right), keys, how)
     counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(counted.filter(F.col("_n") >= (hot_rows or HOT_ROWS)).select(*keys, F.lit(True).alias("_hot")))

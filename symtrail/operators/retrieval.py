@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from symtrail import constants as K
 from symtrail.functions import text as X
 from symtrail.operators.keyed import lookup
-from symtrail.session import small
+from symtrail.session import cut, small
 
 #: Query vectors held by a task at once; a larger batch is answered in several scans.
 QUERY_BLOCK = 4096
@@ -40,13 +40,14 @@ def bm25(documents: DataFrame, questions: DataFrame, k: int = K.ARM_K, text: str
     before anything is counted or shuffled; the final ranking prunes inside each task.  Statistics
     are global; with `tenant`, only rows of the question's own tenant are ranked."""
     columns = ["uid"] + ([tenant] if tenant else [])
-    asked = query_terms(questions)
+    asked = cut(query_terms(questions))
     vocabulary = asked.select("term").distinct()
     words = documents.select(*columns, X.analyzed_words(F.col(text)).alias("words")).withColumn("dl", F.size("words"))
     totals = words.agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
     exploded = words.select(*columns, "dl", F.explode("words").alias("term"))
-    kept = lookup(exploded, vocabulary, ["term"], "inner")
-    counts = kept.groupBy(*columns, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    kept = lookup(exploded, vocabulary, ["term"], "inner", bound=asked)
+    # The postings of the vocabulary are read twice (frequencies, scores); texts are tokenized once.
+    counts = cut(kept.groupBy(*columns, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -57,7 +58,7 @@ def bm25(documents: DataFrame, questions: DataFrame, k: int = K.ARM_K, text: str
         keys.append(tenant)
     saturation = F.col("tf") * (K.BM25_K1 + 1) / (
         F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avgdl))
-    pairs = lookup(counts, weighted, keys, "inner").groupBy("question_id", "uid").agg(
+    pairs = lookup(counts, weighted, keys, "inner", bound=asked).groupBy("question_id", "uid").agg(
         F.round(F.sum(F.col("w") * saturation), 9).alias("score"))
     return ranked(pairs, k)
 

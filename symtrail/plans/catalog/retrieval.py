@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from symtrail.operators import metrics as ME, packing, retrieval as R
 from symtrail.plans.catalog import query
-from symtrail.plans.demo_graph import table
+from symtrail.plans.demo_graph import table, texts
 from symtrail.session import stored
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("search_text"), "text", "source", "lang")
+    return texts(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("uid"), F.col("text").alias("search_text"), "text", "source", "lang")
 
 
 def _asked(spark, sf):

@@ -8,7 +8,7 @@ from symtrail import constants as K
 from symtrail.functions import paths as P, questions as Q, text as X, vectors as V
 from symtrail.operators import frames as FR, packing
 from symtrail.plans.catalog import query
-from symtrail.plans.demo_graph import table
+from symtrail.plans.demo_graph import table, texts
 from symtrail.session import stored
 
 
@@ -20,14 +20,14 @@ def _lit_list(words):
 
 @query("content_hash", "SELECT doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS content_hash FROM documents")
 def content_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query("body_hash", r"""
 SELECT doc_id, substr(sha256(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t\r\f\v]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g')), 1, 20) AS body_hash
 FROM documents""")
 def body_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.body_hash(F.col("text")).alias("body_hash"))
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", X.body_hash(F.col("text")).alias("body_hash"))
 
 
 @query("symbol_uid", """
@@ -97,7 +97,7 @@ SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text,
   lambda x: CASE WHEN regexp_full_match(x, '\s+') THEN 1 + length(x) - length(replace(x, chr(10), '')) ELSE CAST(ceil(length(x) / 4.0) AS BIGINT) END)), 0) AS BIGINT) AS tokens
 FROM documents""")
 def token_count(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.token_count(F.col("text")).cast("bigint").alias("tokens"))
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", X.token_count(F.col("text")).cast("bigint").alias("tokens"))
 
 
 # -- redaction -------------------------------------------------------------------------------------
@@ -109,7 +109,7 @@ SELECT doc_id, sha256(regexp_replace(regexp_replace(text,
   text LIKE '%token = "%' AS has_token FROM documents""")
 def redaction(spark, sf):
     """Every rule over whole documents; the text itself is compared by hash."""
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id").select(
         "doc_id", F.sha2(X.scrub(F.col("text")).cast("binary"), 256).alias("text_hash"), F.col("text").like('%token = "%').alias("has_token"))
 
 
@@ -331,7 +331,7 @@ def git_renames(spark, sf):
                         .when(byte(h).isin(34, 92), F.concat(F.lit("\\"), F.char(byte(h)))).otherwise(F.char(byte(h))))
     quoted = F.concat(F.lit('"'), F.array_join(F.transform(pairs, escape), ""), F.lit('"'))
     status = F.when(F.col("doc_id") % 4 == 3, "?? ").when(F.col("doc_id") % 2 == 0, "R  ").otherwise("RM ")
-    lines = table(spark, sf, "documents").select("doc_id", F.concat(status, quoted, F.lit(" -> moved/"), "doc_id", F.lit(".md")).alias("value"))
+    lines = texts(spark, sf, "documents", "doc_id").select("doc_id", F.concat(status, quoted, F.lit(" -> moved/"), "doc_id", F.lit(".md")).alias("value"))
     return lines.select("doc_id", P.git_rename(F.col("value")).alias("m")).filter("m is not null").select("doc_id", F.col("m.old").alias("old_path"), F.col("m.new").alias("new_path"))
 
 
@@ -342,7 +342,7 @@ WITH h AS (SELECT doc_id, list_transform(range(0, 64), lambda i: CAST(('0x' || s
 SELECT doc_id, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last FROM (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM h)""")
 def hash_embedding(spark, sf):
     vector = V.hash_embedding(F.col("text"), 64)
-    return table(spark, sf, "documents").select("doc_id", vector.alias("v")).select(
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", vector.alias("v")).select(
         "doc_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
 
 
@@ -369,5 +369,5 @@ def context_headers(spark, sf):
 def overflow_parts(spark, sf):
     """Documents cut at line starts into parts of at most 1,200 tokens where lines allow it."""
     parts = packing.overflow_parts(F.col("text"), F.concat(F.lit("# "), "source"))
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(parts).alias("part", "text")).select(
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", F.posexplode(parts).alias("part", "text")).select(
         "doc_id", "part", X.token_count(F.col("text")).alias("tokens"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symtrail.operators import graph as G
-from symtrail.session import stored, table_schema
+from symtrail.session import spread, stored, table_schema
 
 REPO = "shop"
 
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(table_schema(spark, path)).parquet(path)
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A text table spread over the cores: what follows is heavy per row."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def _uid(prefix: str, key: str):
     return F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string"))
 

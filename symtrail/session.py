@@ -68,6 +68,15 @@ def stored(spark: SparkSession, name: str, build, partition_by: tuple[str, ...]
     return spark.read.schema(_written[key]).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, hashed by `keys` over all cores.
+
+    For work that is heavy per row (parsing, tokenizing).  A scan that already has a split per core
+    is left alone, so on large inputs this adds no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether `df` holds at most `limit` rows; reads no more than `limit + 1` of them."""
     return df.limit(limit + 1).count() <= limit
