@@ -87,6 +87,12 @@ def owner(qname: Column) -> Column:
     return F.regexp_replace(qname, r"\.[^.]*$", "")
 
 
+def dotted_suffixes(qname: Column) -> Column:
+    """`a.b.c` to `[a.b.c, b.c, c]`: every written name the qualified name answers to."""
+    parts = F.split(qname, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
 def is_library(path: Column) -> Column:
     return F.coalesce(F.lower(F.translate(path, "\\", "/")).rlike(K.LIBRARY_PATH), F.lit(False))
 

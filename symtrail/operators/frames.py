@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from symtrail import constants as K
 from symtrail.functions import paths as P, questions as Q, vectors as V
-from symtrail.operators.keyed import as_of, innermost, lookup, running_sums
+from symtrail.operators.keyed import answering_to, as_of, innermost, lookup, running_sums
 
 #: Segments of one mapping summed by one task at a time.
 SEGMENT_BUCKET = 4096
@@ -113,12 +113,9 @@ def by_name(frames: DataFrame, symbols: DataFrame) -> DataFrame:
     Distinct names are looked up, and counted per name, so a name many files share stays one row."""
     bare = Q.bare_function(F.col("fn_name"))
     asked = frames.withColumn("_fn", bare)
-    names = asked.select("repo_id", "_fn").filter("_fn is not null").distinct().withColumn("name", P.leaf(F.col("_fn")))\
-        .filter(~Q.is_mangled(F.col("name")))
+    names = asked.select("repo_id", "_fn").filter("_fn is not null").distinct().filter(~Q.is_mangled(P.leaf(F.col("_fn"))))
     code = symbols.filter("kind <> 'module'").select("repo_id", "uid", "name", "qualified_name")
-    fits = (~F.col("_fn").contains(".")) | (F.col("qualified_name") == F.col("_fn")) \
-        | F.col("qualified_name").endswith(F.concat(F.lit("."), F.col("_fn")))
-    counts = code.join(names, ["repo_id", "name"]).filter(fits).groupBy("repo_id", "_fn").agg(
+    counts = answering_to(code, names, ["repo_id"], "_fn").groupBy("repo_id", "_fn").agg(
         F.count(F.lit(1)).alias("n_named"), F.min("uid").alias("named_uid"))
     return lookup(asked, counts, ["repo_id", "_fn"]).drop("_fn").withColumn("n_named", F.coalesce("n_named", F.lit(0)))
 

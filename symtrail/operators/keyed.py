@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from symtrail.functions import paths as P
 from symtrail.session import cut, small
 
 SALTS = 32
@@ -155,5 +156,18 @@ def _aligned_cells(bits: int) -> Column:
         at(k), lambda n: F.struct(k.alias("k"), n.alias("n")))))
 
 
+def answering_to(symbols: DataFrame, wanted: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Symbols with each wanted written name they answer to (exact, leaf, or dotted suffix).
+
+    `wanted(*keys, name)` is made distinct.  Symbols are cut to those with a wanted leaf, then their
+    suffixes are matched by equality: names that share a common leaf are never paired with every
+    symbol of that leaf."""
+    names = wanted.select(*keys, name).distinct()
+    leafs = names.select(*keys, P.leaf(F.col(name)).alias("name")).distinct()
+    near = lookup(symbols, leafs, [*keys, "name"], "inner")
+    rows = near.withColumn(name, F.explode(P.dotted_suffixes(F.col("qualified_name"))))
+    return lookup(rows, names, [*keys, name], "inner")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
