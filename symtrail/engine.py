@@ -138,10 +138,10 @@ class CodeGraph:
     # -- asking --------------------------------------------------------------------------------------
 
     def ask(self, questions: DataFrame, root: str | None = None, query_vectors: DataFrame | None = None,
-            available: int = K.AVAILABLE) -> "Answered":
+            available: int = K.AVAILABLE, maps: DataFrame | None = None) -> "Answered":
         """Route, retrieve and pack a batch `question_id, repo_id, query`."""
         graph = self.store.read()
-        return ask(graph, questions, root, query_vectors, available)
+        return ask(graph, questions, root, query_vectors, available, maps)
 
 
 @dataclass
@@ -155,7 +155,8 @@ class Answered:
 
 
 def ask(graph: Graph, questions: DataFrame, root: str | None = None, query_vectors: DataFrame | None = None,
-        available: int = K.AVAILABLE) -> Answered:
+        available: int = K.AVAILABLE, maps: DataFrame | None = None) -> Answered:
+    """See `CodeGraph.ask`.  `maps` are source maps (`sources.tree.source_maps`) for compiled frames."""
     symbols, edges = graph.symbols, graph.edges
     routed = cut(questions.select("question_id", "repo_id", "query", Q.route(F.col("query")).alias("r")).select(
         "question_id", "repo_id", "query", "r.*"))
@@ -191,7 +192,8 @@ def ask(graph: Graph, questions: DataFrame, root: str | None = None, query_vecto
     # Traces: frames through the tiers; what stays open is searched by message and names.
     traces = routed.filter("query_class = 'TRACE'")
     raw = FR.frames_of(traces).join(traces.select("question_id", "repo_id"), "question_id")
-    frames = cut(FR.resolve(raw, symbols, graph.files.select("repo_id", "rel_path"), root))
+    positions = cut(FR.map_positions(FR.map_segments(maps))) if maps is not None else None
+    frames = cut(FR.resolve(raw, symbols, graph.files.select("repo_id", "rel_path"), root, maps, positions))
     leads = cut(FR.trace_seeds(frames))
     fallback = FR.fallback_query(traces, frames).filter("query <> ''")
 

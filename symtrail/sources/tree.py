@@ -49,7 +49,11 @@ def source_maps(spark: SparkSession, root: str, repo_id: str, files: DataFrame |
     """`repo_id, map_id, map_path, mappings, sources, source_root, stale` of the version-3 maps under a root.
 
     `stale` lists the sources whose embedded text differs from `files` (or is gone from it)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.map").load(root)
+    # File listings skip folders that start with a dot, so the build folder is named as a root itself.
+    build = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.next")
+    exists = build.getFileSystem(spark._jsc.hadoopConfiguration()).exists(build)
+    roots = [root, build.toString()] if exists else [root]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.map").load(roots)
     shape = "mappings string, sources array<string>, sourceRoot string, sourcesContent array<string>, sections array<string>"
     maps = raw.select(F.lit(repo_id).alias("repo_id"), _relative(root).alias("map_path"),
                       F.from_json(F.make_valid_utf8(F.col("content").cast("string")), shape).alias("m")).filter("m.mappings is not null and m.sections is null")
