@@ -89,14 +89,15 @@ class Words:
     doc: np.ndarray
     hash: np.ndarray
     first: np.ndarray          # of each document (and one past the last) its first word
+    prefixes: list[np.ndarray]  # hashes of the first bytes, for each length asked for
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()) -> Words:
     """Maximal runs of bytes that are no separators, within each document."""
     n_docs = len(offsets) - 1
     if len(data) == 0:
         none = np.zeros(0, np.int64)
-        return Words(none, none, none, none.astype(U64), np.zeros(n_docs + 1, np.int64))
+        return Words(none, none, none, none.astype(U64), np.zeros(n_docs + 1, np.int64), [none.astype(U64) for _ in prefixes])
     inside = ~separators[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -109,11 +110,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHI
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_FOLDED[data] * up[:-1], out=sums[1:])
-    hashed = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+
+    def hash_until(stop: np.ndarray) -> np.ndarray:
+        return mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U64))
+
+    hashed = hash_until(end)
     first = np.searchsorted(start, offsets, "left")
     first[-1] = len(start)
     doc = np.repeat(np.arange(n_docs), np.diff(first))
-    return Words(start, end, doc, hashed, first)
+    return Words(start, end, doc, hashed, first, [hash_until(np.minimum(start + k, end)) for k in prefixes])
 
 
 def shingles_of(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -141,6 +141,20 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bits: int = BU
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bits: int = BUCKET_BITS) -> DataFrame:
+    """The rows of `docs`, all columns, that stay: of equal texts the one with the greatest doc_id.
+
+    Of rows that repeat both id and text one stays."""
+    groups = cut(exact_groups(docs, block_bytes, bits))
+    gone = groups.filter("not kept").select(F.struct("doc_id", "text_sha256").alias("symtrail gone")).distinct()
+    key = "symtrail key"
+    rows = docs.withColumn(key, F.struct(docs["doc_id"].alias("doc_id"), F.sha2(normalised(docs["text"]).cast("binary"), 256).alias("text_sha256")))
+    rows = rows.join(gone, F.col(key).eqNullSafe(F.col("symtrail gone")), "left_anti")
+    if not groups.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates([key])
+    return rows.drop(key)
+
+
 SQL = """
 with named as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') normal from documents),

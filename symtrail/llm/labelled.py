@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Longer texts do not serve as training rows (they are predicted like all others).
+LONGEST_TRAINING_TEXT = 200_000
+
 
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod `modulus`; -1 for a null id."""
@@ -26,6 +29,7 @@ def sample(labels: DataFrame, label: str, modulus: int, held_out: int, rows: int
 
 
 def with_label(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
-    """`columns` of the chosen documents with their label, one row each; `chosen` is a bounded sample."""
-    found = docs.select("doc_id", *columns).join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
+    """`columns` (text among them) of the chosen documents with their label, one row each; `chosen` is a
+    bounded sample."""
+    found = docs.select("doc_id", *columns).filter(F.octet_length("text") <= LONGEST_TRAINING_TEXT).join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
     return found.dropDuplicates(["doc_id"])

@@ -88,6 +88,18 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.withColumn("whole", F.coalesce("whole", F.lit(False)))
 
 
+def _planned(docs: DataFrame, ratio: float, cap: float, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hash digits of all documents, and the thresholds of all sources."""
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_digits(F.col("doc_id")).alias("digits")))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return sized, cut(thresholds(sized, targets(sizes, ratio, cap, weights)))
+
+
+def _times(digits: Column, repeats: Column, below: Column, whole: Column) -> Column:
+    more = (digits < below) | (whole & (digits == below))
+    return repeats + more.cast("long")
+
+
 def mix(docs: DataFrame, ratio: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row per row of `docs` (doc_id, text, source).
 
@@ -96,27 +108,25 @@ def mix(docs: DataFrame, ratio: float = 1.5, cap: float = 2.0, weights: tuple[in
     in which a budget ends is taken when at least half of it fits, so a source misses its target by half
     of one document (or one group of equal ids) at most.  An empty table gives no rows; other columns
     are not read."""
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_digits(F.col("doc_id")).alias("digits")))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    chosen = cut(thresholds(sized, targets(sizes, ratio, cap, weights)))
-    more = (F.col("digits") < F.col("below")) | (F.col("whole") & (F.col("digits") == F.col("below")))
+    sized, chosen = _planned(docs, ratio, cap, weights)
+    times = _times(F.col("digits"), F.col("repeats"), F.col("below"), F.col("whole"))
     return (
         sized.alias("d").join(chosen.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("repeats") + more.cast("long"))).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
     )
 
 
 def repeated(docs: DataFrame, ratio: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     """The mix itself: every row of `docs`, all columns, as often as it is taken (0 to `cap` times).
 
-    A document without words is never needed for a word budget; it stays once."""
-    key = "symtrail mix id"
-    rows = docs.withColumn(key, F.col("doc_id"))
-    taken = mix(docs, ratio, cap, weights).groupBy("doc_id").agg(
-        F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1)).cast("int").alias("times"))
-    kept = rows.join(taken.select(F.col("doc_id").alias("mixed id"), "times"), F.col(key).eqNullSafe(F.col("mixed id")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("symtrail copy")
-    return kept.filter("times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("symtrail copy")
+    A document without words counts for no budget and stays once.  Rows are repeated where they are read;
+    only the thresholds, a row per source, are joined."""
+    _, chosen = _planned(docs, ratio, cap, weights)
+    plan = F.col("symtrail mix")
+    rows = docs.join(chosen.select(F.struct("source", "repeats", "below", "whole").alias("symtrail mix")), docs["source"].eqNullSafe(plan["source"]))
+    times = F.when(word_count(docs["text"]) > 0, _times(hash_digits(docs["doc_id"]), plan["repeats"], plan["below"], plan["whole"])).otherwise(1)
+    copies = F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("symtrail copy")
+    return rows.select(*[docs[f"`{c}`"] for c in docs.columns], copies).drop("symtrail copy")
 
 
 SQL = r"""

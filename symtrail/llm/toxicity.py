@@ -18,43 +18,43 @@ from pyspark.sql import DataFrame, functions as F
 from symtrail.llm import labelled
 from symtrail.llm.arrays import PUNCTUATION, blocks, texts_of, words_of
 
-#: Hash buckets of words, and the labelled documents that a fit uses at most.
-WORD_BUCKETS, SAMPLE_DOCS = 1 << 18, 8_000
+#: Hash buckets of each kind of feature, and the labelled documents that a fit uses at most.
+BUCKETS, SAMPLE_DOCS = 1 << 17, 6_000
 HELD_OUT = (4, 2)
 THRESHOLD = 0.3
 
+#: A word's features: itself, and its first bytes of these lengths (stems with varied endings).
+PREFIXES = (4, 5, 6)
+
 #: Words of a segment, and the words on either side that its messages start from.
 SEGMENT, HALO = 256, 16
 
-#: A word is labelled toxic when it is in so many sampled toxic documents and so large a share of its documents is toxic.
-LEAST_DOCS, LEAST_SHARE = 4, 0.6
+#: A feature marks toxic words when it has so many different surroundings in sampled toxic documents, and they
+#: are so large a share of all its surroundings.  (Copies of one document repeat their surroundings.)
+LEAST_PLACES, LEAST_SHARE = 6, 0.8
 
 
 @dataclass
 class Chain:
-    """Scores of the toxic state by word, word before and word after; transition scores; document calibration."""
+    """Scores of the toxic state by feature [kind, bucket]; transition scores; document calibration."""
 
-    word: np.ndarray
-    before: np.ndarray
-    after: np.ndarray
+    weights: np.ndarray
     bias: float
     moves: np.ndarray
     calibration: np.ndarray
 
-    def emissions(self, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The score of the toxic state at each word; neighbours do not reach across documents."""
-        out = self.word[bucket] + self.bias
-        if len(bucket) > 1:
-            inner = np.ones(len(bucket), bool)
-            inner[first[:-1][first[:-1] < len(bucket)]] = False
-            out[1:] += np.where(inner[1:], self.before[bucket[:-1]], 0)
-            out[:-1] += np.where(inner[1:], self.after[bucket[1:]], 0)
+    def emissions(self, features: np.ndarray) -> np.ndarray:
+        """The score of the toxic state at each word, from its features [kind, word]."""
+        out = np.full(features.shape[1], self.bias)
+        for table, own in zip(self.weights, features):
+            out += table[own]
         return out
 
 
-def buckets_of(data: np.ndarray, offsets: np.ndarray):
-    words = words_of(data, offsets, PUNCTUATION)
-    return words, (words.hash >> np.uint64(36)).astype(np.int64) % WORD_BUCKETS
+def features_of(data: np.ndarray, offsets: np.ndarray):
+    """The words, and the bucket of each feature [kind, word]."""
+    words = words_of(data, offsets, PUNCTUATION, PREFIXES)
+    return words, np.stack([(h >> np.uint64(36)).astype(np.int32) % BUCKETS for h in (words.hash, *words.prefixes)])
 
 
 def _messages(odds: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +75,20 @@ def _messages(odds: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return forward, backward
 
 
-def marginals(chain: Chain, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+def marginals(chain: Chain, features: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Probability of the toxic state at each word.
 
     Documents are cut into segments of SEGMENT words; each also sees HALO words on either side, over which
     the messages of a two-state chain forget where they began."""
-    if len(bucket) == 0:
+    n = features.shape[1]
+    if n == 0:
         return np.zeros(0)
-    odds = np.exp(np.clip(chain.emissions(bucket, first), -30, 30))
+    odds = np.exp(np.clip(chain.emissions(features), -30, 30))
     counts = np.diff(first)
     per_doc = -(-counts // SEGMENT)
     doc = np.repeat(np.arange(len(counts)), per_doc)
     begin = first[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * SEGMENT
-    out = np.empty(len(bucket))
+    out = np.empty(n)
     for part in np.array_split(np.arange(len(doc)), max(1, len(doc) // 4096)):
         at = begin[part][None, :] + np.arange(-HALO, SEGMENT + HALO)[:, None]
         inside = (at >= first[doc[part]]) & (at < first[doc[part] + 1])
@@ -112,26 +113,37 @@ def _probability(calibration: np.ndarray, evidence: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(evidence @ calibration, -30, 30)))
 
 
-def word_labels(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Whether each word of the sample counts as toxic."""
-    pairs = np.unique(doc * WORD_BUCKETS + bucket)
-    of_toxic = toxic[pairs // WORD_BUCKETS].astype(bool)
-    held = pairs % WORD_BUCKETS
-    hits = np.bincount(held[of_toxic], minlength=WORD_BUCKETS)
-    others = np.bincount(held[~of_toxic], minlength=WORD_BUCKETS)
-    marked = (hits >= LEAST_DOCS) & (hits / (hits + others + 1) >= LEAST_SHARE)
-    return marked[bucket] & toxic[doc].astype(bool)
+def _places(own: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """In how many different surroundings each bucket occurs."""
+    order = np.lexsort((around, own))
+    own, around = own[order], around[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (around[1:] != around[:-1])
+    return np.bincount(own[new], minlength=BUCKETS)
+
+
+def word_labels(doc: np.ndarray, features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Whether each word of the sample counts as toxic: it is in a toxic document, and a feature marks it."""
+    around = np.zeros(len(doc), np.int64)
+    around[1:] = features[0, :-1].astype(np.int64) + 1
+    around[:-1] = around[:-1] * BUCKETS + features[0, 1:]
+    bad = toxic[doc].astype(bool)
+    marked = np.zeros(len(doc), bool)
+    for own in features:
+        hits, others = (_places(own[bad == side], around[bad == side]) for side in (True, False))
+        marked |= ((hits >= LEAST_PLACES) & (hits / (hits + others + 1) >= LEAST_SHARE))[own]
+    return marked & bad
 
 
-def fitted(bucket: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int = 6, width: int = 48, batch: int = 512, rate: float = 0.1, seed: int = 1) -> Chain:
+def fitted(features: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int = 6, width: int = 48, batch: int = 512, rate: float = 0.1, seed: int = 1) -> Chain:
     """A chain fitted to whole sampled documents: `first` has the place of each one's first word."""
     rng = np.random.default_rng(seed)
-    chain = Chain(*(np.zeros(WORD_BUCKETS) for _ in range(3)), -3.0, np.array([[0.0, -1.0], [0.0, 0.0]]), np.array([-2.0, 0.5, 0.5]))
-    n = len(toxic)
+    chain = Chain(np.zeros((len(PREFIXES) + 1, BUCKETS)), -3.0, np.array([[0.0, -1.0], [0.0, 0.0]]), np.array([-2.0, 0.5, 0.5]))
+    n, total = len(toxic), features.shape[1]
     doc = np.repeat(np.arange(n), np.diff(first))
-    if n == 0 or len(bucket) == 0:
+    if n == 0 or total == 0:
         return chain
-    marked = word_labels(doc, bucket, toxic)
+    marked = word_labels(doc, features, toxic)
     per_doc = -(-np.diff(first) // width)
     begin = np.repeat(first[:-1], per_doc) + (np.arange(per_doc.sum()) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * width
     until = np.minimum(begin + width, np.repeat(first[1:], per_doc))
@@ -139,43 +151,32 @@ def fitted(bucket: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int
     holds = counts[until] > counts[begin]
     rest = np.flatnonzero(~holds)
     used = np.concatenate([np.flatnonzero(holds), rng.permutation(rest)[:max(2000, 2 * holds.sum())]])
-    tables = [chain.word, chain.before, chain.after]
-    speed = [np.zeros(WORD_BUCKETS) for _ in tables]
+    speed = np.zeros_like(chain.weights)
     for _ in range(epochs):
         order = rng.permutation(used)
         for k in range(0, len(order), batch):
             part = order[k:k + batch]
             at = begin[part][None, :] + np.arange(width)[:, None]
             inside = at < until[part]
-            at = np.minimum(at, len(bucket) - 1)
-            scores = _window_scores(chain, bucket, doc, at)
+            at = np.minimum(at, total - 1)
+            scores = chain.emissions(features[:, at.ravel()]).reshape(at.shape)
             odds = np.where(inside, np.exp(np.clip(scores, -30, 30)), 0.0)
             forward, backward = _messages(odds, chain.moves)
             p = forward * backward / (1 + forward * backward)
             y = np.where(inside, marked[at], False)
-            error = np.where(inside, p - y, 0.0)
-            here, wrong = at[inside], error[inside]
-            for table, speeds, shift in zip(tables, speed, (0, -1, 1)):
-                near = np.clip(here + shift, 0, len(bucket) - 1)
-                own = doc[near] == doc[here]
-                gradient = np.bincount(bucket[near[own]], wrong[own], WORD_BUCKETS)
+            here, wrong = at[inside], (p - y)[inside]
+            for table, speeds, own in zip(chain.weights, speed, features):
+                gradient = np.bincount(own[here], wrong, BUCKETS)
                 touched = np.flatnonzero(gradient)
                 speeds[touched] += gradient[touched] ** 2
-                table[touched] -= rate * (3 if shift == 0 else 0.3) * gradient[touched] / np.sqrt(speeds[touched] + 1e-8)
+                table[touched] -= rate * gradient[touched] / np.sqrt(speeds[touched] + 1e-8)
             chain.bias -= 0.5 * wrong.mean()
             _move_gradient(chain, odds, forward, backward, y, inside)
-    p = marginals(chain, bucket, first)
+    p = marginals(chain, features, first)
     chain.calibration = _calibrated(_evidence(p, doc, n), toxic.astype(float))
     return chain
 
 
-def _window_scores(chain: Chain, bucket: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    left, right = np.maximum(at - 1, 0), np.minimum(at + 1, len(bucket) - 1)
-    return (chain.word[bucket[at]] + chain.bias
-            + np.where((doc[left] == doc[at]) & (left < at), chain.before[bucket[left]], 0)
-            + np.where((doc[right] == doc[at]) & (right > at), chain.after[bucket[right]], 0))
-
-
 def _move_gradient(chain: Chain, odds: np.ndarray, forward: np.ndarray, backward: np.ndarray, y: np.ndarray, inside: np.ndarray) -> None:
     """One step on the transition scores: expected minus counted moves between neighbouring words."""
     m = np.exp(chain.moves)
@@ -208,17 +209,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> C
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             for a, b in blocks(data, offsets):
-                words, bucket = buckets_of(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                lists = pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(bucket.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a).cast(pa.int32()), lists], ["label", "bucket"])
+                words, features = features_of(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                kinds = len(features)
+                lists = pa.ListArray.from_arrays(pa.array((words.first * kinds).astype(np.int32)), pa.array(features.T.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a).cast(pa.int32()), lists], ["label", "features"])
 
-    found = labelled.with_label(docs, chosen, "text").mapInArrow(run, "label int, bucket array<int>").toArrow().combine_chunks()
+    found = labelled.with_label(docs, chosen, "text").mapInArrow(run, "label int, features array<int>").toArrow().combine_chunks()
     toxic = found.column("label").to_numpy()
-    lists = found.column("bucket").combine_chunks()
+    lists = found.column("features").combine_chunks()
+    kinds = len(PREFIXES) + 1
     if len(toxic) == 0:
-        return fitted(np.zeros(0, np.int64), np.zeros(1, np.int64), toxic)
-    first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-    return fitted(lists.flatten().to_numpy().astype(np.int64), first, toxic)
+        return fitted(np.zeros((kinds, 0), np.int32), np.zeros(1, np.int64), toxic)
+    first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy() // kinds)))
+    return fitted(np.ascontiguousarray(lists.flatten().to_numpy().reshape(-1, kinds).T), first, toxic)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
@@ -235,8 +238,8 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             data, offsets = texts_of(batch.column("text"))
             for a, b in blocks(data, offsets):
                 start_at = offsets[a:b + 1] - offsets[a]
-                words, bucket = buckets_of(data[offsets[a]:offsets[b]], start_at)
-                p = marginals(own, bucket, words.first)
+                words, features = features_of(data[offsets[a]:offsets[b]], start_at)
+                p = marginals(own, features, words.first)
                 scores = _probability(own.calibration, _evidence(p, words.doc, b - a))
                 hit = np.flatnonzero(p >= 0.5)
                 opens = np.concatenate(([True], (np.diff(hit) > 1) | (np.diff(words.doc[hit]) > 0)))[:len(hit)]
