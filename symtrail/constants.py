@@ -2,8 +2,6 @@
 
 # --- fixed values: limits, weights, budgets -------------------------------------------------
 EMBED_DIM = 1536
-DEBOUNCE_SECONDS = 2.0
-BULK_THRESHOLD = 200
 CHUNK_OVERFLOW_TOKENS = 1200
 RRF_K = 60
 RRF_TOP_K = 30
@@ -15,8 +13,6 @@ GLOBAL_EXPANSION_LIMIT = 60
 STRUCTURAL_RESULT_LIMIT = 50
 MULTIHOP_MAX_DEPTH = 4
 MULTIHOP_MAX_RESULTS = 50
-FULLTEXT_MAX_TERMS = 256
-MRO_MAX_DEPTH = 16
 OVERRIDE_HOPS = 3
 CTX_BUDGET = 24_000
 RESERVED_OUT = 2_000
@@ -215,7 +211,6 @@ DECISIONS = (
 )
 
 # --- fixed values: source layout --------------------------------------------------------------------
-PYTHON_SUFFIXES = (".py", ".pyi")
 TS_SUFFIXES = (".ts", ".tsx", ".mts", ".cts")
 TS_STEM_SUFFIX = r"(\.d\.ts|\.tsx|\.ts|\.jsx|\.js|\.mjs|\.cjs)$"
 TS_LIKE_PATH = r"\.(ts|tsx|mts|cts|js|jsx|mjs|cjs)$"
@@ -230,3 +225,17 @@ ELISION = "# ⟨{n} lines elided⟩"
 TS_ELISION = "{{ /* ⟨{n} lines elided⟩ */ }}"
 TRUNCATION = "# ⟨truncated: {shown} of {total} lines shown⟩"
 TS_TRUNCATION = "// ⟨truncated: {shown} of {total} lines shown⟩"
+
+# --- fixed values: identifier borders and lexemes of the approximate code tokenizer -----------------
+IDENTIFIER_BORDER = (
+    r"[_\-./:]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+    r"|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+)
+
+#: One lexeme of the approximate code tokenizer.  Possessive loops keep the matcher from recursing
+#: over very long strings.
+LEXEME = (
+    r'(?s:"{3}.*?"{3})' + r"|(?s:'{3}.*?'{3})"
+    + r'|"[^"\\]*+(?:\\[^\n][^"\\]*+)*+"' + r"|'[^'\\]*+(?:\\[^\n][^'\\]*+)*+'"
+    + r"|#[^\n]*+|[A-Za-z_][A-Za-z_0-9]*+|(?U:\d++\.?\d*+)|(?U:\s++)|[^\n]"
+)

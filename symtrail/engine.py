@@ -61,34 +61,50 @@ class CodeGraph:
     def write(self, batch: DataFrame, deleted: DataFrame | None = None, moves: DataFrame | None = None,
               epoch: int | None = None, tree: DataFrame | None = None, stop_after: str | None = None) -> Report:
         """Apply one batch of files under one epoch: upsert, resolve, drop what is stale, then link
-        again the files of `tree` whose edges pointed at replaced symbols or waited for new names."""
+        again the files of `tree` whose edges pointed at replaced symbols or waited for new names.
+
+        Names resolve inside a repository, so only the repositories of the batch are read and written."""
         epoch = epoch or self.next_epoch()
-        graph = self.store.read()
         paths = batch.select("repo_id", "rel_path")
         if deleted is not None:
             paths = paths.unionByName(deleted.select("repo_id", "rel_path"))
         if moves is not None:
-            moves = cut(moves)
+            batch, moves = self._arriving(batch, cut(moves), tree)
+            paths = paths.unionByName(batch.select("repo_id", "rel_path"))
             paths = paths.unionByName(moves.select("repo_id", F.col("old_path").alias("rel_path")))
-            graph = self._move(graph, moves, batch, epoch)
         paths = cut(paths.distinct())
+        repos = cut(paths.select("repo_id").distinct())
+        graph = self.store.read(repos=repos)
+        if moves is not None:
+            graph = self._move(graph, moves, batch, epoch)
         graph, report = self._apply(graph, batch, paths, epoch)
         if tree is not None and not report.relink.isEmpty():
-            again = tree.join(report.relink, ["repo_id", "rel_path"], "left_semi").join(paths, ["repo_id", "rel_path"], "left_anti")
+            again = tree.select(*batch.columns).join(report.relink, ["repo_id", "rel_path"], "left_semi").join(paths, ["repo_id", "rel_path"], "left_anti")
             again = cut(again)
             if not again.isEmpty():
                 epoch += 1
                 graph, _ = self._apply(graph, again, cut(again.select("repo_id", "rel_path")), epoch)
-        self.store.commit(graph, epoch, stop_after)
+        self.store.commit(graph, epoch, repos, stop_after)
         report.epoch = epoch
         return report
 
+    def _arriving(self, batch: DataFrame, moves: DataFrame, tree: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The batch with the content of moved files, from the batch itself or `tree`, and the moves whose
+        content is known.  Others are left alone: their rows stay at the old path."""
+        key = ["repo_id", "rel_path"]
+        if tree is not None:
+            wanted = moves.select("repo_id", F.col("new_path").alias("rel_path"))
+            rest = tree.join(wanted, key, "left_semi").join(batch.select(*key), key, "left_anti")
+            batch = cut(batch.unionByName(rest.select(*batch.columns)))
+        known = batch.select("repo_id", F.col("rel_path").alias("new_path")).distinct()
+        return batch, cut(moves.join(known, ["repo_id", "new_path"], "left_semi"))
+
     def _move(self, graph: Graph, moves: DataFrame, batch: DataFrame, epoch: int) -> Graph:
         new = batch.join(moves.select("repo_id", F.col("new_path").alias("rel_path"), "old_path"), ["repo_id", "rel_path"])
-        cols = ["rel_path", "seq", "uid", "kind", "arity", "ordinal", "name"]
+        cols = ["repo_id", "rel_path", "seq", "uid", "kind", "arity", "ordinal", "name"]
         as_new = parse.symbols(parse.facts(new)).select(*cols)
         as_old = parse.symbols(parse.facts(new.withColumn("rel_path", F.col("old_path")))).select(*cols)
-        mapping = cut(M.remaps(moves.select("old_path", "new_path"), as_old, as_new))
+        mapping = cut(M.remaps(moves.select("repo_id", "old_path", "new_path"), as_old, as_new))
         return M.apply_remaps(graph, mapping, epoch)
 
     def _apply(self, graph: Graph, batch: DataFrame, paths: DataFrame, epoch: int) -> tuple[Graph, Report]:

@@ -7,13 +7,6 @@ from pyspark.sql import Column, functions as F
 from symtrail import constants as K
 
 NUL = "\x00"
-#: One lexeme of the approximate code tokenizer.  Possessive loops keep the matcher from recursing
-#: over very long strings.
-LEXEME = (
-    r'(?s:"{3}.*?"{3})' + r"|(?s:'{3}.*?'{3})"
-    + r'|"[^"\\]*+(?:\\[^\n][^"\\]*+)*+"' + r"|'[^'\\]*+(?:\\[^\n][^'\\]*+)*+'"
-    + r"|#[^\n]*+|[A-Za-z_][A-Za-z_0-9]*+|(?U:\d++\.?\d*+)|(?U:\s++)|[^\n]"
-)
 
 
 def let(value: Column, body) -> Column:
@@ -26,10 +19,6 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
-def squash(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
-
-
 def text_of(content: Column) -> Column:
     """Bytes to text with CRLF folded; invalid UTF-8 is replaced, never an error."""
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n", "\n")
@@ -69,9 +58,7 @@ def cache_key(header: Column, body: Column) -> Column:
 
 def split_identifier(c: Column) -> Column:
     """Separators, camel humps and digit borders; case kept, empties dropped."""
-    border = (r"[_\-./:]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
-              r"|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
-    return F.filter(F.split(c, border), lambda x: x != "")
+    return F.filter(F.split(c, K.IDENTIFIER_BORDER), lambda x: x != "")
 
 
 def tokenize_query(c: Column) -> Column:
@@ -83,10 +70,10 @@ def tokenize_query(c: Column) -> Column:
 
 
 def query_terms(c: Column) -> Column:
-    """What reaches the inverted index: the first terms, analysed like the documents are.
+    """What reaches the inverted index: all terms, analysed like the documents are.
 
     The same word may come from several terms (`erin,` and `erin`), and then counts that often."""
-    return F.flatten(F.transform(F.slice(tokenize_query(c), 1, K.FULLTEXT_MAX_TERMS), analyzed_words))
+    return F.flatten(F.transform(tokenize_query(c), analyzed_words))
 
 
 def analyzed_words(c: Column) -> Column:
@@ -110,7 +97,7 @@ def token_count(c: Column) -> Column:
         return F.when(blank, F.lit(1) + F.char_length(lex) - F.char_length(F.replace(lex, F.lit("\n"))))\
             .otherwise(F.floor((F.char_length(lex) + 3) / 4).cast("int"))
 
-    return F.aggregate(F.regexp_extract_all(c, F.lit(LEXEME), F.lit(0)), F.lit(0),
+    return F.aggregate(F.regexp_extract_all(c, F.lit(K.LEXEME), F.lit(0)), F.lit(0),
                        lambda acc, lex: acc + cost(lex))
 
 

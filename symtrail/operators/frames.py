@@ -135,7 +135,7 @@ def resolve(frames: DataFrame, symbols: DataFrame, known: DataFrame, root: str |
 
     def at(points, path, line, alias):
         asked = points.select("repo_id", "_k", F.col(path).alias("rel_path"), F.col(line).alias("_line"))\
-            .filter("rel_path is not null and _line between 0 and 1048575")
+            .filter("rel_path is not null and _line is not null")
         return innermost(asked, spans, ["repo_id", "rel_path"], "_line", "start_line", "end_line", ["uid"])\
             .select("_k", F.col("uid").alias(alias))
 

@@ -29,7 +29,7 @@ def degrees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 
 def touched_by(symbols: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Uids whose degree a batch can change: symbols at its paths and their neighbours."""
-    own = symbols.join(paths.select(F.col("rel_path")), "rel_path", "left_semi").select("uid")
+    own = symbols.join(paths.select("repo_id", "rel_path"), ["repo_id", "rel_path"], "left_semi").select("uid")
     ahead = lookup(edges, own.select(F.col("uid").alias("src")), ["src"], "inner").select(F.col("tgt").alias("uid"))
     behind = lookup(edges, own.select(F.col("uid").alias("tgt")), ["tgt"], "inner").select(F.col("src").alias("uid"))
     return own.unionByName(ahead).unionByName(behind).distinct()

@@ -7,37 +7,34 @@ one-row-per-bucket summaries are carried across.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from symtrail.functions import paths as P
 from symtrail.session import cut, small
 
-SALTS = 32
 #: A key with this many left rows is hot; at most rows / HOT_ROWS keys can be.
 HOT_ROWS = 1_000_000
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-           salts: int = SALTS, hot_rows: int | None = None, bound: DataFrame | None = None) -> DataFrame:
+           hot_rows: int | None = None, bound: DataFrame | None = None) -> DataFrame:
     """Join many `left` rows to `right` rows that are few per key, whatever the skew of `left`.
 
-    A small right side (counted) is broadcast.  Beyond that the hot keys of the left side are
-    counted (a pass over the key columns alone); only their rows are salted, and only their right
-    rows repeated, so the rest of the right side is shuffled once.  The list of hot keys is bounded
-    by rows / HOT_ROWS and may be broadcast.  `bound` is a cheaper DataFrame known to have at least as
-    many rows as `right`; it is counted in its place."""
-    if hot_rows is None and small(right if bound is None else bound):
+    A small right side (its rows counted, its bytes estimated) is broadcast.  Beyond that the hot keys
+    of the left side are counted (a pass over the key columns alone); only their rows are salted, a
+    salt for every `hot_rows` of them, and only their right rows repeated, so the rest of the right side
+    is shuffled once.  `bound` is a cheaper DataFrame known to have at least as many rows as `right`; it
+    is counted in its place."""
+    if hot_rows is None and small(right if bound is None else bound, widest=right):
         return left.join(F.broadcast(right), keys, how)
     counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counted.filter(F.col("_n") >= (hot_rows or HOT_ROWS)).select(*keys, F.lit(True).alias("_hot")))
+    size = hot_rows or HOT_ROWS
+    hot = counted.filter(F.col("_n") >= size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_salts"))
     # Salt from the row itself, not from rand(): a recomputed task must send its rows the same way.
     hashable = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    spread = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*hashable), salts).cast("int")).drop("_salts")
+    spread = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -109,23 +106,27 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
 
 
 def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], point: str,
-              start: str, end: str, pick: list[str], bits: int = 20) -> DataFrame:
+              start: str, end: str, pick: list[str]) -> DataFrame:
     """The enclosing interval with the greatest start for each point (ties: least end, then `pick`).
 
-    Positions lie in [0, 2**bits).  Intervals are cut into aligned power-of-two cells, at most two
-    per size; a cell keeps only its best interval, so a point meets at most one row per size and no
-    list of intervals is ever paired with a list of points."""
+    Intervals are cut into aligned power-of-two cells, at most two per size; a cell keeps only its best
+    interval, so a point meets at most one row per size and no list of intervals is ever paired with a
+    list of points.  The sizes follow from the least and the greatest position of the intervals."""
     rank = F.struct((-F.col(start)).alias("s"), F.col(end).alias("e"), *[F.col(p) for p in pick])
     spans = intervals.filter(F.col(start) <= F.col(end)).select(
         *keys, rank.alias("_iv"), F.col(start).cast("bigint").alias("_lo"),
         (F.col(end).cast("bigint") + 1).alias("_hi"))
+    least, most = spans.agg(F.min("_lo"), F.max("_hi")).first()
+    least, bits = least or 0, max(1, ((most or 0) - (least or 0)).bit_length())
+    spans = spans.withColumn("_lo", F.col("_lo") - least).withColumn("_hi", F.col("_hi") - least)
     best = (spans.withColumn("_cell", F.explode(_aligned_cells(bits)))
             .groupBy(*keys, "_cell").agg(F.min("_iv").alias("_iv")))
-    probes = points.select(*keys, F.col(point).cast("bigint").alias("_p")).distinct().withColumn(
+    inside = points.select(*keys, (F.col(point).cast("bigint") - least).alias("_p")).distinct().filter(F.col("_p").between(0, 1 << bits))
+    probes = inside.withColumn(
         "_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.struct(
             k.alias("k"), _cell_of(F.col("_p"), k).alias("n")))))
     chosen = probes.join(best, [*keys, "_cell"]).groupBy(*keys, "_p").agg(F.min("_iv").alias("_iv"))
-    joined = points.withColumn("_p", F.col(point).cast("bigint")).join(chosen, [*keys, "_p"], "left")
+    joined = points.withColumn("_p", F.col(point).cast("bigint") - least).join(chosen, [*keys, "_p"], "left")
     return joined.select(*points.columns, (-F.col("_iv.s")).alias(start), F.col("_iv.e").alias(end),
                          *[F.col(f"_iv.{p}").alias(p) for p in pick])
 
@@ -168,6 +169,3 @@ def answering_to(symbols: DataFrame, wanted: DataFrame, keys: list[str], name: s
     rows = near.withColumn(name, F.explode(P.dotted_suffixes(F.col("qualified_name"))))
     return lookup(rows, names, [*keys, name], "inner")
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -26,46 +26,45 @@ def reconcile_diff(tree: DataFrame, known: DataFrame, reparse_all: bool = False)
 
 
 def poll_diff(before: DataFrame, after: DataFrame, known: DataFrame) -> DataFrame:
-    """`rel_path, change` from two stat snapshots: saved (stat differs or newly allowed) or removed.
-
-    Snapshots carry `rel_path, mtime_ns, size, allowed, content_hash`; a touched file whose content
-    hash is already stored in `known(rel_path, content_hash)` is no change."""
-    a = before.select("rel_path", F.struct("mtime_ns", "size").alias("was"), F.col("allowed").alias("was_allowed"))
-    b = after.select("rel_path", F.struct("mtime_ns", "size").alias("now"), F.col("allowed").alias("now_allowed"), "content_hash")
-    both = a.join(b, "rel_path", "full_outer").join(
-        known.select("rel_path", F.col("content_hash").alias("stored")), "rel_path", "left")
+    """`repo_id, rel_path, change` from two stat snapshots: saved (stat differs or newly allowed) or removed.
+
+    Snapshots carry `repo_id, rel_path, mtime_ns, size, allowed, content_hash`; a touched file whose
+    content hash is already stored in `known(repo_id, rel_path, content_hash)` is no change."""
+    key = ["repo_id", "rel_path"]
+    a = before.select(*key, F.struct("mtime_ns", "size").alias("was"), F.col("allowed").alias("was_allowed"))
+    b = after.select(*key, F.struct("mtime_ns", "size").alias("now"), F.col("allowed").alias("now_allowed"), "content_hash")
+    both = a.join(b, key, "full_outer").join(
+        known.select(*key, F.col("content_hash").alias("stored")), key, "left")
     was, now = F.coalesce("was_allowed", F.lit(False)), F.coalesce("now_allowed", F.lit(False))
     moved = ~F.col("was").eqNullSafe(F.col("now"))
     saved = now & (moved | ~was) & ~F.col("content_hash").eqNullSafe(F.col("stored"))
     change = F.when(was & ~now, "removed").when(saved, "saved")
-    return both.select("rel_path", change.alias("change")).filter("change is not null")
+    return both.select(*key, change.alias("change")).filter("change is not null")
 
 
 # -- moves -----------------------------------------------------------------------------------------
 
-def collapse_chains(moves: DataFrame, hops: int = 64) -> DataFrame:
-    """`old_path, new_path` of what an ordered list of moves amounts to.
+def collapse_chains(moves: DataFrame) -> DataFrame:
+    """`repo_id, old_path, new_path` of what each repository's moves, ordered by `seq`, amount to.
 
     A move continues the move that last put a file at its old path, unless another move took that
     file away since.  Predecessors come from one as-of join per path; chain ends from pointer
     doubling, so a chain of n moves needs log2(n) joins.  Round trips vanish."""
-    touches = moves.select(F.col("old_path").alias("path"), (F.col("seq") * 2).alias("at"), F.lit(None).cast("bigint").alias("by"))\
-        .unionByName(moves.select(F.col("new_path").alias("path"), (F.col("seq") * 2 + 1).alias("at"), F.col("seq").alias("by")))
+    touches = moves.select("repo_id", F.col("old_path").alias("path"), (F.col("seq") * 2).alias("at"), F.lit(None).cast("bigint").alias("by"))\
+        .unionByName(moves.select("repo_id", F.col("new_path").alias("path"), (F.col("seq") * 2 + 1).alias("at"), F.col("seq").alias("by")))
     bucket = lambda c: F.floor(c / (2 * HISTORY_BUCKET))
-    linked = as_of(moves.withColumn("path", F.col("old_path")).withColumn("_at", F.col("seq") * 2), touches, ["path"], "_at",
-                   "at", ["by"], bucket, strict=True).select("seq", "old_path", "new_path", F.col("by").alias("prev"))
-    state = cut(linked.select("seq", "old_path", "new_path", "prev", F.col("old_path").alias("origin")))
-    for _ in range(hops):
-        if state.filter("prev is not null").isEmpty():
-            break
-        ahead = state.select(F.col("seq").alias("prev"), F.col("prev").alias("_prev"), F.col("origin").alias("_origin"))
-        state = cut(state.join(ahead, "prev", "left").select(
-            "seq", "old_path", "new_path", F.col("_prev").alias("prev"), F.coalesce("_origin", "origin").alias("origin")))
-    last = touches.groupBy("path").agg(F.max_by(F.struct("by"), "at").alias("t")).select(F.col("t.by").alias("seq")).filter("seq is not null")
-    return state.join(last, "seq", "left_semi").filter("origin <> new_path").select(F.col("origin").alias("old_path"), "new_path")
-
-
-def undetected_moves(deleted: DataFrame, added: DataFrame, rounds: int = 1000) -> DataFrame:
+    linked = as_of(moves.withColumn("path", F.col("old_path")).withColumn("_at", F.col("seq") * 2), touches, ["repo_id", "path"], "_at",
+                   "at", ["by"], bucket, strict=True).select("repo_id", "seq", "old_path", "new_path", F.col("by").alias("prev"))
+    state = cut(linked.select("repo_id", "seq", "old_path", "new_path", "prev", F.col("old_path").alias("origin")))
+    while not state.filter("prev is not null").isEmpty():
+        ahead = state.select("repo_id", F.col("seq").alias("prev"), F.col("prev").alias("_prev"), F.col("origin").alias("_origin"))
+        state = cut(state.join(ahead, ["repo_id", "prev"], "left").select(
+            "repo_id", "seq", "old_path", "new_path", F.col("_prev").alias("prev"), F.coalesce("_origin", "origin").alias("origin")))
+    last = touches.groupBy("repo_id", "path").agg(F.max_by(F.struct("by"), "at").alias("t")).select("repo_id", F.col("t.by").alias("seq")).filter("seq is not null")
+    return state.join(last, ["repo_id", "seq"], "left_semi").filter("origin <> new_path").select("repo_id", F.col("origin").alias("old_path"), "new_path")
+
+
+def undetected_moves(deleted: DataFrame, added: DataFrame) -> DataFrame:
     """`old_path, new_path` pairs: each deleted path, in order, takes the first free added path that
     shares an identity.  Inputs are `rel_path, identity` rows.
 
@@ -89,9 +88,7 @@ def undetected_moves(deleted: DataFrame, added: DataFrame, rounds: int = 1000) -
     pairs = firsts.join(seconds, ["identity", "n"]).select("old", "new")
     old, new = old.join(pure, "identity", "left_anti"), new.join(pure, "identity", "left_anti")
     pairs, old, new = cut(pairs), cut(old), cut(new)
-    for _ in range(rounds):
-        if old.isEmpty() or new.isEmpty():
-            break
+    while not old.isEmpty() and not new.isEmpty():
         offers = new.groupBy("identity").agg(F.min("new").alias("best_new"))
         calls = old.groupBy("identity").agg(F.min("old").alias("best_old"))
         wants = old.join(offers, "identity").groupBy("old").agg(F.min("best_new").alias("new"))
@@ -102,8 +99,6 @@ def undetected_moves(deleted: DataFrame, added: DataFrame, rounds: int = 1000) -
         pairs = pairs.unionByName(both)
         old = cut(old.join(both.select("old"), "old", "left_anti"))
         new = cut(new.join(both.select("new"), "new", "left_anti"))
-    else:
-        raise RuntimeError(f"pairing did not settle in {rounds} rounds")
     return pairs.select(F.col("old").alias("old_path"), F.col("new").alias("new_path"))
 
 
@@ -114,20 +109,21 @@ def _ranked(df: DataFrame, side: str) -> DataFrame:
 
 
 def remaps(moves: DataFrame, as_old: DataFrame, as_new: DataFrame) -> DataFrame:
-    """`old_uid, new_uid, old_path, new_path` from two parses of the same bytes, paired by position.
+    """`repo_id, old_uid, new_uid, old_path, new_path` from two parses of the same bytes, paired by position.
 
-    Both parses carry `rel_path, seq, uid, kind, arity, ordinal, name`; a pair that differs in
+    Moves are `repo_id, old_path, new_path`; both parses carry `repo_id, rel_path, seq, uid, kind, arity, ordinal, name`; a pair that differs in
     anything but a module's name is dropped, and so is a file whose parses differ in length."""
-    count = lambda df: df.groupBy("rel_path").agg(F.count(F.lit(1)).alias("_n"))
+    file = ["repo_id", "rel_path"]
+    count = lambda df: df.groupBy(*file).agg(F.count(F.lit(1)).alias("_n"))
     cols = ["seq", "uid", "kind", "arity", "ordinal", "name", "_n"]
-    old = as_old.join(count(as_old), "rel_path").select(F.col("rel_path").alias("old_path"), *[F.col(c).alias(f"o_{c}") for c in cols])
-    new = as_new.join(count(as_new), "rel_path").select(F.col("rel_path").alias("new_path"), *[F.col(c).alias(f"n_{c}") for c in cols])
-    both = moves.join(old, "old_path").join(new.withColumnRenamed("n_seq", "o_seq"), ["new_path", "o_seq"])
+    old = as_old.join(count(as_old), file).select("repo_id", F.col("rel_path").alias("old_path"), *[F.col(c).alias(f"o_{c}") for c in cols])
+    new = as_new.join(count(as_new), file).select("repo_id", F.col("rel_path").alias("new_path"), *[F.col(c).alias(f"n_{c}") for c in cols])
+    both = moves.join(old, ["repo_id", "old_path"]).join(new.withColumnRenamed("n_seq", "o_seq"), ["repo_id", "new_path", "o_seq"])
     same = (F.col("o__n") == F.col("n__n"))
     for c in ("kind", "arity", "ordinal"):
         same = same & (F.col(f"o_{c}") == F.col(f"n_{c}"))
     same = same & ((F.col("o_kind") == "module") | (F.col("o_name") == F.col("n_name")))
-    return both.filter(same).select(F.col("o_uid").alias("old_uid"), F.col("n_uid").alias("new_uid"), "old_path", "new_path")
+    return both.filter(same).select("repo_id", F.col("o_uid").alias("old_uid"), F.col("n_uid").alias("new_uid"), "old_path", "new_path")
 
 
 @dataclass
@@ -162,9 +158,9 @@ def apply_remaps(graph: Graph, mapping: DataFrame, epoch: int) -> Graph:
         "repo_id", F.coalesce("_src", "src").alias("src"), F.coalesce("_tgt", "tgt").alias("tgt"), "kind",
         F.when(repoint, F.col("_new")).otherwise(F.col("origin_path")).alias("origin_path"),
         F.when(repoint, F.lit(epoch)).otherwise(F.col("epoch")).alias("epoch"))
-    renames = mapping.select(F.col("old_path").alias("rel_path"), "new_path").distinct()
-    free = renames.join(graph.files.select(F.col("rel_path").alias("new_path")), "new_path", "left_anti")
-    files = graph.files.join(free, "rel_path", "left").withColumn(
+    renames = mapping.select("repo_id", F.col("old_path").alias("rel_path"), "new_path").distinct()
+    free = renames.join(graph.files.select("repo_id", F.col("rel_path").alias("new_path")), ["repo_id", "new_path"], "left_anti")
+    files = graph.files.join(free, ["repo_id", "rel_path"], "left").withColumn(
         "epoch", F.when(F.col("new_path").isNotNull(), F.lit(epoch)).otherwise(F.col("epoch"))).withColumn(
             "rel_path", F.coalesce("new_path", "rel_path")).select(*graph.files.columns)
     return Graph(files, symbols, edges)

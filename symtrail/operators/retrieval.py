@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from symtrail import constants as K
 from symtrail.functions import text as X
 from symtrail.operators.keyed import lookup
-from symtrail.session import cut, small
+from symtrail.session import cut
 
 #: Query vectors held by a task at once; a larger batch is answered in several scans.
 QUERY_BLOCK = 4096
@@ -90,8 +90,8 @@ def _best_of_batches(queries: dict, k: int, uid_type: pa.DataType):
                 ids, block = queries[tenant]
                 rows = np.flatnonzero(tenants == tenant)
                 scores = matrix[rows] @ block.T
-                # Everything at least as good as the k-th best stays, so ties are settled globally.
-                floor = np.partition(scores, -k, axis=0)[-k] if len(rows) > k else np.full(len(ids), -np.inf)
+                # Everything that may round to the k-th best stays, so ties are settled globally.
+                floor = np.partition(scores, -k, axis=0)[-k] - 2e-9 if len(rows) > k else np.full(len(ids), -np.inf)
                 at, q = np.nonzero(scores >= floor)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[i] for i in q], pa.string()), uids.take(pa.array(rows[at])),
@@ -170,27 +170,39 @@ def semantic_seeds(fused: DataFrame, leads: DataFrame | None = None, count: int
 
 # -- gold passages ------------------------------------------------------------------------------------
 
+def _shifted(values: Column, width: int) -> Column:
+    """Every run of `width` neighbouring values, joined."""
+    parts = F.arrays_zip(*[F.slice(values, i + 1, F.greatest(F.size(values) - width + 1, F.lit(0))).alias(f"v{i}") for i in range(width)])
+    return F.transform(parts, lambda p: F.concat_ws("\x00", *[p[f"v{i}"] for i in range(width)]))
+
+
 def containing(documents: DataFrame, passages: DataFrame, width: int = 6) -> DataFrame:
     """`question_id, uid` of documents that contain the passage text, without pairing all of both.
 
-    A document that contains a passage contains the passage's inner words in sequence, so one
-    sequence of `width` inner words is an equi-join key; `contains` settles every match.  Passages
-    too short for a key are joined by `contains` alone, after a check that they are few."""
-    words = F.filter(F.split(F.col("query"), r"(?U)\s+"), lambda w: w != "")
-    keyed = passages.select("question_id", "query", words.alias("w"))
-    long_ = keyed.filter(F.size("w") >= width + 2).select(
-        "question_id", "query", F.xxhash64(F.array_join(F.slice("w", 2, width), " ")).alias("key"))
-    body = documents.select("uid", "text", F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("w"))
-    starts = F.sequence(F.lit(1), F.size("w") - (width - 1))
-    grams = body.filter(F.size("w") >= width).select("uid", F.explode(F.array_distinct(F.transform(
-        starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " "))))).alias("key"))
-    pairs = lookup(grams, long_.select("question_id", "key"), ["key"], "inner").select("question_id", "uid").distinct()
+    A document that contains a passage contains the passage's inner words in sequence, so their first
+    `width` (all, where there are fewer) are an equi-join key.  A passage of one or two words has no
+    inner word; its first three characters (or fewer) are the key, met by a document's character runs
+    of that length.  `contains` settles every match; an empty passage is in every document and has no row."""
+    split = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    words = split(F.col("query"))
+    inner = F.least(F.size("w") - 2, F.lit(width))
+    chars = F.least(F.char_length("query"), F.lit(3))
+    keyed = passages.filter("query <> ''").select("question_id", "query", words.alias("w")).select(
+        "question_id", "query",
+        F.when(inner > 0, F.struct(F.lit("words").alias("kind"), inner.alias("n"), F.array_join(F.slice("w", F.lit(2), inner), "\x00").alias("run")))
+        .otherwise(F.struct(F.lit("chars").alias("kind"), chars.alias("n"), F.array_join(F.filter(F.split(F.substr("query", F.lit(1), chars), ""), lambda c: c != ""), "\x00").alias("run"))).alias("key"))
+    keyed = cut(keyed.withColumn("hash", F.xxhash64("key.kind", "key.n", "key.run")))
+    kinds = sorted((r["kind"], r["n"]) for r in keyed.select("key.kind", "key.n").distinct().collect())      # at most `width` + 3
+    if not kinds:
+        shape = {**dict(passages.dtypes), **dict(documents.dtypes)}
+        return passages.sparkSession.createDataFrame([], f"question_id {shape['question_id']}, uid {shape['uid']}")
+    body = documents.select("uid", "text", split(F.col("text")).alias("w"), F.filter(F.split("text", ""), lambda c: c != "").alias("c"))
+
+    def hashed(kind: str, n: int) -> Column:
+        return F.transform(_shifted(F.col("w" if kind == "words" else "c"), n), lambda r: F.xxhash64(F.lit(kind), F.lit(n), r))
+
+    runs = [hashed(kind, n) for kind, n in kinds]
+    grams = body.select("uid", F.explode(F.array_distinct(F.concat(*runs))).alias("hash"))
+    pairs = lookup(grams, keyed.select("question_id", "hash"), ["hash"], "inner").select("question_id", "uid").distinct()
     checked = pairs.join(documents.select("uid", "text"), "uid").join(passages.select("question_id", "query"), "question_id")
-    found = checked.filter(F.contains("text", F.col("query"))).select("question_id", "uid")
-    short = keyed.filter(F.size("w") < width + 2).select("question_id", "query")
-    if short.isEmpty():
-        return found
-    if not small(short, 1000):
-        raise ValueError("too many passages below the key width; lower `width`")
-    loose = documents.join(F.broadcast(short), F.contains(documents["text"], short["query"])).select("question_id", "uid")
-    return found.unionByName(loose)
+    return checked.filter(F.contains("text", F.col("query"))).select("question_id", "uid")

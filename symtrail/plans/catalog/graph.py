@@ -37,7 +37,7 @@ def graph_degree_of_touched(spark, sf):
     """Degrees a batch can change: files of customers with a pending order, and their neighbours."""
     symbols, edges = D.symbols(spark, sf), D.edges(spark, sf)
     paths = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(
-        F.concat(F.lit("customer"), "o_custkey", F.lit(".py")).alias("rel_path")).distinct()
+        F.lit(D.REPO).alias("repo_id"), F.concat(F.lit("customer"), "o_custkey", F.lit(".py")).alias("rel_path")).distinct()
     blank = symbols.withColumn("degree", F.lit(None).cast("int"))
     return G.refresh_degrees(blank, edges, paths).filter("degree is not null").select("uid", F.col("degree").cast("bigint"))
 
@@ -219,10 +219,10 @@ def _catalog(spark, sf):
     parts = table(spark, sf, "part")
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     qname = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("."), F.lower("p_type"), F.col("p_size") % 5, F.lit("."), name)
-    symbols = parts.select(F.concat(F.lit("P:"), "p_partkey").alias("uid"), name.alias("name"), qname.alias("qualified_name"))
+    symbols = parts.select(F.lit(D.REPO).alias("repo_id"), F.concat(F.lit("P:"), "p_partkey").alias("uid"), name.alias("name"), qname.alias("qualified_name"))
     term = F.when(F.col("p_partkey") % 3 == 0, qname).when(F.col("p_partkey") % 3 == 1, name).otherwise(
         F.regexp_replace(qname, r"^[^.]*\.", ""))
-    questions = parts.select(F.concat(F.lit("Q:"), "p_partkey").alias("question_id"),
+    questions = parts.select(F.lit(D.REPO).alias("repo_id"), F.concat(F.lit("Q:"), "p_partkey").alias("question_id"),
                              F.concat(F.lit("what calls `"), term, F.lit("` in the code")).alias("query"))
     return questions, symbols
 
@@ -240,6 +240,26 @@ def entity_resolution(spark, sf):
     return E.resolve(questions, symbols).select("question_id", "term", "verdict", "candidates")
 
 
+_TENANTS = _CATALOG.replace("concat('P:', p_partkey) uid,", "concat('P:', p_partkey) uid, p_partkey % 2 AS r,").replace(
+    "concat('Q:', p_partkey) question_id,", "concat('Q:', p_partkey) question_id, p_partkey // 2 % 2 AS r,")
+
+
+@query("entity_resolution_tenants", "WITH " + _TENANTS + """,
+hit AS (SELECT a.question_id, a.term, n.qualified_name, n.qualified_name = a.term exact FROM asked a JOIN named n
+  ON a.r = n.r AND n.name = regexp_extract(a.term, '[^.]*$') AND (n.qualified_name = a.term OR n.name = a.term OR n.qualified_name LIKE concat('%.', replace(a.term, '_', '\\_')) ESCAPE '\\')),
+agg AS (SELECT question_id, term, count(*) n, count_if(exact) ne, count(DISTINCT qualified_name) nq FROM hit GROUP BY 1, 2)
+SELECT question_id, CASE WHEN n IS NOT NULL THEN a.term END AS term, CASE WHEN n IS NULL THEN 'unresolved' WHEN ne = 0 AND nq > 1 THEN 'ambiguous'
+  WHEN (CASE WHEN ne > 0 THEN ne ELSE n END) > 8 THEN 'too_many' ELSE 'resolved' END verdict,
+  CAST(CASE WHEN ne > 0 THEN ne ELSE n END AS BIGINT) candidates FROM asked a LEFT JOIN agg USING (question_id)""")
+def entity_resolution_tenants(spark, sf):
+    """Parts in two repositories, and questions about them asked in either: names of the other one do not count."""
+    questions, symbols = _catalog(spark, sf)
+    key = lambda c: F.regexp_extract(c, "[0-9]+$", 0).cast("bigint")
+    symbols = symbols.withColumn("repo_id", (key("uid") % 2).cast("string"))
+    questions = questions.withColumn("repo_id", (F.floor(key("question_id") / 2) % 2).cast("string"))
+    return E.resolve(questions, symbols).select("question_id", "term", "verdict", "candidates")
+
+
 @query("entity_uids", "WITH " + _CATALOG + """,
 hit AS (SELECT a.question_id, a.term, n.uid, n.qualified_name, n.qualified_name = a.term exact FROM asked a JOIN named n
   ON n.name = regexp_extract(a.term, '[^.]*$') AND (n.qualified_name = a.term OR n.name = a.term OR n.qualified_name LIKE concat('%.', replace(a.term, '_', '\\_')) ESCAPE '\\')),
@@ -270,7 +290,7 @@ def innermost_interval(spark, sf):
     spans = both.groupBy("o_custkey", F.col("o_orderkey").alias("uid"), day("o_orderdate").alias("start_line")).agg(
         F.max(day("l_shipdate")).alias("end_line"))
     points = both.select("o_custkey", day("l_shipdate").alias("at")).distinct()
-    return keyed.innermost(points, spans, ["o_custkey"], "at", "start_line", "end_line", ["uid"], bits=14)\
+    return keyed.innermost(points, spans, ["o_custkey"], "at", "start_line", "end_line", ["uid"])\
         .select("o_custkey", "at", "uid", "start_line", "end_line")
 
 

@@ -43,30 +43,43 @@ def poll_diff(spark, sf):
     """Two stat snapshots of per-user files, one taken of cheap events and one of all but errors."""
     events = table(spark, sf, "events")
     def snap(df, allowed):
-        return df.groupBy(F.concat(F.lit("u"), "user_id").alias("rel_path")).agg(
+        return df.groupBy(F.lit("events").alias("repo_id"), F.concat(F.lit("u"), "user_id").alias("rel_path")).agg(
             F.max("event_id").alias("mtime_ns"), F.count(F.lit(1)).alias("size"), allowed.alias("allowed")).withColumn(
                 "content_hash", F.col("size").cast("string"))
     before = snap(events.filter("value < 40"), F.max("event_id") % 3 != 0)
     after = snap(events.filter("event_type <> 'error'"), F.min("event_id") % 4 != 0)
-    return M.poll_diff(before, after, before.select("rel_path", "content_hash"))
+    return M.poll_diff(before, after, before.select("repo_id", "rel_path", "content_hash")).drop("repo_id")
 
 
-_MOVES = "SELECT event_id AS seq, concat('f', user_id) AS o, concat('f', CAST(json_extract(props, '$.k') AS INTEGER)) AS n FROM events"
+_MOVES = "SELECT event_type AS r, event_id AS seq, concat('f', user_id) AS o, concat('f', CAST(json_extract(props, '$.k') AS INTEGER)) AS n FROM events"
 
 
-@query("collapsed_moves", f"""
-WITH RECURSIVE m AS ({_MOVES}), t AS (SELECT o AS p, seq * 2 AS at_, CAST(NULL AS BIGINT) AS by_ FROM m UNION ALL SELECT n, seq * 2 + 1, seq FROM m),
-l AS (SELECT p, at_, by_, lag(by_) OVER (PARTITION BY p ORDER BY at_) AS prev FROM t),
+_COLLAPSED = f"""
+WITH RECURSIVE m AS ({_MOVES}), t AS (SELECT r, o AS p, seq * 2 AS at_, CAST(NULL AS BIGINT) AS by_ FROM m UNION ALL SELECT r, n, seq * 2 + 1, seq FROM m),
+l AS (SELECT p, at_, by_, lag(by_) OVER (PARTITION BY r, p ORDER BY at_) AS prev FROM t),
 link AS MATERIALIZED (SELECT m.seq, m.o, m.n, l.prev FROM m JOIN l ON l.p = m.o AND l.at_ = m.seq * 2),
-survive AS (SELECT arg_max(by_, at_) AS seq FROM t GROUP BY p HAVING arg_max(coalesce(by_, -1), at_) >= 0),
+survive AS (SELECT arg_max(by_, at_) AS seq FROM t GROUP BY r, p HAVING arg_max(coalesce(by_, -1), at_) >= 0),
 walk(seq, cur) AS (SELECT seq, seq FROM survive UNION ALL SELECT w.seq, k.prev FROM walk w JOIN link k ON k.seq = w.cur WHERE k.prev IS NOT NULL),
 root AS (SELECT w.seq, k.o AS origin FROM walk w JOIN link k ON k.seq = w.cur WHERE k.prev IS NULL)
-SELECT origin AS old_path, n AS new_path FROM root JOIN m USING (seq) WHERE origin <> n""")
+SELECT r AS repo_id, origin AS old_path, n AS new_path FROM root JOIN m USING (seq) WHERE origin <> n"""
+
+
+def _moves(spark, sf, repo):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf, "events").select(
+        repo.alias("repo_id"), F.col("event_id").alias("seq"), F.concat(F.lit("f"), "user_id").alias("old_path"), F.concat(F.lit("f"), k).alias("new_path"))
+
+
+@query("collapsed_moves", _COLLAPSED.replace("event_type AS r", "'events' AS r").replace("r AS repo_id, ", ""))
 def collapsed_moves(spark, sf):
     """Every event moves a file from its user's name to the name in its properties."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    moves = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("f"), "user_id").alias("old_path"), F.concat(F.lit("f"), k).alias("new_path"))
-    return M.collapse_chains(moves)
+    return M.collapse_chains(_moves(spark, sf, F.lit("events"))).drop("repo_id")
+
+
+@query("tenant_moves", _COLLAPSED)
+def tenant_moves(spark, sf):
+    """The same moves in one repository for each event type: equal paths of different repositories stay apart."""
+    return M.collapse_chains(_moves(spark, sf, F.col("event_type")))
 
 
 @query("undetected_moves", f"""
@@ -102,9 +115,9 @@ def uid_remaps(spark, sf):
     """Every module moves to one folder: the same bytes parsed at both paths give the uid pairs."""
     files = C.files(spark, sf)
     new_path = F.concat(F.lit("moved/"), F.regexp_extract("rel_path", "[^/]*$", 0))
-    moves = files.select(F.col("rel_path").alias("old_path"), new_path.alias("new_path"))
-    parsed = lambda f: parse.symbols(parse.facts(f)).select("rel_path", "seq", "uid", "kind", "arity", "ordinal", "name")
-    return M.remaps(moves, parsed(files), parsed(files.withColumn("rel_path", new_path)))
+    moves = files.select("repo_id", F.col("rel_path").alias("old_path"), new_path.alias("new_path"))
+    parsed = lambda f: parse.symbols(parse.facts(f)).select("repo_id", "rel_path", "seq", "uid", "kind", "arity", "ordinal", "name")
+    return M.remaps(moves, parsed(files), parsed(files.withColumn("rel_path", new_path))).drop("repo_id")
 
 
 @query("symbol_upsert", """
@@ -199,7 +212,7 @@ def remap_in_place(spark, sf):
     files = symbols.select("repo_id", "rel_path", "epoch").distinct()
     key = F.col("p_partkey")
     mapping = table(spark, sf, "part").select(
-        F.concat(F.lit("P:"), key).alias("old_uid"), F.when(F.col("p_size") > 25, F.concat(F.lit("Z:"), key)).otherwise(F.concat(F.lit("P:"), key + 1)).alias("new_uid"),
+        F.lit(D.REPO).alias("repo_id"), F.concat(F.lit("P:"), key).alias("old_uid"), F.when(F.col("p_size") > 25, F.concat(F.lit("Z:"), key)).otherwise(F.concat(F.lit("P:"), key + 1)).alias("new_uid"),
         F.concat("p_brand", F.lit(".py")).alias("old_path"), F.concat(F.lit("moved_"), "p_brand", F.lit(".py")).alias("new_path"))
     out = M.apply_remaps(M.Graph(files, symbols, edges), mapping, 2)
     row = lambda df, what, *cols: df.select(F.lit(what).alias("what"), F.concat_ws(">", *cols).alias("id"))
@@ -225,9 +238,9 @@ def debounced_flushes(spark, sf):
 
 @query("streamed_bursts", _BURST + """
 , s AS (SELECT user_id, min(ts) AS flush_start, max(ts) AS last_ts, count(*) AS writes, max(event_id) AS last_event FROM b GROUP BY user_id, burst)
-SELECT user_id, flush_start, writes, last_event FROM s WHERE last_ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""")
+SELECT user_id, flush_start, writes, last_event FROM s""")
 def streamed_bursts(spark, sf):
-    """The same bursts from a file stream with a watermark; bursts still open at its end are absent."""
+    """The same bursts from a file stream with a watermark; those still open at its end are drained."""
     return bursts.run_once(spark, f"{sf}/events.parquet", "user_id", "ts", "1 hour", "1 minute")
 
 

@@ -38,7 +38,7 @@ term AS (SELECT item_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM r
 tok AS (SELECT item_id, i, 0 AS j, lower(t) AS tk FROM term UNION ALL SELECT item_id, i, generate_subscripts({_SPLIT.format('t')}, 1), lower(unnest({_SPLIT.format('t')})) FROM term),
 firsts AS (SELECT item_id, tk, min(i * 1000 + j) AS ord FROM tok GROUP BY ALL),
 lim AS (SELECT item_id, tk, row_number() OVER (PARTITION BY item_id ORDER BY ord) AS rn FROM firsts),
-q AS (SELECT item_id, w, count(*) AS weight FROM (SELECT item_id, unnest(regexp_extract_all(tk, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM lim WHERE rn <= 256) GROUP BY ALL),
+q AS (SELECT item_id, w, count(*) AS weight FROM (SELECT item_id, unnest(regexp_extract_all(tk, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM lim) GROUP BY ALL),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
 tot AS (SELECT count_if(len(ws) > 0) AS n, avg(CASE WHEN len(ws) > 0 THEN len(ws) END) AS avgdl FROM d),
 tf AS (SELECT doc_id, len(ws) AS dl, w, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS w FROM d) GROUP BY ALL),
@@ -212,9 +212,9 @@ def decision_metrics(spark, sf):
 
 def _blocks(spark, sf):
     """The full-text ranking as blocks: the best eight are seeds, the rest neighbours."""
-    ranked = _fulltext(spark, sf).filter("rank <= 40")
+    ranked = _fulltext(spark, sf)
     docs = _docs(spark, sf).select("uid", F.concat("source", F.lit("/"), "lang", F.lit(".txt")).alias("rel_path"), F.lit(None).cast("string").alias("enclosing_signature"),
-                                   F.concat(F.lit("document "), "uid").alias("signature"), F.substring("text", 1, 80).alias("docstring"), F.col("text").alias("source_code"),
+                                   F.concat(F.lit("document "), "uid").alias("signature"), F.col("text").alias("docstring"), F.col("text").alias("source_code"),
                                    F.array().cast("array<string>").alias("used_imports"))
     return ranked.join(docs, "uid").select("question_id", F.col("uid").cast("string").alias("uid"), F.when(F.col("rank") <= 8, "seed").otherwise("neighbor").alias("role"), "score",
                                            "rel_path", "enclosing_signature", "signature", "docstring", "source_code", "used_imports")
@@ -229,12 +229,12 @@ def _cost_sql(text):
 
 
 _HEADER = "concat('# ', source, '/', lang, '.txt :: document ', doc_id)"
-_FIRST = "trim(split_part(trim(substr(text, 1, 80), chr(10) || ' '), chr(10), 1))"
+_FIRST = "trim(split_part(trim(text, chr(10) || ' '), chr(10), 1))"
 _MARK = "concat('# ⟨truncated: ', {0}, ' of ', len(ls), ' lines shown⟩')"
 _PACK_SQL = f"""WITH RECURSIVE {_BM25}, b AS MATERIALIZED (SELECT item_id AS q, CAST(doc_id AS VARCHAR) AS uid, score, rank <= 8 AS seed, {_HEADER} AS hdr, string_split(text, chr(10)) AS ls,
     {_cost_sql(f"concat({_HEADER}, chr(10), text)")} AS full_cost,
     {_cost_sql(f"concat_ws(chr(10), {_HEADER}, concat('document ', doc_id), CASE WHEN {_FIRST} <> '' THEN concat('    ', chr(34), chr(34), chr(34), {_FIRST}, chr(34), chr(34), chr(34)) END)")} AS stub_cost
-  FROM ft JOIN documents USING (doc_id) WHERE rank <= 40),
+  FROM ft JOIN documents USING (doc_id)),
 room AS (SELECT q, uid, hdr, ls, list_transform(ls, lambda l: 1 + {_cost_sql("l")}) AS lc, 1440 - 1 - {_cost_sql("hdr")} - 1 - {_cost_sql(_MARK.format("len(ls)"))} AS room FROM b WHERE seed AND full_cost > 1440),
 fit AS (SELECT *, len(list_filter(range(1, len(ls) + 1), lambda k: list_sum(lc[1:k]) <= room)) AS fits FROM room),
 kept AS (SELECT *, CASE WHEN fits >= len(ls) THEN len(ls) ELSE greatest(1, coalesce(list_max(list_filter(range(1, fits + 1), lambda i: trim(ls[i + 1]) <> '')), 0)) END AS kept FROM fit),

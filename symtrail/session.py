@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import os
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: A side is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it was counted and has at most this many rows and (estimated) bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 128 << 20
 
 
 def build(app: str = "symtrail", cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A local session with the settings the plans assume (AQE, UTC, Arrow)."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]").appName(app)
-        .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
-        .getOrCreate()
-    )
+    """The session of `spark-submit`, as it is configured there, or else a local one.
+
+    A plain Python process has no configuration to respect; it gets all cores of this machine."""
+    builder = SparkSession.builder.appName(app)
+    if "PYSPARK_GATEWAY_PORT" not in os.environ and SparkSession.getActiveSession() is None:
+        builder = (
+            builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(partitions))
+            .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "16g"))
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared scratch folder: spark.checkpoint.dir.
+
+    Only a local master may do without: it gets a temporary folder that goes with the process."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="symtrail-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -77,11 +82,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` holds at most `limit` rows; reads no more than `limit + 1` of them."""
-    return df.limit(limit + 1).count() <= limit
+def row_bytes(df: DataFrame) -> int:
+    """A row's estimated bytes: 16 for a number, 200 for a string, 1,000 for a list; vectors count 8,000."""
+    def width(kind: str) -> int:
+        if kind.startswith("array<") and kind[6:-1] in ("float", "double"):
+            return 8_000
+        return 1_000 if kind.startswith(("array", "map", "struct")) else 200 if kind in ("string", "binary") else 16
 
+    return sum(width(f.dataType.simpleString()) for f in df.schema) or 16
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint when its size was checked; unchanged (a shuffle join) otherwise."""
-    return F.broadcast(df) if small(df, limit) else df
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, widest: DataFrame | None = None) -> bool:
+    """Whether `df` holds at most `limit` rows, and these (as wide as those of `widest`) at most
+    BROADCAST_BYTES; reads no more than `limit + 1` rows."""
+    limit = min(limit, BROADCAST_BYTES // row_bytes(df if widest is None else widest))
+    return df.limit(limit + 1).count() <= limit

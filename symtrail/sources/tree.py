@@ -66,7 +66,7 @@ def source_maps(spark: SparkSession, root: str, repo_id: str, files: DataFrame |
     fold = lambda c: F.regexp_replace(c, "\r\n", "\n")
     one = out.filter("texts is not null").select("map_id", "map_path", "source_root", "sources", F.posexplode("texts").alias("i", "text")).filter("text is not null")
     named = one.withColumn("rel_path", source_path(F.get("sources", F.col("i")), F.col("map_path"), F.col("source_root")))
-    now = files.select("rel_path", X.text_of(F.col("content")).alias("now"))
+    now = files.filter(F.col("repo_id") == repo_id).select("rel_path", X.text_of(F.col("content")).alias("now"))
     stale = named.join(now, "rel_path", "left").filter(~fold(F.col("text")).eqNullSafe(F.col("now")) & F.col("rel_path").isNotNull())
     listed = stale.groupBy("map_id").agg(F.collect_set("i").alias("stale"))
     return out.drop("texts").join(listed, "map_id", "left").withColumn("stale", F.coalesce("stale", F.array().cast("array<int>")))

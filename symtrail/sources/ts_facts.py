@@ -205,8 +205,6 @@ def extract(text: str) -> dict:
         enclosing = max((o for o in outer if o["kind"] == "class"), key=lambda o: o["body"], default=None)
         d["path"] = f"{scope['path']}.{d['name']}" if scope else d["name"]
         d["signature"] = " ".join(text[d["start"]:d["body"] if d["body"] > d["start"] else d["end"]].split())
-        if d["body"] < 0:
-            d["signature"] = d["signature"][:200]
         doc = re.search(r"/\*\*((?:(?!\*/).)*)\*/\s*(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+)?\Z",
                         text[:d["span"]], re.S)
         lines = [x.strip().lstrip("*").strip() for x in doc.group(1).strip().splitlines()] if doc else []

@@ -10,18 +10,21 @@ from symtrail.session import shared_dir, table_schema
 
 
 def bursts(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
-    """One row per closed burst: key, first event, number of events, greatest event id.
+    """One row per closed burst: key, first event, number of events, greatest event id, when it closes.
 
     Works on streaming and static inputs; state per key is one open session."""
     return (events.withWatermark(ts, late)
             .groupBy(F.session_window(ts, gap).alias("w"), key)
             .agg(F.count(F.lit(1)).alias("writes"), F.max("event_id").alias("last_event"))
-            .select(key, F.col("w.start").alias("flush_start"), "writes", "last_event"))
+            .select(key, F.col("w.start").alias("flush_start"), "writes", "last_event", F.col("w.end").alias("closes")))
 
 
 def run_once(spark: SparkSession, path: str, key: str, ts: str, gap: str, late: str,
              max_files: int | None = None) -> DataFrame:
-    """Drain a file stream with `availableNow` into a table of the shared folder and read it back."""
+    """Drain a file stream with `availableNow` into a table of the shared folder and read it back.
+
+    The stream tells the bursts that its last watermark closed; the others, of the last gap, are open
+    when the input ends and are taken from the files."""
     base = f"{shared_dir(spark)}/symtrail-streams/{uuid.uuid4().hex}"
     reader = spark.readStream.schema(table_schema(spark, path))
     if max_files:
@@ -29,9 +32,13 @@ def run_once(spark: SparkSession, path: str, key: str, ts: str, gap: str, late:
     folder, _, name = path.rpartition("/")
     events = reader.option("pathGlobFilter", name).parquet(folder)
     kind = events.schema[ts].dataType           # windows need zoned time; the result gets the type back
-    out = bursts(events.withColumn(ts, F.col(ts).cast("timestamp")), key, ts, gap, late)
-    out = out.withColumn("flush_start", F.col("flush_start").cast(kind))
+    zoned = lambda df: df.withColumn(ts, F.col(ts).cast("timestamp"))
+    out = bursts(zoned(events), key, ts, gap, late)
     stream = (out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
               .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     stream.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    last = stream.lastProgress
+    reached = (last["eventTime"] if last else {}).get("watermark") or "1970-01-01T00:00:00.000Z"
+    still_open = bursts(zoned(spark.read.parquet(path)), key, ts, gap, late).filter(F.col("closes") > F.lit(reached).cast("timestamp"))
+    told = spark.read.schema(out.schema).parquet(f"{base}/out")
+    return told.unionByName(still_open).drop("closes").withColumn("flush_start", F.col("flush_start").cast(kind))

@@ -8,7 +8,8 @@ from symtrail.engine import CodeGraph
 from symtrail.operators.maintenance import collapse_chains
 from symtrail.session import cut
 
-SAVES = "repo_id string, rel_path string, content binary, ts timestamp, seq bigint"
+#: A row with `old_path` is a move of that file to `rel_path`; all others are saves.
+SAVES = "repo_id string, rel_path string, content binary, ts timestamp, seq bigint, old_path string"
 
 
 def last_writes(saves: DataFrame) -> DataFrame:
@@ -24,10 +25,7 @@ def write_batch(engine: CodeGraph, saves: DataFrame, moves: DataFrame | None = N
     last = cut(last_writes(saves))
     collapsed = None
     if moves is not None and not moves.isEmpty():
-        repo = moves.select("repo_id").first()["repo_id"]
-        if moves.select("repo_id").distinct().count() > 1:
-            raise ValueError("moves of one batch must belong to one repository")
-        collapsed = cut(collapse_chains(moves).withColumn("repo_id", F.lit(repo)))
+        collapsed = cut(collapse_chains(moves))
         gone = collapsed.select("repo_id", F.col("old_path").alias("rel_path"))
         last = cut(last.join(gone, ["repo_id", "rel_path"], "left_anti"))    # or the old path would come back
     live = last.filter("not removed").select("repo_id", "rel_path", "content")
@@ -36,10 +34,14 @@ def write_batch(engine: CodeGraph, saves: DataFrame, moves: DataFrame | None = N
 
 def start(engine: CodeGraph, saves: DataFrame, checkpoint: str, interval: str | None = "2 seconds", tree=None):
     """Index a stream of saves.  Micro-batches are the quiet-period batches: they run one at a time,
-    a failed one is retried from the checkpoint, and nothing is dropped."""
+    a failed one is retried from the checkpoint, and nothing is dropped.  Moves come in the same stream;
+    what a moved file holds is saved in the batch or read from `tree`."""
     def run(batch: DataFrame, _batch_id: int) -> None:
-        if not batch.isEmpty():
-            write_batch(engine, batch, tree=tree() if callable(tree) else tree)
+        if batch.isEmpty():
+            return
+        moves = batch.filter("old_path is not null").select("repo_id", "seq", "old_path", F.col("rel_path").alias("new_path"))
+        written = batch.filter("old_path is null or content is not null")
+        write_batch(engine, written, moves, tree=tree() if callable(tree) else tree)
 
     writer = saves.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}

@@ -1,143 +1,107 @@
 """Answers that arrive in chunks: sentences get their verdict as soon as they close.
 
-The state of an answer is the text not yet closed plus the last verdict, so it stays small however
-long the answer is.  The segmentation is the batch pattern, applied to the open text: the verdicts
-of a finished answer equal those of `operators.grounding.sentences` on the whole text.
+Each micro-batch is one DataFrame job.  An answer's state is a row with its open text: the last two
+sentences, as handles that still arrive can only join the sentence before them.  New chunks are put behind the
+open text, which is cut with the batch pattern, and a sentence is told when its text differs from what was told
+under its number.  So an amendment is a second version of a sentence, and the last versions of a finished
+answer equal `operators.grounding.sentences` on the whole text.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from symtrail import constants as K
 from symtrail.functions import answers as A
-
-_FENCE = re.compile(K.FENCE.replace(r"\z", r"\Z"))
-_STEMS = tuple(a for a in K.ABBREVIATIONS)
-_END = re.compile(r"[.!?](?=\s|$)")
-_RUN = re.compile(A.HANDLE_RUN)
-_PARTIAL = re.compile(r"[ \t]*(?:\[C\d+\][ \t]*)*\[(?:C\d*)?")
-_CLOSED = re.compile(r"(?:[.!?]|\[C\d+\])$")
-
-OUTPUT = "answer_id string, event_no long, text string, amends boolean"
-STATE = "buffer string, last string, open boolean, events long, next_chunk long, held string"
-
-
-def cuts(text: str) -> list[tuple[str, int]]:
-    """`(stripped sentence, end)` pairs of the open text."""
-    fences = [m.span() for m in _FENCE.finditer(text)]
-    ends = {hi for _, hi in fences}
-    for m in _END.finditer(text):
-        if any(lo <= m.start() < hi for lo, hi in fences):
-            continue
-        if text[max(0, m.end() - 6):m.end()].endswith(_STEMS):
-            continue
-        run = _RUN.match(text, m.end())
-        ends.add(run.end() if run else m.end())
-    out, start = [], 0
-    for end in [*sorted(ends), len(text)]:
-        if end > start:
-            if text[start:end].strip():
-                out.append((text[start:end].strip(), end))
-            start = end
-    return out
-
-
-class Progress:
-    """One answer's segmentation between chunks."""
-
-    def __init__(self, buffer="", last="", open_=False):
-        self.buffer, self.last, self.open, self.out = buffer, last, open_, []
-
-    def _say(self, text, amends=False):
-        self.last = text.strip()
-        self.out.append((self.last, amends))
-
-    def feed(self, chunk: str, final: bool = False) -> None:
-        self.buffer += chunk
-        if self.open and not self._late_handles(final):
-            return
-        found = cuts(self.buffer)
-        closing = found
-        if found and not final:
-            closing = found[:-1]
-            if _PARTIAL.fullmatch(found[-1][0]):
-                closing = found[:-2]                # its handle is still arriving
-            elif found[-1][1] < len(self.buffer):
-                closing = found
-        if not closing:
-            return
-        for text, _ in closing:
-            self._say(text)
-        self.buffer = self.buffer[closing[-1][1]:]
-        self.open = bool(_CLOSED.search(closing[-1][0])) and not self.buffer.strip(" \t")
-
-    def _late_handles(self, final: bool) -> bool:
-        """Handles after a closed sentence amend it; False while they could still be arriving."""
-        if not final and (not self.buffer.strip(" \t") or _PARTIAL.fullmatch(self.buffer)):
-            return False
-        run = _RUN.match(self.buffer)
-        if run is None:
-            self.open = False
-            return True
-        if not final and run.end() == len(self.buffer):
-            return False
-        self._say(self.last + self.buffer[:run.end()], amends=True)
-        self.buffer = self.buffer[run.end():]
-        self.open = not self.buffer.strip(" \t")
-        return True
-
-
-def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    import json
-
-    old = state.get if state.exists else ("", "", False, 0, 0, "{}")
-    progress = Progress(old[0], old[1], old[2])
-    events, turn, held = old[3], old[4], {int(k): v for k, v in json.loads(old[5]).items()}
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            held[int(row.chunk_no)] = [row.chunk, bool(row.final)]
-    finished = False
-    while turn in held:                              # chunks may come late; order is by number
-        chunk, last = held.pop(turn)
-        progress.feed(chunk, last)
-        turn += 1
-        finished = finished or last
-    rows = [(key[0], events + i, text, amends) for i, (text, amends) in enumerate(progress.out)]
-    if finished:
-        state.remove()
-    else:
-        state.update((progress.buffer, progress.last, progress.open, events + len(rows), turn, json.dumps(held)))
-    yield pd.DataFrame(rows, columns=["answer_id", "event_no", "text", "amends"])
-
-
-def sentence_events(chunks: DataFrame) -> DataFrame:
-    """`answer_id, event_no, text, amends` plus the verdict columns, from a stream of
-    `answer_id, chunk_no, chunk, final`."""
-    raw = chunks.groupBy("answer_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    return verdicts(raw)
-
-
-def verdicts(rows: DataFrame) -> DataFrame:
-    handles = A.handles(F.col("text"))
-    reason = A.claim_reason(F.col("text"))
-    return rows.withColumn("handles", handles).withColumn("reason", reason).withColumn(
-        "is_claim", A.is_claim(F.col("reason"))).withColumn("cited", F.size("handles") > 0)
+from symtrail.functions.text import strip
+from symtrail.operators import grounding as GR
+from symtrail.sources.snapshots import folder_of
+
+CHUNK = "chunk_no bigint, chunk string, final boolean"
+STATE = f"answer_id string, before bigint, text string, told array<string>, next_chunk bigint, held array<struct<{CHUNK.replace(' bigint', ':bigint').replace(' string', ':string').replace(' boolean', ':boolean')}>>, seen timestamp"
+EVENTS = "answer_id string, sentence_no bigint, version bigint, text string, amends boolean"
+
+#: Sentences that stay open: the last, and the one before it, which late handles may amend.
+OPEN_SENTENCES = 2
+
+
+def advance(state: DataFrame, chunks: DataFrame, version: int, timeout: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, next state) after one batch of `answer_id, chunk_no, chunk, final`.
+
+    Chunks may come late, in any order and twice; they are read in order of their number.  An answer that
+    got no chunk for `timeout` (an interval) ends where it is."""
+    arrived = chunks.groupBy("answer_id").agg(F.collect_set(F.struct("chunk_no", "chunk", "final")).alias("new"))
+    none = F.array().cast(f"array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>")
+    both = state.join(arrived, "answer_id", "full_outer")
+    start = F.coalesce("next_chunk", F.lit(0).cast("bigint"))
+    waiting = F.array_sort(F.array_distinct(F.concat(F.coalesce("held", none), F.coalesce("new", none))))
+    rows = both.select(
+        "answer_id", F.coalesce("before", F.lit(0).cast("bigint")).alias("before"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("told", F.array().cast("array<string>")).alias("told"), start.alias("start"),
+        F.filter(waiting, lambda c: c["chunk_no"] >= start).alias("waiting"),
+        F.when(F.col("new").isNull(), F.col("seen")).otherwise(F.current_timestamp()).alias("seen"), F.col("new").isNull().alias("silent"))
+    ready = F.filter("waiting", lambda c, i: c["chunk_no"] == F.col("start") + i)
+    late = F.col("silent") & (F.col("seen") < F.current_timestamp() - F.expr(f"interval {timeout}")) if timeout else F.lit(False)
+    rows = rows.withColumn("ready", ready).select(
+        "answer_id", "before", "told", "seen", "waiting", "start", F.size("ready").alias("n_ready"),
+        (F.exists("ready", lambda c: c["final"]) | late).alias("ended"),
+        F.concat("text", F.array_join(F.transform("ready", lambda c: c["chunk"]), "")).alias("text"))
+    rows = rows.withColumn("pieces", A.pieces(F.col("text")))
+    places = F.filter(F.sequence(F.lit(0), F.size("pieces") - 1), lambda i: strip(F.get("pieces", i)) != "")
+    rows = rows.withColumn("places", F.when(F.size("pieces") > 0, places).otherwise(F.array().cast("array<int>")))
+    n = F.size("places")
+    followed = F.coalesce(F.element_at("places", -1), F.lit(-1)) < F.size("pieces") - 1
+    rows = rows.withColumn("closed", F.when(F.col("ended"), n).otherwise(F.greatest(n - 1 + followed.cast("int"), F.lit(0))))
+    rows = rows.withColumn("now", F.transform("places", lambda p: strip(F.get("pieces", p))))
+
+    changed = F.transform(F.slice("now", F.lit(1), F.col("closed")), lambda s, i: F.struct(
+        (F.col("before") + i).alias("sentence_no"), s.alias("text"), F.get("told", i).isNotNull().alias("amends"),
+        (~F.get("told", i).eqNullSafe(s)).alias("new")))
+    events = rows.select("answer_id", F.explode(changed).alias("e")).filter("e.new").select(
+        "answer_id", "e.sentence_no", F.lit(version).cast("bigint").alias("version"), "e.text", "e.amends")
+
+    done = F.greatest(n - OPEN_SENTENCES, F.lit(0))
+    kept = F.when(n > 0, F.array_join(F.slice("pieces", F.get("places", done) + 1, F.size("pieces")), "")).otherwise(F.col("text"))
+    told = F.transform(F.slice("now", done + 1, F.lit(OPEN_SENTENCES)), lambda s, i: F.when(done + i < F.col("closed"), s).otherwise(F.get("told", done + i)))
+    following = rows.filter("not ended").select(
+        "answer_id", (F.col("before") + done).alias("before"), kept.alias("text"), told.alias("told"),
+        (F.col("start") + F.col("n_ready")).alias("next_chunk"), F.slice("waiting", F.col("n_ready") + 1, F.greatest(F.size("waiting"), F.lit(1))).alias("held"), "seen")
+    return events, following
+
+
+def start(chunks: DataFrame, folder: str, timeout: str | None = "1 hour", interval: str | None = None):
+    """Run a stream of chunks; events and state go to `folder`, a shared one.
+
+    State and events of a batch are written under its number, so a batch that is run again after a loss
+    overwrites what it wrote.  Without an interval the stream ends when its input is read."""
+    spark = chunks.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/state/batch={number - 1}"
+        fs, at = folder_of(spark, path)
+        state = spark.read.schema(STATE).parquet(path) if fs.exists(at) else spark.createDataFrame([], STATE)
+        events, following = advance(state, batch, number, timeout)
+        following.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        events.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+        older, gone = folder_of(spark, f"{folder}/state/batch={number - 2}")
+        older.delete(gone, True)
+
+    writer = chunks.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
+
+
+def told(spark: SparkSession, folder: str) -> DataFrame:
+    """All events of a stream so far."""
+    return spark.read.schema(EVENTS).option("recursiveFileLookup", "true").parquet(f"{folder}/events")
 
 
 def settled(events: DataFrame) -> DataFrame:
-    """The verdicts that stand: an amendment replaces the event before it.
-
-    `sentence_no` counts closed sentences; of the events of one number the last one stands."""
-    from symtrail.operators.keyed import running_sums
-    fresh = events.withColumn("_new", (~F.col("amends")).cast("int"))
-    numbered = running_sums(fresh, ["answer_id"], F.floor(F.col("event_no") / 4096), [F.col("event_no")], {"n": "_new"})
-    rest = [c for c in events.columns if c not in ("answer_id", "event_no", "amends")]
-    last = numbered.groupBy("answer_id", (F.col("n") - 1).alias("sentence_no")).agg(F.max_by(F.struct(*rest), "event_no").alias("e"))
-    return last.select("answer_id", F.col("sentence_no").cast("int").alias("sentence_no"), "e.*")
+    """The verdicts that stand: `answer_id, sentence_no, text` and the columns of a claim verdict."""
+    last = events.groupBy("answer_id", "sentence_no").agg(F.max_by("text", "version").alias("text"))
+    return GR.judged(last)
+
+
+def with_badges(verdicts: DataFrame, context: DataFrame) -> DataFrame:
+    """Adds `badge`: a citation of a block that is not in `context` (answer_id, handle) is unknown."""
+    bad = GR.handle_errors(verdicts, context).select("answer_id", "sentence_no", F.lit(True).alias("_bad")).distinct()
+    rows = verdicts.join(bad, ["answer_id", "sentence_no"], "left")
+    return rows.withColumn("badge", A.badge(F.col("is_claim"), F.col("_bad").isNull(), F.col("cited"))).drop("_bad")

@@ -16,7 +16,7 @@ def test_lookup_salts_hot_keys(spark):
     l = spark.createDataFrame(left, "i int, k string")
     r = spark.createDataFrame(right, "k string, v string")
     plain = sorted(map(tuple, l.join(r, "k", "left").collect()), key=str)
-    salted = keyed.lookup(l, r, ["k"], hot_rows=50, salts=4)
+    salted = keyed.lookup(l, r, ["k"], hot_rows=50)
     assert sorted(map(tuple, salted.select("k", "i", "v").collect()), key=str) == plain
     assert keyed.lookup(l, r, ["k"], "inner", hot_rows=50).count() == l.join(r, "k").count()
 
@@ -55,7 +55,7 @@ def test_innermost(spark):
         spans.append((rng.choice("xy"), a, min(255, a + rng.choice([0, 1, 3, 10, 60, 200])), f"s{i:03d}"))
     points = [(f, p) for f in "xyz" for p in range(0, 256)]
     got = {(r.f, r.p): r.uid for r in keyed.innermost(
-        spark.createDataFrame(points, "f string, p int"), spark.createDataFrame(spans, "f string, a int, b int, uid string"), ["f"], "p", "a", "b", ["uid"], bits=8).collect()}
+        spark.createDataFrame(points, "f string, p int"), spark.createDataFrame(spans, "f string, a int, b int, uid string"), ["f"], "p", "a", "b", ["uid"]).collect()}
     for f, p in points:
         hits = [(-a, b, u) for ff, a, b, u in spans if ff == f and a <= p <= b]
         assert got[f, p] == (min(hits)[2] if hits else None)
@@ -81,8 +81,9 @@ def test_collapse_chains(spark):
         for _, old, new in moves:
             at[new] = at.pop(old, old)
         want = {(o, n) for n, o in at.items() if o != n}
-        df = spark.createDataFrame(moves, "seq bigint, old_path string, new_path string")
-        assert {tuple(r) for r in M.collapse_chains(df).collect()} == want
+        rows = [("r", *m) for m in moves] + [("other", i, "a", "z") for i in range(1)]
+        df = spark.createDataFrame(rows, "repo_id string, seq bigint, old_path string, new_path string")
+        assert {tuple(r) for r in M.collapse_chains(df).collect()} == {("r", *w) for w in want} | {("other", "a", "z")}
 
 
 def test_undetected_moves(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symtrail.functions import answers as A, paths as P, questions as Q, text as X
-from symtrail.streaming.validator import Progress
+from symtrail.streaming import validator
 
 
 def column(spark, values, fn):
@@ -73,17 +73,38 @@ def test_relations(spark):
     assert [[(t.subject, t.relation, t.object) for t in rows] for rows in got] == list(cases.values())
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 1000])
+def test_a_marker_character_is_text(spark):
+    assert column(spark, ["One\x01 two. Three\x01."], A.sentences) == [["One\x01 two.", "Three\x01."]]
+
+
+@pytest.mark.parametrize("size", [1, 4, 9, 1000])
 def test_chunked_answers_equal_whole_answers(spark, size):
-    whole = column(spark, [ANSWER], A.sentences)[0]
-    progress = Progress()
-    pieces = [ANSWER[i:i + size] for i in range(0, len(ANSWER), size)]
-    for i, piece in enumerate(pieces):
-        progress.feed(piece, final=i == len(pieces) - 1)
-    settled = []
-    for text, amends in progress.out:
-        settled = settled[:-1] + [text] if amends else settled + [text]
-    assert settled == whole
+    """Every fourth chunk comes after the next one, and every third comes twice."""
+    texts = {"a": ANSWER, "b": "No. 5 is e.g. fine!? Yes. [C1] [C2] ``` x. y", "c": " \n "}
+    rows = [(k, i, t[j:j + size], j + size >= len(t)) for k, t in texts.items() for i, j in enumerate(range(0, len(t), size))]
+    schema = "answer_id string, chunk_no bigint, chunk string, final boolean"
+    state, events = spark.createDataFrame([], validator.STATE), None
+    step = max(1, len(rows) // 5)
+    order = sorted(rows, key=lambda r: (r[1] + (1.5 if r[1] % 4 == 3 else 0), r[0]))
+    for version, at in enumerate(range(0, len(order), step)):
+        batch = order[at:at + step] + [r for r in order[max(0, at - 3):at] if not r[3]]
+        told, state = validator.advance(state, spark.createDataFrame(batch, schema), version)
+        told, state = told.cache(), state.cache()
+        events = told if events is None else events.unionByName(told)
+    assert state.isEmpty()
+    found = {(r["answer_id"], r["sentence_no"]): r["text"] for r in validator.settled(events).collect()}
+    whole = dict(zip(texts, column(spark, list(texts.values()), A.sentences)))
+    assert found == {(k, i): s for k, own in whole.items() for i, s in enumerate(own)}
+
+
+def test_a_silent_answer_ends(spark):
+    schema = "answer_id string, chunk_no bigint, chunk string, final boolean"
+    _, state = validator.advance(spark.createDataFrame([], validator.STATE), spark.createDataFrame([("a", 0, "An open end", False)], schema), 0)
+    state = spark.createDataFrame(state.collect(), validator.STATE)
+    assert validator.advance(state, spark.createDataFrame([], schema), 1, "1 hour")[0].isEmpty()
+    old = state.withColumn("seen", F.col("seen") - F.expr("interval 2 hours"))
+    events, rest = validator.advance(old, spark.createDataFrame([], schema), 1, "1 hour")
+    assert [r["text"] for r in events.collect()] == ["An open end"] and rest.isEmpty()
 
 
 def test_streamed_saves(spark, tmp_path):
