@@ -164,7 +164,7 @@ class CodeGraph:
 class Answered:
     routed: DataFrame       # question_id, query_class, decided_by, rule, route_taken
     entities: DataFrame     # question_id, term, verdict, candidates
-    related: DataFrame      # question_id, uid, via, path, position, related_total
+    related: DataFrame      # question_id, uid, via, path, position, related_total, truncated
     frames: DataFrame       # question_id, frame_no, ..., uid, tier, badge
     blocks: DataFrame       # question_id, uid, role, score
     packed: DataFrame
@@ -186,13 +186,14 @@ def ask(graph: Graph, questions: DataFrame, root: str | None = None, query_vecto
         mine = entities.filter(F.col("rule") == rule).select("question_id", "uid")
         if rule == "impact":
             walk = G.impact(mine, symbols, edges)
-            total = walk.groupBy("question_id").agg(F.count(F.lit(1)).alias("related_total"))
+            total = walk.groupBy("question_id").agg(F.count(F.lit(1)).alias("related_total"), F.max("truncated").alias("truncated"))
             parts.append(walk.join(total, "question_id").select("question_id", "uid", F.lit("").alias("via"), "path",
-                                                                F.col("position").cast("int").alias("position"), "related_total"))
+                                                                F.col("position").cast("int").alias("position"), "related_total", "truncated"))
         else:
             parts.append(G.shown(G.traverse(mine, symbols, edges, rule), symbols).select(
-                "question_id", "uid", "via", F.array().cast("array<string>").alias("path"), "position", "related_total"))
-    shape = "question_id string, uid string, via string, path array<string>, position int, related_total bigint"
+                "question_id", "uid", "via", F.array().cast("array<string>").alias("path"), "position", "related_total",
+                (F.col("related_total") > K.STRUCTURAL_RESULT_LIMIT).alias("truncated")))
+    shape = "question_id string, uid string, via string, path array<string>, position int, related_total bigint, truncated boolean"
     related = SC.empty(questions.sparkSession, shape)
     for part in parts:
         related = related.unionByName(part)

@@ -75,11 +75,14 @@ def map_positions(segments: DataFrame) -> DataFrame:
 
 def original_positions(lookups: DataFrame, positions: DataFrame) -> DataFrame:
     """The mapping in force at each 1-based generated `(line_no, col_no)`: the last segment starting
-    at or before it on that line.  Unmapped positions get nulls."""
+    at or before it on that line.  Unmapped positions get nulls.
+
+    Equal positions are looked up once, so a frame that many traces share is one row of the ordered work."""
     asked = lookups.withColumn("gen_line", F.col("line_no") - 1).withColumn("_at", F.col("col_no") - 1)
-    out = as_of(asked, positions.withColumn("gen_column", F.col("gen_column").cast("int")), ["map_id", "gen_line"], "_at",
+    spots = asked.select("map_id", "gen_line", "_at").distinct()
+    out = as_of(spots, positions.withColumn("gen_column", F.col("gen_column").cast("int")), ["map_id", "gen_line"], "_at",
                 "gen_column", ["source", "line", "column"], lambda c: F.floor(c / 65536), tie="seg")
-    return out.drop("gen_line", "_at", "matched_at")
+    return lookup(asked, out.drop("matched_at"), ["map_id", "gen_line", "_at"]).drop("gen_line", "_at")
 
 
 def compiled_map_path(file_path, root: str | None = None):
