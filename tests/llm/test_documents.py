@@ -137,23 +137,25 @@ def test_round_trip_of_odd_rows(documents):
 def test_targets_stop_at_twice_their_source(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 30), ("c", 500)], "source string, source_size long")
     found = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
-    level = (1540 * 1.5 - 20 - 60) / (1 + 2)           # weights a 3, b 1, c 2, null 3; a and null are full
-    assert found["a"] == 20 and found[None] == 60
-    assert math.isclose(found["b"], level) and math.isclose(found["c"], min(1000, 2 * level))
-    assert math.isclose(sum(found.values()), 1540 * 1.5)
+    # weights a 3, b 1, c 2, null 3: a and null are full, then c, and b gets the rest
+    assert found == {"a": 20, "b": 1540 * 1.5 - 20 - 60 - 1000, "c": 1000, None: 60}
+    even = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([("a", 90), ("b", 90), ("c", 90)], "source string, source_size long")).collect()}
+    assert all(math.isclose(even[k], v) for k, v in {"a": 180, "b": 75, "c": 150}.items())
 
 
 def test_mix_takes_what_the_budget_allows(documents):
     pairs = [(k, "w " * (k % 50 + 1), "abc"[k % 3]) for k in range(600)] + [(r[0] and 1000 + r[0], r[1], None) for r in ODD]
     found = mixing.mix(documents(*pairs)).collect()
     assert len(found) == len(pairs)
-    by_source = defaultdict(list)
+    by_source, source_of = defaultdict(list), {p[0]: p[2] for p in pairs}
     for r in found:
         assert r["taken"] in (0, r["size"], 2 * r["size"])
-        by_source[r["source_size"], r["target"]].append(r)
-    for (size, target), own in by_source.items():
-        assert target <= 2 * size + 1e-9
+        by_source[source_of[r["doc_id"]]].append(r)
+    for own in by_source.values():
+        target, = {r["target"] for r in own}
+        assert {r["source_size"] for r in own} == {sum(r["size"] for r in own)} and target <= 2 * own[0]["source_size"] + 1e-9
         assert abs(sum(r["taken"] for r in own) - target) <= max(r["size"] for r in own)
+    assert len(by_source) == 4 and any(0 < r["target"] < 2 * r["source_size"] for r in found)
     assert sorted(map(str, found)) == sorted(map(str, mixing.mix(documents(*pairs[::-1])).collect()))
     assert mixing.mix(documents()).count() == 0 and mixing.repeated(documents()).count() == 0
 
