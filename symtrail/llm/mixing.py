@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from symtrail.session import cut
 
 #: Hash digits (of four bits) of one histogram level, and the number of levels.
-LEVEL_DIGITS, LEVELS = 4, 3
+LEVEL_DIGITS, LEVELS = 3, 4
 
 WHITE_SPACE = " \t\n\x0b\f\r"
 
@@ -65,6 +65,7 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("repeats"),
     ).withColumn("left", F.col("target") - F.col("repeats") * F.col("source_size")).withColumn("below", F.lit(""))
     for k in range(LEVELS):
+        state = cut(state)          # a row per source, read three times by its level
         last = k == LEVELS - 1
         inside = sized.alias("d").join(
             state.select(F.col("source").alias("s"), F.col("below").alias("prefix")),
