@@ -28,13 +28,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """(bytes, offsets) of a string column; null counts as empty.  The bytes are those of Arrow, not a copy."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     buffers = column.buffers()
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(buffers[1], np.int64, n + 1, column.offset * 8)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(buffers[1], kind, n + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 

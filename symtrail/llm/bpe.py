@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from symtrail.llm.arrays import blocks, texts_of
 
 #: Pieces whose ids a task remembers; when there are more, it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 #: The splitting pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -17,7 +17,7 @@ from symtrail.llm import labelled
 from symtrail.llm.arrays import blocks, texts_of, words_of
 
 #: Buckets of hashed words, factors, and the labelled documents that a fit uses at most.
-WORD_BUCKETS, FACTORS, SAMPLE_DOCS = 1 << 15, 4, 8_000
+WORD_BUCKETS, FACTORS, SAMPLE_DOCS = 1 << 15, 4, 5_000
 HELD_OUT = (4, 2)
 THRESHOLD = 0.7
 
@@ -157,11 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
                 wide = pa.array(np.arange(0, (b - a + 1) * N_STATS, N_STATS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [answers.slice(a, b - a).cast(pa.int32()), pa.ListArray.from_arrays(at, pa.array(f.bucket.astype(np.int32))),
-                     pa.ListArray.from_arrays(at, pa.array(f.value)), pa.ListArray.from_arrays(wide, pa.array(f.stats.ravel()))],
+                     pa.ListArray.from_arrays(at, pa.array(f.value.astype(np.float32))), pa.ListArray.from_arrays(wide, pa.array(f.stats.ravel()))],
                     ["label", "bucket", "value", "stats"])
 
     found = labelled.with_label(_with_chars(docs), chosen, "text", "n_chars").mapInArrow(
-        run, "label int, bucket array<int>, value array<double>, stats array<double>").toArrow().combine_chunks()
+        run, "label int, bucket array<int>, value array<float>, stats array<double>").toArrow().combine_chunks()
     answers = found.column("label").to_numpy()
     if len(answers) == 0:
         size = WORD_BUCKETS + N_STATS
