@@ -35,12 +35,14 @@ _RUN = LENGTH - GRAM + 1
 #: Bytes of text that anchors are taken from at once; a longer text is cut with an overlap of LENGTH - 1.
 SEGMENT = 1 << 20
 
-#: Pieces of one anchor that are refined in one task, and suffixes that are refined at once.
-HOT, REFINED_AT_ONCE = 20_000, 1_500_000
+#: Pieces of one anchor that are refined in one task, bytes of pieces that are refined at once, and bytes
+#: of pieces that a task packs at once.
+HOT, REFINED_AT_ONCE, PACK_BYTES = 20_000, 1_500_000, 8 << 20
 
 _BYTES = byte_table(fold=False, seed=11)
 _PLACE = U64((1 << 20) - 1)
 
+#: Kinds of rows.
 _PIECE, _GONE, _COLD, _HOT = 0, 1, 2, 3
 
 
@@ -167,7 +169,8 @@ def _pieces(docs: DataFrame) -> DataFrame:
 
 
 def _decided(pieces: DataFrame) -> DataFrame:
-    """(doc, tag, kind, start, end, place): pieces that are removed whole (kind 1) and those to refine.
+    """(doc, kind, place, end): pieces that are removed whole (kind 0), spans that are already removed (kind 1,
+    with their end) and pieces to refine.
 
     Rows come sorted by key and piece, so that of a bucket only its pieces up to HOT are held at a time."""
 
@@ -177,24 +180,17 @@ def _decided(pieces: DataFrame) -> DataFrame:
         waiting_doc: list[np.ndarray] = []          # first pieces of the bucket now open
         waiting_place: list[np.ndarray] = []
 
-        def emit(doc, place, kind, start, end) -> pa.RecordBatch:
+        def emit(doc: np.ndarray, place: np.ndarray, kind: int, end: np.ndarray | None = None) -> pa.RecordBatch:
+            end = np.zeros(len(doc), np.int64) if end is None else end
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(place & 0xFFFF), pa.array(np.full(len(doc), kind, np.int8)), pa.array(start), pa.array(end), pa.array(place)],
-                ["doc", "tag", "kind", "start", "end", "place"])
-
-        def whole(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-            low, _, high = _unpacked(place)
-            return emit(doc, place, _GONE, low, high + LENGTH)
-
-        def refined(doc: np.ndarray, place: np.ndarray, kind: int) -> pa.RecordBatch:
-            return emit(doc, place, kind, np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64))
+                [pa.array(doc), pa.array(np.full(len(doc), kind, np.int8)), pa.array(place), pa.array(end)], ["doc", "kind", "place", "end"])
 
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             key, piece, doc, place = (batch.column(c).to_numpy() for c in ("key", "piece", "doc", "place"))
             gone = kind == _GONE
             if gone.any():
-                yield emit(doc[gone], place[gone], _GONE, place[gone] >> 30, piece[gone])
+                yield emit(doc[gone], place[gone], _GONE, piece[gone])
             key, piece, doc, place = key[~gone], piece[~gone], doc[~gone], place[~gone]
             n = len(key)
             if n == 0:
@@ -211,39 +207,39 @@ def _decided(pieces: DataFrame) -> DataFrame:
             lead_low = np.where(lead >= 0, low[lead], last[3])
             later = ~new & ((doc != lead_doc) | (low != lead_low))
             if later.any():
-                yield whole(doc[later], place[later])
+                yield emit(doc[later], place[later], _PIECE)
             firsts = np.flatnonzero(new)
             opens = np.flatnonzero(bucket[firsts])
             head = firsts[:opens[0]] if len(opens) else firsts           # of the bucket that was open
             if len(head):
                 if hot:
-                    yield refined(doc[head], place[head], _HOT)
+                    yield emit(doc[head], place[head], _HOT)
                 else:
                     waiting_doc.append(doc[head])
                     waiting_place.append(place[head])
                     if sum(map(len, waiting_doc)) > HOT:
                         hot = True
-                        yield refined(np.concatenate(waiting_doc), np.concatenate(waiting_place), _HOT)
+                        yield emit(np.concatenate(waiting_doc), np.concatenate(waiting_place), _HOT)
                         waiting_doc, waiting_place = [], []
             if len(opens):
                 if sum(map(len, waiting_doc)) > 1:
-                    yield refined(np.concatenate(waiting_doc), np.concatenate(waiting_place), _COLD)
+                    yield emit(np.concatenate(waiting_doc), np.concatenate(waiting_place), _COLD)
                 sizes = np.diff(np.append(opens, len(firsts)))
                 inner = np.repeat((sizes > 1) & (np.arange(len(sizes)) < len(sizes) - 1), sizes)
                 crowded = np.repeat(sizes > HOT, sizes) & inner
                 body = firsts[opens[0]:]
                 for mask, k in ((inner & ~crowded, _COLD), (crowded, _HOT)):
                     if mask.any():
-                        yield refined(doc[body[mask]], place[body[mask]], k)
+                        yield emit(doc[body[mask]], place[body[mask]], k)
                 tail = firsts[opens[-1]:]
                 waiting_doc, waiting_place, hot = [doc[tail]], [place[tail]], False
             last = np.array([key[-1], piece[-1], lead_doc[-1], lead_low[-1]])
             started = True
         if not hot and sum(map(len, waiting_doc)) > 1:
-            yield refined(np.concatenate(waiting_doc), np.concatenate(waiting_place), _COLD)
+            yield emit(np.concatenate(waiting_doc), np.concatenate(waiting_place), _COLD)
 
     ordered = pieces.repartition("key").sortWithinPartitions("key", "piece", "doc", "place")
-    return ordered.mapInArrow(run, "doc long, tag long, kind byte, start long, end long, place long")
+    return ordered.mapInArrow(run, "doc long, kind byte, place long, end long")
 
 
 def refine(data: np.ndarray, suffixes: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -268,38 +264,103 @@ def refine(data: np.ndarray, suffixes: np.ndarray, bucket: np.ndarray) -> np.nda
     return out
 
 
-def _piece_texts(found: DataFrame) -> DataFrame:
-    """(key, doc, place, bytes) of the pieces to refine."""
+def _found(decided: DataFrame) -> DataFrame:
+    """(doc, tag, gone, cold, hot), one row per document: spans removed so far, and pieces to refine."""
+    of = lambda kind, value: F.collect_list(F.when(F.col("kind") == kind, value))
+    rows = decided.withColumn("tag", F.col("place").bitwiseAND(F.lit(0xFFFF))).groupBy("doc", "tag").agg(
+        of(_PIECE, F.col("place")).alias("whole"), of(_GONE, F.col("place")).alias("begin"), of(_GONE, F.col("end")).alias("end"),
+        of(_COLD, F.col("place")).alias("cold"), of(_HOT, F.col("place")).alias("hot"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+            return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), lengths)
+
+        for batch in batches:
+            (whole, of_whole), (begin, of_begin), (end, _) = (flat(batch.column(c)) for c in ("whole", "begin", "end"))
+            low, _, high = _unpacked(whole)
+            own, start, stop = _runs(np.concatenate([low, begin >> 30]), np.concatenate([high + LENGTH, end]), np.concatenate([of_whole, of_begin]))
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(own, np.arange(len(batch) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], ["start", "end"]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("tag"), lists, batch.column("cold"), batch.column("hot")], ["doc", "tag", "gone", "cold", "hot"])
+
+    return rows.mapInArrow(run, "doc long, tag long, gone array<struct<start:long,end:long>>, cold array<long>, hot array<long>")
+
+
+def _zipped(texts: DataFrame) -> DataFrame:
+    """(doc_id, doc, tag, packed, n_bytes): every text compressed, as it is shuffled once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
-            lists = batch.column("cold")
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            place = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(batch)), counts)
-            doc = batch.column("doc").to_numpy()
-            for part in np.array_split(np.arange(len(place)), max(1, len(place) // 20_000)):
-                low, at, high = _unpacked(place[part])
-                base = offsets[:-1][owner[part]]
-                start, end = base + low, base + high + LENGTH
-                sizes = end - start
-                ends = np.concatenate(([0], np.cumsum(sizes)))
-                flat = data[np.repeat(start - ends[:-1], sizes) + np.arange(ends[-1])]
-                grams = data[(base + at)[:, None] + np.arange(GRAM)] if len(part) else np.zeros((0, GRAM), np.uint8)
+            raw, at = memoryview(data), offsets.tolist()
+            packed = [pa.compress(pa.py_buffer(raw[a:b]), "zstd", asbytes=True) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "doc", "tag")), pa.array(packed, pa.binary()), pa.array(np.diff(offsets))], ["doc_id", "doc", "tag", "packed", "n_bytes"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, doc long, tag long, packed binary, n_bytes long")
+
+
+def _unzipped(packed, n_bytes: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, n_bytes, "zstd"), np.uint8) if n_bytes else np.zeros(0, np.uint8)
+
+
+def _piece_texts(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, blob): the pieces to refine of `rows`, packed by a hash of their anchor's bytes.
+
+    Rows without any are skipped here and not filtered, so that this plan and that of the result read one
+    exchange of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            key, doc, place, sizes = (np.concatenate([h[k] for h in held]) for k in range(4))
+            data = np.concatenate([h[4] for h in held])
+            block = (key % U64(n_blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            edges = np.searchsorted(block[order], np.arange(n_blocks + 1))
+            starts = np.cumsum(sizes) - sizes
+            blobs = []
+            for k in range(n_blocks):
+                own = order[edges[k]:edges[k + 1]]
+                flat = data[np.repeat(starts[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(sizes[own].sum())]
+                raw = b"".join([np.array([len(own), len(flat)], "<i8").tobytes(), key[own].tobytes(), doc[own].tobytes(), place[own].tobytes(), sizes[own].tobytes(), flat.tobytes()])
+                blobs.append(np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(n_blocks, dtype=np.int32)), pa.array(blobs, pa.binary())], ["block", "blob"])
+
+        for batch in batches:
+            docs, counts = batch.column("doc").to_numpy(), batch.column("n_bytes").to_numpy()
+            for k in range(len(batch)):
+                place = batch.column("cold").slice(k, 1).flatten().to_numpy(zero_copy_only=False)
+                if len(place) == 0:
+                    continue
+                data = _unzipped(batch.column("packed")[k].as_buffer(), int(counts[k]))
+                low, at, high = _unpacked(place)
+                sizes = high + LENGTH - low
+                ends = np.cumsum(sizes)
+                flat = data[np.repeat(low - (ends - sizes), sizes) + np.arange(ends[-1])]
+                grams = data[at[:, None] + np.arange(GRAM)]
                 key = _string_hashes(grams.ravel(), np.arange(0, grams.size, GRAM), np.arange(GRAM, grams.size + 1, GRAM))
-                raw = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(doc[owner[part]]), pa.array(place[part]), raw], ["key", "doc", "place", "bytes"])
+                held.append((key, np.full(len(place), docs[k]), place, sizes, flat))
+                size += len(flat)
+                if size >= PACK_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
-    return found.filter(F.size("cold") > 0).select("doc", "text", "cold").mapInArrow(run, "key long, doc long, place long, bytes binary")
+    return rows.select("doc_id", "doc", "tag", "packed", "n_bytes", "cold").mapInArrow(run, "block int, blob binary")
 
 
-def _later_suffixes(pieces: DataFrame) -> DataFrame:
+def _later_suffixes(pieces: DataFrame, n_blocks: int) -> DataFrame:
     """(doc, tag, start, end): spans of the strings in `pieces` that also start earlier."""
 
     def judged(key: np.ndarray, doc: np.ndarray, place: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
-        low, at, high = _unpacked(place)
+        low, _, high = _unpacked(place)
         base = np.cumsum(sizes) - sizes
         counts = high - low + 1
         owner = np.repeat(np.arange(len(place)), counts)
@@ -317,47 +378,52 @@ def _later_suffixes(pieces: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(doc[own]), pa.array(place[own] & 0xFFFF), pa.array(begin), pa.array(end)], ["doc", "tag", "start", "end"])
 
+    def of_block(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, as many at once as hold about REFINED_AT_ONCE bytes."""
+        parts = []
+        for blob in blobs:
+            raw = pa.decompress(pa.py_buffer(blob)[8:], int(np.frombuffer(blob, "<i8", 1)[0]), "zstd").to_pybytes()
+            n, size = np.frombuffer(raw, "<i8", 2).tolist()
+            columns = [np.frombuffer(raw, kind, n, 16 + 8 * n * k) for k, kind in enumerate(("<u8", "<i8", "<i8", "<i8"))]
+            parts.append((*columns, np.frombuffer(raw, np.uint8, size, 16 + 32 * n)))
+        key, doc, place, sizes, data = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        starts = np.cumsum(sizes) - sizes
+        order = np.lexsort((place, doc, key))
+        ranked, until = key[order], np.cumsum(sizes[order])
+        borders = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, len(ranked))
+        first = 0
+        while first < len(order):
+            reach = np.searchsorted(until, (until[first - 1] if first else 0) + REFINED_AT_ONCE)
+            stop = int(borders[np.searchsorted(borders, max(reach, first + 1), "left")]) if reach < len(order) else len(order)
+            own = order[first:stop]
+            flat = data[np.repeat(starts[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(sizes[own].sum())]
+            yield judged(key[own], doc[own], place[own], sizes[own], flat)
+            first = stop
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        block, held = None, []
         for batch in batches:
-            key, doc, place = (batch.column(c).to_numpy() for c in ("key", "doc", "place"))
-            raw = batch.column("bytes").cast(pa.large_binary())
-            ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
-            data = np.frombuffer(raw.buffers()[2], np.uint8)
-            # whole buckets are judged together once enough suffixes wait; the last bucket may go on
-            first = 0
-            borders = np.flatnonzero(key[1:] != key[:-1]) + 1
-            if held and len(key) and held[-1][0][-1] != key[0]:
-                borders = np.concatenate(([0], borders))
-            while True:
-                room = np.searchsorted(ends, ends[first] + max(0, REFINED_AT_ONCE - size), "left")
-                at = borders[np.searchsorted(borders, max(room, first + (not held)), "left"):]
-                stop = int(at[0]) if len(at) else len(key)
-                if stop > first or (len(at) and held):
-                    if stop > first:
-                        held.append((key[first:stop], doc[first:stop], place[first:stop], np.diff(ends[first:stop + 1]), data[ends[first]:ends[stop]].copy()))
-                        size += int(ends[stop] - ends[first])
-                if not len(at):
-                    break
-                yield judged(*(np.concatenate(x) for x in zip(*held)))
-                held, size, first = [], 0, stop
-                if first >= len(key):
-                    break
+            for k, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist()):
+                if k != block and held:
+                    yield from of_block(held)
+                    held = []
+                block = k
+                held.append(blob)
         if held:
-            yield judged(*(np.concatenate(x) for x in zip(*held)))
+            yield from of_block(held)
 
-    return pieces.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(run, "doc long, tag long, start long, end long")
+    return pieces.repartition(n_blocks, "block").sortWithinPartitions("block").mapInArrow(run, "doc long, tag long, start long, end long")
 
 
-def _later_strings(found: DataFrame) -> DataFrame:
+def _later_strings(rows: DataFrame) -> DataFrame:
     """(doc, tag, start, end) as `_later_suffixes`, for crowded buckets: every string is spread by its own hashes."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             for k in range(len(batch)):
-                data, _ = texts_of(batch.column("text").slice(k, 1))
+                data = _unzipped(batch.column("packed")[k].as_buffer(), batch.column("n_bytes")[k].as_py())
                 place = np.array(batch.column("hot")[k].as_py(), np.int64)
                 for part in np.array_split(place, max(1, len(place) // 2_000)):
                     low, _, high = _unpacked(part)
@@ -371,7 +437,7 @@ def _later_strings(found: DataFrame) -> DataFrame:
                         [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(start), doc[k])), pa.array(np.full(len(start), tag[k])), pa.array(start)],
                         ["one", "two", "doc", "tag", "start"])
 
-    own = found.filter(F.size("hot") > 0).select("doc", "tag", "text", "hot").mapInArrow(strings, "one long, two long, doc long, tag long, start long")
+    own = rows.filter(F.size("hot") > 0).select("doc", "tag", "packed", "n_bytes", "hot").mapInArrow(strings, "one long, two long, doc long, tag long, start long")
     firsts = own.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = own.join(firsts, ["one", "two"]).filter("struct(doc, start) != lead")
     return later.select("doc", "tag", "start", (F.col("start") + LENGTH).alias("end"))
@@ -385,19 +451,13 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     and text are one document that is listed several times; rows with the same id and other text compare by
     where their strings start.  Null counts as empty; texts under 100 bytes lose nothing.  An empty table
     gives no rows; other columns are not read."""
+    n_blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = _identified(docs)
-    decided = _decided(_pieces(texts))
-    when = lambda kind, value: F.collect_list(F.when(F.col("kind") == kind, value))
-    found = cut(decided.groupBy("doc", "tag").agg(
-        when(_GONE, F.struct("start", "end")).alias("gone"), when(_COLD, F.col("place")).alias("cold"), when(_HOT, F.col("place")).alias("hot")))
-    joined = texts.join(found, ["doc", "tag"], "left").withColumn("hit", F.col("gone").isNotNull())
-    with_text = cut(joined.select(
-        "doc_id", "doc", "tag", F.when(F.col("hit"), F.col("text")).alias("text"), "gone", "cold", "hot", "hit",
-        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-        F.when(~F.col("hit"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("kept_sha256")))
-    hits = with_text.filter("hit")
-    once = hits.dropDuplicates(["doc", "tag"]) if not hits.groupBy("doc", "tag").count().filter("count > 1").isEmpty() else hits
-    later = _later_suffixes(_piece_texts(once)).unionByName(_later_strings(once))
+    found = cut(_found(_decided(_pieces(texts))))
+    rows = _zipped(texts).join(found, ["doc", "tag"], "left")
+    later = _later_suffixes(_piece_texts(rows, n_blocks), n_blocks)
+    if not found.filter(F.size("hot") > 0).isEmpty():
+        later = later.unionByName(_later_strings(rows))
     more = later.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("more"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,10 +466,9 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
             return tuple(lists.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
 
         for batch in batches:
-            data, offsets = texts_of(batch.column("text"))
             removed, runs, digests = [], [], []
             for k in range(len(batch)):
-                text = data[offsets[k]:offsets[k + 1]]
+                text = _unzipped(batch.column("packed")[k].as_buffer(), batch.column("n_bytes")[k].as_py())
                 pairs = [spans(batch.column(c), k) for c in ("gone", "more")]
                 start, end = (np.concatenate([p[j] for p in pairs]) for j in (0, 1))
                 _, start, end = _runs(start, end, np.zeros(len(start), np.int64))
@@ -425,7 +484,5 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cleaned = hits.join(more, ["doc", "tag"], "left").select("doc_id", "n_bytes", "text", "gone", "more").mapInArrow(
+    return rows.join(more, ["doc", "tag"], "left").select("doc_id", "doc", "tag", "packed", "n_bytes", "gone", "more").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    untouched = with_text.filter("not hit").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")
-    return cleaned.unionByName(untouched)
