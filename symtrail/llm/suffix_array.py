@@ -423,8 +423,10 @@ def _later_strings(rows: DataFrame) -> DataFrame:
         for batch in batches:
             doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             for k in range(len(batch)):
+                place = np.array(batch.column("hot")[k].as_py() or [], np.int64)
+                if len(place) == 0:         # skipped here, as in _piece_texts
+                    continue
                 data = _unzipped(batch.column("packed")[k].as_buffer(), batch.column("n_bytes")[k].as_py())
-                place = np.array(batch.column("hot")[k].as_py(), np.int64)
                 for part in np.array_split(place, max(1, len(place) // 2_000)):
                     low, _, high = _unpacked(part)
                     counts = high - low + 1
@@ -437,7 +439,7 @@ def _later_strings(rows: DataFrame) -> DataFrame:
                         [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(start), doc[k])), pa.array(np.full(len(start), tag[k])), pa.array(start)],
                         ["one", "two", "doc", "tag", "start"])
 
-    own = rows.filter(F.size("hot") > 0).select("doc", "tag", "packed", "n_bytes", "hot").mapInArrow(strings, "one long, two long, doc long, tag long, start long")
+    own = rows.select("doc_id", "doc", "tag", "packed", "n_bytes", "hot").mapInArrow(strings, "one long, two long, doc long, tag long, start long")
     firsts = own.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = own.join(firsts, ["one", "two"]).filter("struct(doc, start) != lead")
     return later.select("doc", "tag", "start", (F.col("start") + LENGTH).alias("end"))
