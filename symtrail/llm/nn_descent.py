@@ -4,8 +4,9 @@
    row form small blocks, and each keeps its best neighbours in its block, over several projections.
 2. NN-descent.  The neighbours of a node (forwards and backwards) are compared with each other wherever one
    of them is new, and every node keeps its best; rounds end when few neighbours are new.
-3. A node whose whole list passes the threshold is saturated: it may have more links than its list holds.
-   Its list is enlarged to its component of threshold edges, where links are counted block by block.
+3. Links are counted block by block within the components of threshold edges.  A node with as many of them as
+   a list holds is saturated: it may have links that no list holds, also out of its component.  It is compared
+   with every vector of its label, which may join components; that ends when no saturated node is left.
 4. An audit compares the links of a fixed number of sampled nodes with brute force over all vectors, and
    starts a further graph from other projections while recall is too low.
 
@@ -37,6 +38,9 @@ ROUNDS, STILL_NEW = 3, 0.02
 #: Vectors of a block when components are counted.
 COUNT_BLOCK = 1_024
 
+#: Vectors of a block when saturated nodes are compared with all, and rows of it that are compared at once.
+SEARCH_BLOCK, SEARCH_ROWS = 4_096, 512
+
 #: Nodes whose links the audit counts by brute force, the recall asked for, and the starts at most.
 AUDITED, RECALL, STARTS = 256, 0.97, 3
 
@@ -157,11 +161,30 @@ def neighbour_graph(nodes: DataFrame, n: int, seed: int, known: DataFrame | None
     return graph
 
 
+def _units(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple[int, ...], list[pa.RecordBatch]]]:
+    """(key, its rows) of sorted batches, for each value of the key columns."""
+    key, held = None, []
+    for batch in batches:
+        if len(batch) == 0:
+            continue
+        own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in columns])
+        borders = np.concatenate(([0], np.flatnonzero((own[:, 1:] != own[:, :-1]).any(0)) + 1, [len(batch)]))
+        for a, b in zip(borders.tolist(), borders[1:].tolist()):
+            now = tuple(own[:, a].tolist())
+            if held and now != key:
+                yield key, held
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, held
+
+
 def _counted(nodes: DataFrame, joined: DataFrame) -> DataFrame:
-    """(node, links): the links of each node within its component, counted block by block.
+    """(node, links, others): the links of each node within its component, counted block by block.
 
     A component of more than COUNT_BLOCK nodes is cut into blocks by hash, and each pair of blocks is a unit
-    of work of its own; a link to a node counts once for each of its copies."""
+    of work of its own; a link to a node counts once for each of its copies, and once in `others`."""
     sizes = joined.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(COUNT_BLOCK)).cast("int").alias("parts"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     pair = lambda x: F.struct(F.least(F.col("part"), x).alias("i"), F.greatest(F.col("part"), x).alias("j"))
@@ -172,7 +195,7 @@ def _counted(nodes: DataFrame, joined: DataFrame) -> DataFrame:
         .select("component", "unit.i", "unit.j", "part", "node", "copies", "embedding"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(held: list[pa.RecordBatch], i: int, j: int) -> pa.RecordBatch:
+        for (_, i, j), held in _units(batches, ("component", "i", "j")):
             part = np.concatenate([h.column("part").to_numpy() for h in held])
             names = np.concatenate([h.column("node").to_numpy() for h in held])
             copies = np.concatenate([h.column("copies").to_numpy() for h in held])
@@ -180,32 +203,70 @@ def _counted(nodes: DataFrame, joined: DataFrame) -> DataFrame:
             if i == j:
                 near = vectors @ vectors.T >= THRESHOLD
                 np.fill_diagonal(near, False)
-                links = near @ copies
+                links, others = near @ copies, near.sum(1)
             else:
                 left, right = part == i, part == j
                 near = vectors[left] @ vectors[right].T >= THRESHOLD
-                links = np.zeros(len(names), np.int64)
+                links, others = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
                 links[left], links[right] = near @ copies[right], near.T @ copies[left]
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(links)], ["node", "links"])
+                others[left], others[right] = near.sum(1), near.sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(links), pa.array(others)], ["node", "links", "others"])
 
-        key, held = None, []
-        for batch in batches:
-            if len(batch) == 0:
+    units = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "part", "node")
+    return units.mapInArrow(run, "node long, links long, others long").groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+
+
+def _across(nodes: DataFrame, joined: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b): components that a link of an `asked` node joins, after comparing it with every node of its label.
+
+    Nodes and asked nodes of a label are cut into blocks by hash, and each pair of blocks is a unit of work."""
+    placed = nodes.join(joined, "node", "left").select(
+        F.xxhash64("label").alias("group"), "size", "node", F.coalesce("component", "node").alias("component"), "embedding")
+    sought = placed.join(asked.select("node"), "node", "left_semi")
+    parts = lambda rows, name: rows.groupBy("group", "size").agg(F.ceil(F.count(F.lit(1)) / F.lit(SEARCH_BLOCK)).cast("int").alias(name))
+    sizes = parts(placed, "rows").join(parts(sought, "columns"), ["group", "size"])
+    own = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    kept = ("node", "component", "embedding")
+    rows = placed.join(sizes, ["group", "size"]).select("group", "size", own("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("asked"), *kept).unionByName(
+        sought.join(sizes, ["group", "size"]).select("group", "size", every("rows").alias("i"), own("columns").alias("j"), F.lit(1).alias("asked"), *kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _units(batches, ("group", "size", "i", "j")):
+            asks = np.concatenate([h.column("asked").to_numpy() for h in held]) == 1
+            if asks.all() or not asks.any():
                 continue
-            own = np.stack([batch.column(c).to_numpy() for c in ("component", "i", "j")])
-            borders = np.concatenate(([0], np.flatnonzero((own[:, 1:] != own[:, :-1]).any(0)) + 1, [len(batch)]))
-            for a, b in zip(borders.tolist(), borders[1:].tolist()):
-                now = tuple(own[:, a].tolist())
-                if held and now != key:
-                    yield unit(held, *key[1:])
-                    held = []
-                key = now
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield unit(held, *key[1:])
+            component = np.concatenate([h.column("component").to_numpy() for h in held])
+            vectors = np.concatenate([_matrix(h.column("embedding")) for h in held])
+            columns, of_column, found = vectors[asks].T, component[asks], []
+            vectors, component = vectors[~asks], component[~asks]
+            for s in range(0, len(vectors), SEARCH_ROWS):
+                i, j = np.nonzero(vectors[s:s + SEARCH_ROWS] @ columns >= THRESHOLD)
+                pair = np.stack([component[s + i], of_column[j]], 1)
+                found.append(np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0))
+            pair = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    units = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "part", "node")
-    return units.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    key = ("group", "size", "i", "j")
+    return rows.repartition(*key).sortWithinPartitions(*key, "asked", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _closed(nodes: DataFrame, edges: DataFrame, searched: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(joined, counted, edges, searched) when every saturated node was compared with its whole label.
+
+    `searched` names those that were; the components their links joined are among the edges."""
+    while True:
+        joined = components(edges)
+        counted = cut(_counted(nodes, joined))
+        full = counted.filter(F.col("others") >= NEIGHBOURS).select("node")
+        full = cut(full if searched is None else full.join(searched, "node", "left_anti"))
+        if full.isEmpty():
+            return joined, counted, edges, searched
+        searched = full if searched is None else searched.unionByName(full)
+        more = cut(_across(nodes, joined, full))
+        if more.isEmpty():
+            return joined, counted, edges, searched
+        edges = edges.unionByName(more)
 
 
 def _recall(nodes: DataFrame, counted: DataFrame) -> float:
@@ -255,12 +316,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
         .withColumn("size", F.size("embedding")))
     n = nodes.count()
-    known, recall = None, 0.0
+    known, edges, searched, recall = None, None, None, 0.0
     for start in range(STARTS):
         known = neighbour_graph(nodes, n, start, known)
-        edges = known.filter(F.col("sim") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        joined = components(edges)
-        counted = cut(_counted(nodes, joined))
+        linked = known.filter(F.col("sim") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        joined, counted, edges, searched = _closed(nodes, linked if edges is None else edges.unionByName(linked), searched)
         recall = _recall(nodes, counted)
         if recall >= RECALL:
             break

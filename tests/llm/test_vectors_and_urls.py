@@ -50,6 +50,21 @@ def test_links_are_those_of_brute_force(spark, monkeypatch):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_tight_clusters_that_link_across(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "SEARCH_BLOCK", 20)
+    rng = np.random.default_rng(2)
+    vectors = []
+    for pair in range(6):
+        x, y = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for middle in (x, 0.985 * x + math.sqrt(1 - 0.985 ** 2) * y):
+            vectors += [(len(vectors) + k, (middle + 0.0005 * rng.normal(size=32)).tolist(), pair % 2) for k in range(9)]
+    vectors += [(len(vectors) + k, rng.normal(size=32).tolist(), k % 2) for k in range(40)]
+    wanted = brute_links(vectors)
+    assert all(wanted[k] == (17, k - k % 18) for k in range(108))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df).collect()} == wanted
+
+
 def test_links_of_the_smallest_table(sf):
     df = sf("embeddings")
     wanted = brute_links([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])
