@@ -7,8 +7,10 @@
 3. Links are counted block by block within the components of threshold edges.  A node with as many of them as
    a list holds is saturated: it may have links that no list holds, also out of its component.  It is compared
    with every vector of its label, which may join components; that ends when no saturated node is left.
-4. An audit compares the links of a fixed number of sampled nodes with brute force over all vectors, and
-   starts a further graph from other projections while recall is too low.
+4. An audit compares the links of sampled nodes with brute force over all vectors, sampled apart for nodes
+   without links, in small and in large components.  While the mean recall of a node with few or with many
+   links is too low, a further graph starts from other projections; after the last of them every node that
+   was not yet is compared with its whole label, which leaves nothing out.
 
 Vectors are compared only within one label (and one length).
 """
@@ -26,9 +28,12 @@ from symtrail.session import cut
 
 THRESHOLD = 0.98
 
-#: Neighbours that a node keeps, nodes of a first block, and projections of one start.
+#: Neighbours that a node keeps, nodes of a first block, and the least projections of one start.
 NEIGHBOURS, BLOCK, PROJECTIONS = 6, 64, 6
 
+#: Share of the pairs at the threshold that the projections of one start may all part.
+PARTED = 0.001
+
 #: Neighbours that are compared with each other at once; a longer list (of a hub) is compared in parts.
 LIST = 32
 
@@ -41,8 +46,8 @@ COUNT_BLOCK = 1_024
 #: Vectors of a block when saturated nodes are compared with all, and rows of it that are compared at once.
 SEARCH_BLOCK, SEARCH_ROWS = 4_096, 512
 
-#: Nodes whose links the audit counts by brute force, the recall asked for, and the starts at most.
-AUDITED, RECALL, STARTS = 256, 0.97, 3
+#: Nodes of each kind, about, whose links the audit counts by brute force, the recall asked for, and the starts before all is compared.
+AUDITED, RECALL, STARTS = 2_048, 0.97, 3
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -58,9 +63,16 @@ def _usable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _projections(bits: int) -> int:
+    """How many orders by the sides of `bits` planes leave a pair at the threshold in one place of one of them."""
+    together = (1 - np.arccos(THRESHOLD) / np.pi) ** bits
+    return max(PROJECTIONS, int(np.ceil(np.log(PARTED) / np.log1p(-together))))
+
+
 def _first_graph(nodes: DataFrame, n: int, seed: int) -> DataFrame:
     """(u, v, sim): the best neighbours of each node in its block of every projection's order."""
     bits = min(30, max(1, int(np.log2(max(2, n / BLOCK)))))
+    projections = _projections(bits)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +80,7 @@ def _first_graph(nodes: DataFrame, n: int, seed: int) -> DataFrame:
             for size in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == size))
                 vectors = _matrix(part.column("embedding"))
-                for t in range(PROJECTIONS):
+                for t in range(projections):
                     planes = np.random.default_rng((seed, t, size)).normal(size=(size, bits + 1))
                     sides = vectors @ planes
                     code = (sides[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
@@ -103,7 +115,7 @@ def _first_graph(nodes: DataFrame, n: int, seed: int) -> DataFrame:
         project, f"table int, label {label}, size int, code long, side double, node long, embedding {kind}")
     order = ["table", "group", "size", "code", "side"]
     placed = rows.withColumn("group", F.xxhash64("label"))
-    parts = max(1, min(n * PROJECTIONS // (BLOCK * 64) + 1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(n * projections // (BLOCK * 64) + 1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(neighbours, "u long, v long, sim double")
 
 
@@ -269,13 +281,20 @@ def _closed(nodes: DataFrame, edges: DataFrame, searched: DataFrame | None) -> t
         edges = edges.unionByName(more)
 
 
-def _recall(nodes: DataFrame, counted: DataFrame) -> float:
-    """Found links of AUDITED sampled nodes as a share of those that brute force finds."""
-    sampled = nodes.orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(AUDITED)
-    asked = sampled.join(counted, "node", "left").select("node", "label", "size", "embedding", F.coalesce("links", F.lit(0)).alias("links")).toArrow()
-    if len(asked) == 0:
+def _recall(nodes: DataFrame, joined: DataFrame, counted: DataFrame) -> float:
+    """Mean share of a node's links that were found, the lower one of nodes with few and with many links.
+
+    About AUDITED nodes are sampled by hash of those without links, in components of at most NEIGHBOURS + 1 nodes, and in
+    larger ones; a sampled node stands for its share of them.  Links are counted by brute force."""
+    sizes = joined.groupBy("component").agg((F.count(F.lit(1)) > NEIGHBOURS + 1).cast("int").alias("large"))
+    kinds = nodes.join(joined.join(sizes, "component").select("node", "large"), "node", "left").select("node", (F.coalesce("large", F.lit(-1)) + 1).alias("kind"))
+    of_kind = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    if not of_kind:
         return 1.0
-    found = float(sum(asked.column("links").to_pylist()))
+    of = F.coalesce(*(F.when(F.col("kind") == k, F.lit(count)) for k, count in of_kind.items()))
+    sampled = kinds.filter(F.pmod(F.xxhash64(F.lit("audit"), "node"), of) < AUDITED)
+    asked = sampled.join(nodes, "node").join(counted, "node", "left").select(
+        "node", "kind", "label", "size", "embedding", F.coalesce("links", F.lit(0)).alias("links")).toArrow()
     queries = {}
     for label, size, node, vector in zip(*(asked.column(c).to_pylist() for c in ("label", "size", "node", "embedding"))):
         names, vectors = queries.setdefault((label, size), ([], []))
@@ -284,22 +303,31 @@ def _recall(nodes: DataFrame, counted: DataFrame) -> float:
     queries = {k: (np.array(a), _matrix(pa.array(v))) for k, (a, v) in queries.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        true = {key: np.zeros(len(names), np.int64) for key, (names, _) in queries.items()}
         for batch in batches:
-            total = 0
             labels, sizes = batch.column("label").to_pylist(), batch.column("size").to_pylist()
             rows = {}
             for k, key in enumerate(zip(labels, sizes)):
                 if key in queries:
                     rows.setdefault(key, []).append(k)
             for key, at in rows.items():
-                part = batch.take(pa.array(at))
-                near = _matrix(part.column("embedding")) @ queries[key][1].T >= THRESHOLD
-                near &= part.column("node").to_numpy()[:, None] != queries[key][0]
-                total += int((near * part.column("copies").to_numpy()[:, None]).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total])], ["true"])
-
-    true = nodes.select("label", "size", "node", "copies", "embedding").mapInArrow(run, "true long").agg(F.sum("true")).first()[0] or 0
-    return found / true if true else 1.0
+                names, wanted = queries[key]
+                for s in range(0, len(at), SEARCH_ROWS):
+                    part = batch.take(pa.array(at[s:s + SEARCH_ROWS]))
+                    near = _matrix(part.column("embedding")) @ wanted.T >= THRESHOLD
+                    near &= part.column("node").to_numpy()[:, None] != names
+                    true[key] += part.column("copies").to_numpy() @ near
+        for key, links in true.items():
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(queries[key][0][some]), pa.array(links[some])], ["node", "true"])
+
+    counts = nodes.select("label", "size", "node", "copies", "embedding").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+    true = {r["node"]: r["true"] for r in counts.collect()}
+    kind, links = asked.column("kind").to_numpy(), asked.column("links").to_numpy()
+    real = np.array([true.get(k, 0) for k in asked.column("node").to_pylist()])
+    weight = np.array([of_kind[k] for k in kind.tolist()]) / np.bincount(kind, minlength=3)[kind]
+    shares = [float(np.average(links[of] / real[of], weights=weight[of])) for of in ((real > 0) & (real <= NEIGHBOURS), real > NEIGHBOURS) if of.any()]
+    return min(shares, default=1.0)
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -307,7 +335,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     Vectors of one label link when their cosine, in double precision, is at least 0.98; none below links.
     n_links counts the other vectors linked directly, copies included; component_id is the least vec_id that
-    links reach.  A vector that is null, empty, zero or holds null or non-finite numbers, or whose label is
+    links reach.  audited_recall is at least 0.97: if no start arrives there, all vectors of a label are compared.
+    A vector that is null, empty, zero or holds null or non-finite numbers, or whose label is
     null, links with nothing and is its own component.  An empty table gives no rows; other columns are not
     read.  Equal vectors are found by a 64-bit hash; a null vec_id is nobody's component_id."""
     usable = _usable(F.col("embedding"), F.col("label"))
@@ -316,14 +345,19 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
         .withColumn("size", F.size("embedding")))
     n = nodes.count()
-    known, edges, searched, recall = None, None, None, 0.0
+    known, edges, searched = None, None, None
     for start in range(STARTS):
         known = neighbour_graph(nodes, n, start, known)
         linked = known.filter(F.col("sim") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))
         joined, counted, edges, searched = _closed(nodes, linked if edges is None else edges.unionByName(linked), searched)
-        recall = _recall(nodes, counted)
+        recall = _recall(nodes, joined, counted)
         if recall >= RECALL:
             break
+    else:
+        rest = nodes.select("node") if searched is None else nodes.select("node").join(searched, "node", "left_anti")
+        joined = components(edges.unionByName(cut(_across(nodes, joined, rest))))
+        counted = cut(_counted(nodes, joined))
+        recall = _recall(nodes, joined, counted)
     grouped = nodes.select("node", "copies", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = (

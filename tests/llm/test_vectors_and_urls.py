@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from symtrail.llm import nn_descent, url_filters
 from symtrail.llm.components import components
@@ -65,6 +66,33 @@ def test_tight_clusters_that_link_across(spark, monkeypatch):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df).collect()} == wanted
 
 
+def test_lost_pairs_beside_a_large_group_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    many = rng.normal(size=32)
+    vectors = [(k, (many + 0.01 * rng.normal(size=32)).tolist(), 0) for k in range(150)]
+    for k in range(150, 250, 2):
+        x = rng.normal(size=32)
+        vectors += [(k, x.tolist(), 1), (k + 1, (x + 0.01 * rng.normal(size=32)).tolist(), 1)]
+    wanted = brute_links(vectors)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    graph = nn_descent.neighbour_graph
+
+    def without_pairs(nodes, *rest):
+        few = nodes.filter("label = 1").select(F.col("node").alias("u"))
+        return graph(nodes, *rest).join(few, "u", "left_anti")
+
+    monkeypatch.setattr(nn_descent, "neighbour_graph", without_pairs)
+    found = nn_descent.near_duplicates(df).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == wanted
+    assert all(r["audited_recall"] == 1.0 for r in found)
+
+
+def test_projections_grow_with_the_planes():
+    together = lambda bits: (1 - math.acos(0.98) / math.pi) ** bits
+    for bits in range(1, 31):
+        assert (1 - together(bits)) ** nn_descent._projections(bits) <= 0.001
+
+
 def test_links_of_the_smallest_table(sf):
     df = sf("embeddings")
     wanted = brute_links([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])
