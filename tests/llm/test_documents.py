@@ -367,6 +367,14 @@ def test_near_copies_of_odd_rows(documents):
     assert jaccard_join.near_copies(documents()).count() == 0
 
 
+def test_one_of_each_group_of_near_copies_stays(documents):
+    text = lambda name, end="": " ".join(f"{name}{k}" for k in range(60)) + end
+    docs = documents((1, text("a")), (2, text("a", " more")), (2, text("b")), (None, text("c")), (None, text("c", " more")), (None, text("c")),
+                     (None, text("a", " last")), (3, text("d")), (3, text("d")), (None, ""), (None, ""))
+    kept = Counter((r["doc_id"], r["text"].split(" ")[0]) for r in jaccard_join.keep_one(docs, 3).collect())
+    assert kept == Counter({(1, "a0"): 1, (2, "b0"): 1, (None, "c0"): 1, (3, "d0"): 1, (None, ""): 2})
+
+
 # --- 9
 
 def test_marginals_of_the_chain():
