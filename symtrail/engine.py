@@ -187,8 +187,8 @@ def ask(graph: Graph, questions: DataFrame, root: str | None = None, query_vecto
         if rule == "impact":
             walk = G.impact(mine, symbols, edges)
             total = walk.groupBy("question_id").agg(F.count(F.lit(1)).alias("related_total"), F.max("truncated").alias("truncated"))
-            parts.append(walk.join(total, "question_id").select("question_id", "uid", F.lit("").alias("via"), "path",
-                                                                F.col("position").cast("int").alias("position"), "related_total", "truncated"))
+            parts.append(walk.drop("truncated").join(total, "question_id").select("question_id", "uid", F.lit("").alias("via"), "path",
+                                                                                  F.col("position").cast("int").alias("position"), "related_total", "truncated"))
         else:
             parts.append(G.shown(G.traverse(mine, symbols, edges, rule), symbols).select(
                 "question_id", "uid", "via", F.array().cast("array<string>").alias("path"), "position", "related_total",

@@ -10,13 +10,24 @@ from symtrail.session import shared_dir, table_schema
 
 
 def bursts(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
-    """One row per closed burst: key, first event, number of events, greatest event id, when it closes.
+    """One row per closed burst: key, first event, number of events, greatest event id, last event.
 
     Works on streaming and static inputs; state per key is one open session."""
     return (events.withWatermark(ts, late)
             .groupBy(F.session_window(ts, gap).alias("w"), key)
-            .agg(F.count(F.lit(1)).alias("writes"), F.max("event_id").alias("last_event"))
-            .select(key, F.col("w.start").alias("flush_start"), "writes", "last_event", F.col("w.end").alias("closes")))
+            .agg(F.count(F.lit(1)).alias("writes"), F.max("event_id").alias("last_event"), F.max(ts).alias("last_ts"))
+            .select(key, F.col("w.start").alias("flush_start"), "writes", "last_event", "last_ts"))
+
+
+def open_bursts(events: DataFrame, key: str, ts: str, gap: str, late: str, watermark) -> DataFrame:
+    """Bursts of a static input that `watermark` has not closed.
+
+    Only keys with an event that late are grouped.  Bursts are told apart by their last event, which is an
+    aggregate: a filter on the window would be pushed below its merge and cut the first events of a burst off."""
+    late_enough = F.col(ts) + F.expr(f"interval {gap}") > watermark
+    keys = events.filter(late_enough).select(key).distinct()
+    mine = bursts(events.join(keys, key, "left_semi"), key, ts, gap, late)
+    return mine.filter(F.col("last_ts") + F.expr(f"interval {gap}") > watermark)
 
 
 def run_once(spark: SparkSession, path: str, key: str, ts: str, gap: str, late: str,
@@ -39,6 +50,6 @@ def run_once(spark: SparkSession, path: str, key: str, ts: str, gap: str, late:
     stream.awaitTermination()
     last = stream.lastProgress
     reached = (last["eventTime"] if last else {}).get("watermark") or "1970-01-01T00:00:00.000Z"
-    still_open = bursts(zoned(spark.read.parquet(path)), key, ts, gap, late).filter(F.col("closes") > F.lit(reached).cast("timestamp"))
+    still_open = open_bursts(zoned(spark.read.parquet(path)), key, ts, gap, late, F.lit(reached).cast("timestamp"))
     told = spark.read.schema(out.schema).parquet(f"{base}/out")
-    return told.unionByName(still_open).drop("closes").withColumn("flush_start", F.col("flush_start").cast(kind))
+    return told.unionByName(still_open).drop("last_ts").withColumn("flush_start", F.col("flush_start").cast(kind))

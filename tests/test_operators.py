@@ -218,3 +218,13 @@ def test_plans_prune_and_push_down(spark, tmp_path):
     assert {r.uid for r in related.collect()} == {"a", "c"}
     plan = G.traverse(asked, symbols, e, "definition")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "origin_path" not in plan and "CartesianProduct" not in plan
+
+
+def test_open_bursts_keep_their_first_events(spark):
+    from symtrail.streaming.bursts import open_bursts
+
+    rows = [("a", 1, "2024-01-01 10:00:00"), ("a", 2, "2024-01-01 10:50:00"), ("a", 3, "2024-01-01 08:00:00"), ("b", 4, "2024-01-01 09:00:00")]
+    events = spark.createDataFrame(rows, "user_id string, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    # At 11:10 the event of 10:00 alone would be closed; its burst is open because of the later event.
+    got = open_bursts(events, "user_id", "ts", "1 hour", "1 minute", F.lit("2024-01-01 11:10:00").cast("timestamp")).collect()
+    assert [(r.user_id, r.flush_start.hour, r.flush_start.minute, r.writes, r.last_event) for r in got] == [("a", 10, 0, 2, 2)]
