@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from symtrail.llm import bpe, exact_dedup, jaccard_join, language_id, mixing, nn_descent, quality, suffix_array, toxicity, url_filters
+from symtrail.llm import bpe, exact_dedup, jaccard_join, language_id, merkle, mixing, nn_descent, quality, suffix_array, toxicity, url_filters
+from symtrail.llm.labelled import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +79,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filters", url_filters.SQL)
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages")).drop("n_tried")
+
+
+@query("op11_merkle_manifest", merkle.SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3) == 0)
