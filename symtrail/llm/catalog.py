@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from symtrail.llm import bpe, exact_dedup, jaccard_join, language_id, merkle, mixing, nn_descent, quality, suffix_array, toxicity, url_filters
+from symtrail.llm import bpe, exact_dedup, jaccard_join, language_id, licences, merkle, mixing, nn_descent, quality, spelling, suffix_array, toxicity, url_filters
 from symtrail.llm.labelled import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest", merkle.SQL)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3) == 0)
+
+
+@query("op12_spelling_variants", spelling.SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_license_scan", licences.SQL)
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
