@@ -1,9 +1,10 @@
 """Spelling variants: words one edit apart, found by walking a distributed trie level by level.
 
-The trie is a table of edges between its branching nodes; a run of letters without a branch is one edge.
-Two words one edit apart part ways at a branching node, so a state (word, position, node, edits) without an
-edit exists only there.  It takes its edit by a join with the edges of its node; states with an edit then
-follow their remaining letters edge by edge, and a state that reaches the end of a word is a neighbour.
+The trie is a table of edges between its branching nodes; a run of letters without a branch is one edge.  It is
+read off the sorted words, range by range: a node is where neighbours part.  Two words one edit apart part
+ways at such a node, so a state (word, position, node, edits) without an edit exists only there.  It takes its
+edit by a join with the edges of its node; states with an edit then follow their remaining letters by joins,
+edge by edge, and a state that reaches the end of a word is a neighbour.
 
 An edit lies in the second half of a word or, read backwards, in its second half too: so there is a trie of
 the words and one of the reversed words, and both only hold nodes below the middle, where branches are few.
@@ -11,29 +12,29 @@ the words and one of the reversed words, and both only hold nodes below the midd
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from symtrail.llm.arrays import blocks, texts_of
 from symtrail.llm.merkle import CRC_TABLE, crc_sql
 from symtrail.session import cut
 
-LETTERS = "A-Za-zÀ-ÿ"
-
 #: What ends every path; no letter.
 END = "$"
 
-#: Longer prefixes and words are named by a 128-bit hash, so a word's rows take space in proportion to its length.
+#: Longer prefixes are named by a 128-bit hash.
 NAMED_BY_TEXT = 32
 
-#: Text that is split into runs at once, and words that a task counts before it passes them on.
-PIECE, COUNTED = 1 << 20, 200_000
+#: Longer runs are hashed one by one.
+LONG = 256
+
+#: Words that a task counts before it passes them on.
+COUNTED = 400_000
 
 #: Rows of an Arrow batch that a task emits.
 BATCH = 20_000
@@ -41,117 +42,270 @@ BATCH = 20_000
 
 # -- words -----------------------------------------------------------------------------------------------
 
-def _pieces(text: str) -> Iterator[str]:
-    """The text in parts of about PIECE letters that cut no run."""
-    end_of_run = re.compile(f"[^{LETTERS}]")
-    begin = 0
-    while begin < len(text):
-        end = begin + PIECE
-        if end < len(text):
-            found = end_of_run.search(text, end)
-            end = found.start() if found else len(text)
-        yield text[begin:end]
-        begin = end
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True      # 0xC3 leads U+00C0 to U+00FF and nothing else
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of letters in the bytes of some documents; none crosses documents."""
+    inside = _LETTER[data]
+    inside[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0)
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    borders = offsets[1:-1]
+    borders = borders[(borders > 0) & (borders < len(data))]
+    begins[borders] = inside[borders]
+    ends[borders - 1] = inside[borders - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def _crc32(data: np.ndarray, start: np.ndarray, end: np.ndarray, begun: np.ndarray) -> np.ndarray:
+    """crc32 of many pieces of `data`, each continued from `begun`: all first bytes, then all second ones."""
+    crc = begun ^ np.uint32(0xFFFFFFFF)
+    longest = end - start > LONG
+    rows = np.flatnonzero(~longest)
+    at = start[rows]
+    while len(rows):
+        crc[rows] = _CRC[(crc[rows] ^ data[at]) & 0xFF] ^ (crc[rows] >> np.uint32(8))
+        at = at + 1
+        more = at < end[rows]
+        rows, at = rows[more], at[more]
+    crc ^= np.uint32(0xFFFFFFFF)
+    for k in np.flatnonzero(longest):
+        crc[k] = zlib.crc32(data[start[k]:end[k]].tobytes(), int(begun[k]))
+    return crc
+
+
+def _words_of(ids: list[str], data: np.ndarray, offsets: np.ndarray, least: int, misspelt: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(word, n) of some documents: runs as they stand, then those that lose a letter."""
+    data = _LOWER[data]
+    start, end = _runs(data, offsets)
+    two_bytes = np.concatenate([[0], np.cumsum(data == 0xC3)])
+    letters = end - start - (two_bytes[end] - two_bytes[start])
+    kept = letters >= least
+    start, end, letters = start[kept], end[kept], letters[kept]
+    begun = np.array([zlib.crc32(f"{i}:".encode()) for i in ids], np.uint32)
+    h = _crc32(data, start, end, begun[np.searchsorted(offsets, start, "right") - 1]) if len(start) else np.zeros(0, np.uint32)
+    lost = h % misspelt == 0
+    whole = ~lost
+    size = (end - start)[whole]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start[whole]] += 1
+    inside[end[whole]] -= 1
+    held = data[np.cumsum(inside[:-1]).astype(bool)]
+    places = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(places), pa.py_buffer(held)])
+    counted = words.value_counts()
+    yield counted.field("values"), counted.field("counts")
+    spelt = []
+    for k in np.flatnonzero(lost).tolist():
+        word, at = data[start[k]:end[k]].tobytes().decode(), int(h[k]) % int(letters[k])
+        if letters[k] > least:
+            spelt.append(word[:at] + word[at + 1:])
+    yield pa.array(spelt, pa.large_string()), pa.array(np.ones(len(spelt), np.int64))
 
 
 def occurrences(docs: DataFrame, least: int = 7, misspelt: int = 31) -> DataFrame:
     """(word, n): how often each word of at least `least` letters occurs in `docs` (doc_id, text).
 
     A word is a maximal run of letters, A-Z lower-cased.  If `misspelt` divides the crc32 h of
-    `<doc_id>:<run>` (a null id is empty), the run's letter h % length is deleted first."""
-    run = re.compile(f"[{LETTERS}]{{{least},}}")
-
+    `<doc_id>:<run>` (a null id is empty), the run's letter h % length is deleted first.  A task counts the
+    words of about 1 MB at once, and adds them up until it holds COUNTED different ones."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
-            total.clear()
-            return out
+        def added_up() -> pa.Table:
+            one = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            held.clear()
+            return one
 
         for batch in batches:
-            texts = pc.ascii_lower(batch.column("text"))
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
-                begun = zlib.crc32(f"{doc_id}:".encode())
-                for piece in _pieces(text.as_py() or ""):
-                    for word, n in Counter(run.findall(piece)).items():
-                        h = zlib.crc32(word.encode(), begun)
-                        if h % misspelt == 0:
-                            word = word[:h % len(word)] + word[h % len(word) + 1:]
-                            if len(word) < least:
-                                continue
-                        total[word] += n
-                    if len(total) >= COUNTED:
-                        yield flushed()
-        yield flushed()
+            data, offsets = texts_of(batch.column("text"))
+            ids = batch.column("doc_id").to_pylist()
+            for lo, hi in blocks(data, offsets):
+                for words, n in _words_of(ids[lo:hi], data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], least, misspelt):
+                    held.append(pa.table({"word": words, "n": n}))
+                if sum(t.num_rows for t in held) >= 2 * COUNTED:
+                    held.append(added_up())
+                    if held[0].num_rows >= COUNTED:
+                        yield from _narrow(held.pop())
+        if held:
+            yield from _narrow(added_up())
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text")
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _narrow(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for k in range(0, table.num_rows, BATCH):
+        yield from table.slice(k, BATCH).cast(pa.schema([("word", pa.string()), ("n", pa.int64())])).combine_chunks().to_batches()
+
+
 # -- trie ------------------------------------------------------------------------------------------------
 
 def _code(letter: str) -> int:
     return 0 if letter == END else ord(letter)
 
 
-def _names(side: str, letters: str, first: int) -> Iterator[tuple[int, str]]:
-    """(length, name) of the prefixes from `first` letters on; `side` tells the two tries apart."""
-    for k in range(first, min(NAMED_BY_TEXT, len(letters)) + 1):
-        yield k, side + letters[:k]
-    if len(letters) > NAMED_BY_TEXT:
-        k = max(first, NAMED_BY_TEXT + 1)
-        hashed = md5(letters[:k - 1].encode())
-        for k in range(k, len(letters) + 1):
-            hashed.update(letters[k - 1].encode())
-            yield k, f"{side}#{hashed.hexdigest()}"
-
-
-def _key(word: Column) -> Column:
-    return F.when(F.length(word) > NAMED_BY_TEXT, F.concat(F.lit("#"), F.md5(word.cast("binary")))).otherwise(word)
-
-
-def _oriented(word: str) -> tuple[tuple[str, str, int], ...]:
-    """(side, letters in reading order, least depth): the depth is where words one letter longer begin to edit."""
-    return ("f", word, (len(word) - 1) // 2), ("r", word[::-1], len(word) // 2)
-
-
-def _prefixes(words: DataFrame) -> DataFrame:
-    """(key, n, at, node, code): a row per word, side and prefix below the middle; `code` is the letter that follows."""
+def _bit_of(code: int) -> int:
+    bit = 1 << code % 64
+    return bit - (1 << 64) if bit >> 63 else bit
+
+
+def _name(letters: str) -> str:
+    """Of the node below some letters, the first of which tells the two tries apart."""
+    return letters if len(letters) <= NAMED_BY_TEXT else f"{letters[0]}#{md5(letters.encode()).hexdigest()}"
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the longest common prefix."""
+    if a == b:
+        return len(a)
+    low, high = 0, min(len(a), len(b))
+    if high < 64:
+        while low < high and a[low] == b[low]:
+            low += 1
+        return low
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _first_edit(path: str) -> int:
+    """Where edits begin on a path, counted with its side letter: behind the middle of the word."""
+    n = len(path) - 1
+    return 1 + (n // 2 if path[0] == "f" else n - n // 2)
+
+
+class Node:
+    """A branching node of the part of a trie that a task holds."""
+
+    __slots__ = ("depth", "first", "forced", "letters", "edges")
+
+    def __init__(self, depth: int, first: int, forced: bool = False):
+        self.depth, self.first, self.forced, self.letters, self.edges = depth, first, forced, 0, []
+
+
+def branching(paths: list[str], left: int, right: int, least: int) -> Iterator[tuple[Node, int]]:
+    """(node, end) of the branching nodes of sorted `paths`, children first: those below it are paths[first:end].
+
+    An edge of a node is (path, child node or None).  Of the first path the prefixes of up to `left` letters
+    are shared with another task, and of the last one those of up to `right`: they are nodes in any case,
+    as every task must see them alike.  Nodes of fewer than `least` letters are left out."""
+    stack: list[Node] = [Node(0, 0)]
+
+    def forced(k: int, shared: int) -> None:
+        upto = left if k == 0 else 0
+        if right > shared:
+            upto = max(upto, min(right, _shared(paths[k], paths[-1])))
+        for depth in range(max(shared + 1, least), upto + 1):
+            stack.append(Node(depth, k, True))
+
+    def closed(k: int, shared: int) -> Iterator[tuple[Node, int]]:
+        """Path k - 1 is over; path k has its first `shared` letters."""
+        last: Node | None = None
+        first = k - 1
+        while stack[-1].depth > shared:
+            node = stack.pop()
+            node.edges.append((first, last))
+            if node.depth >= least:
+                yield node, k
+            last, first = node, node.first
+        if stack[-1].depth < shared:
+            stack.append(Node(shared, first))
+        stack[-1].edges.append((first, last))
+
+    for k, path in enumerate(paths):
+        shared = _shared(paths[k - 1], path) if k else 0
+        if k:
+            yield from closed(k, shared)
+        forced(k, shared)
+    if paths:
+        yield from closed(len(paths), 0)
+
+
+def _marked(node: Node, paths: list[str]) -> list[tuple[int, int, Node | None, str, int]]:
+    """(code, path, child, label, mask) of a node's edges; sets the node's letters.
+
+    The label of an edge to a word ends with END.  A child that other tasks share too may have any letter."""
+    out = []
+    for k, child in node.edges:
+        path = paths[k] + END if child is None else paths[k]
+        label = path[node.depth:] if child is None else path[node.depth:child.depth]
+        code = _code(label[0])
+        if len(label) > 1:
+            mask = _bit_of(_code(label[1]))
+        else:
+            mask = 0 if child is None else -1 if child.forced else child.letters
+        node.letters |= _bit_of(code)
+        out.append((code, k, child, label, mask))
+    return out
+
+
+EDGES = "node string, code int, label string, size int, child string, target string, target_n long, mask long"
+STATES = "path string, n long, at int, node string"
+
+
+def _sorted_paths(words: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """(part, path, n) of both tries, dealt out by range and sorted, and what each part shares with its neighbours.
+
+    Only the first and last path of each part come to the driver."""
+    sides = F.explode(F.array(F.concat(F.lit("f"), "word"), F.concat(F.lit("r"), F.reverse("word")))).alias("path")
+    dealt = words.select(sides, "n").repartitionByRange("path").sortWithinPartitions("path")
+    rows = cut(dealt.select(F.spark_partition_id().alias("part"), "path", "n"))
+    ends = sorted(rows.groupBy("part").agg(F.min("path").alias("first"), F.max("path").alias("last")).collect(), key=lambda r: r["part"])
+    between = [0, *(_shared(a["last"], b["first"]) for a, b in zip(ends, ends[1:])), 0]
+    return rows, {r["part"]: (between[k], between[k + 1]) for k, r in enumerate(ends)}
+
+
+def _trie(rows: DataFrame, shared: dict[int, tuple[int, int]], least: int, schema: str) -> DataFrame:
+    """The edges (`schema` EDGES) or the states without an edit (STATES) of the tries of `rows`."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "n", "at", "node", "code"])
-
-        for batch in batches:
-            for key, word, n in zip(*(batch.column(c).to_pylist() for c in ("key", "word", "n"))):
-                for side, letters, first in _oriented(word):
-                    path = letters + END
-                    for k, name in _names(side, letters, first):
-                        rows.append((key, n, k, name, _code(path[k])))
-                        if len(rows) >= BATCH:
-                            yield batch_of()
-                            rows.clear()
-        yield batch_of()
-
-    return words.select("word", "n", _key(F.col("word")).alias("key")).mapInArrow(walk, "key string, n long, at int, node string, code int")
-
-
-def _paths(words: DataFrame) -> DataFrame:
-    """(side, word, n, stops): a word's branching nodes on either side, in order; words without any are left out."""
-    rows = _prefixes(words)
-    branching = rows.groupBy("node").agg(F.min("code").alias("a"), F.max("code").alias("z")).filter("a < z").select("node")
-    kept = rows.join(branching, "node", "left_semi")
-    paths = kept.groupBy(F.substring("node", 1, 1).alias("side"), "key", "n").agg(F.sort_array(F.collect_list(F.struct("at", "node"))).alias("stops"))
-    long = words.filter(F.length("word") > NAMED_BY_TEXT).select(_key(F.col("word")).alias("key"), "word")
-    return paths.join(long, "key", "left").withColumn("word", F.coalesce("word", "key"))
-
-
-def _path(side: Column, word: Column) -> Column:
-    return F.concat(F.when(side == "r", F.reverse(word)).otherwise(word), F.lit(END))
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        part = held[0].column("part")[0].as_py()
+        paths = [p for b in held for p in b.column("path").to_pylist()]
+        counts = [n for b in held for n in b.column("n").to_pylist()]
+        begins = [_first_edit(p) for p in paths]
+        columns: list[list] = [[] for _ in names]
+        for node, end in branching(paths, *shared[part], least):
+            if len(node.edges) < 2 and not node.forced:
+                continue
+            edges = _marked(node, paths)
+            name = _name(paths[node.first][:node.depth])
+            if schema == EDGES:
+                for code, k, child, label, mask in edges:
+                    below = None if child is None else _name(paths[k][:child.depth])
+                    word = None if child is not None else paths[k][1:] if paths[k][0] == "f" else paths[k][:0:-1]
+                    for column, value in zip(columns, (name, code, label, len(label), below, word, None if child is not None else counts[k], mask)):
+                        column.append(value)
+            else:
+                for k in range(node.first, end):
+                    if begins[k] <= node.depth:
+                        for column, value in zip(columns, (paths[k] + END, counts[k], node.depth, name)):
+                            column.append(value)
+            if len(columns[0]) >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+                columns = [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    of = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    names, kinds = zip(*[(c.split()[0], of[c.split()[1]]) for c in schema.split(", ")])
+    names = list(names)
+    return rows.mapInArrow(walk, schema)
 
 
 def _letter(path: Column, at: Column) -> Column:
@@ -164,95 +318,72 @@ def _bit(code: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (code % 64).cast("int"))
 
 
-def trie_edges(paths: DataFrame) -> DataFrame:
-    """(node, code, label, child, target, target_n, mask): one row per edge of both tries.
-
-    An edge carries the letters up to the next branching node, its `child`, or to the end of the one word
-    below, its `target`.  `mask` has a bit for each letter that may come second."""
-    path = _path(F.col("side"), F.col("word"))
-    stop = F.explode(F.transform("stops", lambda s, k: F.struct(
-        s["node"].alias("node"), s["at"].alias("at"), F.get("stops", k + 1)["at"].alias("until"), F.get("stops", k + 1)["node"].alias("child")))).alias("e")
-    every = paths.select("word", "n", path.alias("path"), stop).select(
-        "e.node", _letter(F.col("path"), F.col("e.at")).alias("code"),
-        F.when(F.col("e.child").isNull(), F.substring(F.col("path"), F.col("e.at") + 1, F.length("path")))
-        .otherwise(F.substring(F.col("path"), F.col("e.at") + 1, F.col("e.until") - F.col("e.at"))).alias("label"),
-        "e.child", F.when(F.col("e.child").isNull(), F.col("word")).alias("target"), F.when(F.col("e.child").isNull(), F.col("n")).alias("target_n"))
-    edges = cut(every.dropDuplicates(["node", "code"]))
-    # A child's letters matter where the label is one letter; else the second letter is in the label.
-    below = edges.groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit(F.col("code"))).alias("below"))
-    return edges.join(below, "child", "left").select(
-        "node", "code", "label", "child", "target", "target_n",
-        F.when(F.length("label") > 1, _bit(_letter(F.col("label"), F.lit(1)))).otherwise(F.coalesce("below", F.lit(0).cast("long"))).alias("mask"))
-
-
-def _after(path: Column, at: Column) -> Column:
-    return F.substring(path, at + 1, F.length(path))
+def _has(mask: Column, bit: Column) -> Column:
+    return mask.bitwiseAND(bit) != 0
 
 
-def _arrived(path: Column, at: Column, label: Column, child: Column, target: Column, mask: Column) -> Column:
-    """The position behind `label` if the path's letters from `at` on are those of `label` and can go on there, else null."""
-    behind = at + F.length(label)
-    on = target.isNotNull() | (F.length(label) > 1) | ((mask.bitwiseAND(_bit(_letter(path, behind)))) != 0)
-    return F.when(_after(path, at).startswith(label) & on, behind)
+def _follows(path: str, at: Column) -> Column:
+    """Behind the label, if the letters of `path` from `at` on are those of the label, else null."""
+    return F.when(F.substring(path, at + 1, F.col("size")) == F.col("label"), at + F.col("size"))
 
 
 def _edited(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """States that replace, insert or delete a letter at their node: each takes an edge other than its own.
-
-    The join's condition is on integers: an edge must begin or go on with a letter that is wanted there."""
-    s = states.select(
-        "path", "at", F.col("node").alias("here"), _letter(F.col("path"), F.col("at")).alias("own"), _letter(F.col("path"), F.col("at") + 1).alias("next")).alias("s")
-    own, nxt = F.col("s.own"), F.col("s.next")
-    may = (F.col("mask").bitwiseAND(_bit(own).bitwiseOR(_bit(nxt))) != 0) | (F.col("code") == nxt)
-    met = s.join(edges, (F.col("s.here") == F.col("node")) & (F.col("code") != own) & may)
-    path, at, label = F.col("s.path"), F.col("s.at"), F.col("label")
-    inside, letter = own != 0, F.col("code") != 0
-    rest = F.substring(label, F.lit(2), F.length(label))
-
-    def through(frm: Column) -> Column:
-        """Behind the edge, if the letters from `frm` on are those after the label's first."""
-        behind = frm + F.length(rest)
-        on = F.col("target").isNotNull() | (F.col("mask").bitwiseAND(_bit(_letter(path, F.when(F.length(label) > 1, frm).otherwise(behind)))) != 0)
-        return F.when(_after(path, frm).startswith(rest) & on & ((F.col("target").isNull()) | (behind == F.length(path))), behind)
-
-    moves = F.array(
-        F.when(inside & letter, through(at + 1)), F.when(letter, through(at)),
-        F.when(inside, _arrived(path, at + 1, label, F.col("child"), F.col("target"), F.col("mask"))))
-    return met.select(F.substring("here", 1, 1).alias("side"), path.alias("path"), F.explode(F.array_distinct(F.array_compact(moves))).alias("at"), F.col("child").alias("node"), "target", "target_n")
+    """States that replace or delete a letter at their node, by its edges other than their own.
+
+    A letter is replaced by later ones only: of two words that differ so, one finds the other.  Of two
+    words that differ by a letter more, the longer finds the shorter.  The join's condition is on integers."""
+    own, nxt = _letter(F.col("path"), F.col("at")), _letter(F.col("path"), F.col("at") + 1)
+    s = states.filter(F.col("at") < F.length("path") - 1).select(
+        "path", "n", "at", F.col("node").alias("here"), own.alias("own"), nxt.alias("next"), _bit(nxt).alias("next_bit"),
+        _bit(_letter(F.col("path"), F.col("at") + 2)).alias("then_bit"))
+    replaced = (F.col("code") > F.col("own")) & _has(F.col("mask"), F.col("next_bit"))
+    deleted = (F.col("code") == F.col("next")) & (F.col("code") != F.col("own"))
+    met = s.join(edges, (F.col("here") == F.col("node")) & (replaced | deleted))
+    one, at = F.col("size") == 1, F.col("at")
+    rest = F.substring("label", F.lit(2), F.col("size"))
+    matched = F.when(one | (F.substring("path", at + 2, F.col("size") - 1) == rest), at + F.col("size"))
+    through = F.when(replaced, matched)
+    around = F.when(deleted, F.when(one & F.col("child").isNotNull(), F.when(_has(F.col("mask"), F.col("then_bit")), at + 2)).otherwise(_follows("path", at + 1)))
+    return met.select("path", "n", F.explode(F.array_compact(F.array(through, around))).alias("at"), F.col("child").alias("node"), "target", "target_n")
 
 
 def _followed(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States after the next edge of their own letters."""
-    s = states.select("side", "path", F.col("at").alias("from"), F.col("node").alias("here"), _letter(F.col("path"), F.col("at")).alias("wanted"))
+    s = states.select("path", "n", F.col("at").alias("from"), F.col("node").alias("here"), _letter(F.col("path"), F.col("at")).alias("wanted"))
     met = s.join(edges, (F.col("here") == F.col("node")) & (F.col("wanted") == F.col("code")))
-    to = _arrived(F.col("path"), F.col("from"), F.col("label"), F.col("child"), F.col("target"), F.col("mask"))
-    return met.select("side", "path", to.alias("at"), F.col("child").alias("node"), "target", "target_n").filter("at is not null")
+    one = (F.col("size") == 1) & F.col("child").isNotNull()
+    to = F.when(one, F.when(_has(F.col("mask"), _bit(_letter(F.col("path"), F.col("from") + 1))), F.col("from") + 1)).otherwise(_follows("path", F.col("from")))
+    return met.select("path", "n", to.alias("at"), F.col("child").alias("node"), "target", "target_n").filter("at is not null")
 
 
-def neighbours(words: DataFrame) -> DataFrame:
+def neighbours(words: DataFrame, least: int = 7) -> DataFrame:
     """(word, near, near_n): all pairs of different words one inserted, deleted or replaced letter apart, both ways.
 
-    `words` is (word, n) with distinct words of at least two letters.  There are as many rounds as branching
-    nodes on a path; a round joins on the node, of which none has more edges than there are letters."""
-    paths = cut(_paths(words))
-    edges = cut(trie_edges(paths))
-    stops = paths.select("side", _path(F.col("side"), F.col("word")).alias("path"), F.explode("stops").alias("s")).select("side", "path", "s.at", "s.node")
-    size = F.length("path") - 1
-    below_middle = F.col("at") >= F.when(F.col("side") == "f", F.floor(size / 2)).otherwise(F.ceil(size / 2))
-    states = cut(_edited(stops.filter(below_middle), edges))
+    `words` is (word, n) with distinct words of at least `least` letters.  There are as many rounds as
+    branching nodes on a path; a round joins on the node, of which none has more edges than there are letters."""
+    rows, shared = _sorted_paths(words)
+    shallowest = 1 + least // 2
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = cut(_trie(rows, shared, shallowest, EDGES))
+    states = cut(_edited(_trie(rows, shared, shallowest, STATES), edges))
+    placed = None
     found = []
     while True:
-        letters = F.substring(F.col("path"), F.lit(1), F.length("path") - 1)
-        word = F.when(F.col("side") == "r", F.reverse(letters)).otherwise(letters)
-        found.append(states.filter("target is not null").select(word.alias("word"), F.col("target").alias("near"), F.col("target_n").alias("near_n")))
+        found.append(states.filter("target is not null").select("path", "n", "target", "target_n"))
         rest = states.filter("target is null")
         if rest.isEmpty():
             break
-        states = cut(_followed(rest, edges))
+        if placed is None:                # the edges stay where they are from now on; only states move
+            placed = cut(edges.repartition(parts, "node", "code").sortWithinPartitions("node", "code"))
+        states = cut(_followed(rest, placed))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.filter("word <> near").groupBy("word", "near").agg(F.max("near_n").alias("near_n"))
+    letters = F.substring("path", F.lit(2), F.length("path") - 2)
+    word = F.when(F.substring("path", 1, 1) == "r", F.reverse(letters)).otherwise(letters)
+    pairs = every.select(word.alias("word"), "n", "target", "target_n")
+    ways = F.array(*[F.struct(F.col(a).alias("word"), F.col(b).alias("near"), F.col(c).alias("near_n")) for a, b, c in (("word", "target", "target_n"), ("target", "word", "n"))])
+    return pairs.select(F.explode(ways).alias("w")).select("w.*").groupBy("word", "near").agg(F.max("near_n").alias("near_n"))
 
 
 # -- forms -----------------------------------------------------------------------------------------------
@@ -276,7 +407,7 @@ def variants(docs: DataFrame, least: int = 7, often: int = 2, times: int = 10, m
     repeated rows count again; a null doc_id counts as empty in the hash that misspells.  Very long runs are
     words like others.  An empty table gives no rows; other columns are not read."""
     words = cut(occurrences(docs, least, misspelt).filter(F.col("n") >= often))
-    best = neighbours(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("word"))).alias("best"))
+    best = neighbours(words, least).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("word"))).alias("best"))
     fits = -F.col("best.n") >= times * F.col("n")
     full = cut(words.join(best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),

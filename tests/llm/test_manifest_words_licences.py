@@ -165,11 +165,44 @@ def test_variants_of_nothing(spark, documents):
     assert spelling.variants(documents((1, "one two three"), (2, None))).count() == 0
 
 
-def test_long_texts_are_split_between_runs(monkeypatch):
-    monkeypatch.setattr(spelling, "PIECE", 10)
-    text = "abcdefghijklmnop, éàü qrs-tuvwxyzabcdefgh  i"
-    assert "".join(spelling._pieces(text)) == text
-    assert [r for p in spelling._pieces(text) for r in re.findall("[A-Za-zÀ-ÿ]+", p)] == re.findall("[A-Za-zÀ-ÿ]+", text)
+def test_runs_and_their_hashes():
+    texts = ["", "abc", "defÀé x", "日本éa", "ÿ", "Zz9À", "a" * 600, "Ā×÷", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    start, end = spelling._runs(data, offsets)
+    runs = [data[s:e].tobytes() for s, e in zip(start, end)]
+    assert runs == [r.encode() for t in texts for r in re.findall("[A-Za-zÀ-ÿ]+", t)]
+    begun = np.arange(len(start), dtype=np.uint32) * 7919
+    assert spelling._crc32(data, start, end, begun).tolist() == [zlib.crc32(r, int(b)) for r, b in zip(runs, begun)]
+
+
+@pytest.mark.parametrize("cuts", [(), (5,), (1, 2, 3, 9), tuple(range(1, 14))])
+def test_tries_of_parts_are_that_of_the_whole(cuts):
+    """Wherever the sorted paths are cut, every task sees the same nodes; those only one part needs are real branches."""
+    paths = sorted({"fabcd", "fabce", "fabcex", "fabd", "fabdaaa", "fabdaab", "fabdaabz", "fb", "fbcccc", "fbccccd", "fbd", "fxyzxyz", "fxyzxyzxyz", "fz"})
+
+    def edges(parts):
+        out, names = {}, set()
+        for k, part in enumerate(parts):
+            left = spelling._shared(parts[k - 1][-1], part[0]) if k else 0
+            right = spelling._shared(part[-1], parts[k + 1][0]) if k + 1 < len(parts) else 0
+            for node, end in spelling.branching(part, left, right, 2):
+                name = part[node.first][:node.depth]
+                names.add(name)
+                below = {p for p in part[node.first:end]}
+                assert below == {p for p in part if p.startswith(name)}
+                for code, i, child, label, mask in spelling._marked(node, part):
+                    to = name + label
+                    assert out.setdefault((name, code), to) == to
+        return out, names
+
+    bounds = [0, *cuts, len(paths)]
+    found, names = edges([paths[a:b] for a, b in zip(bounds, bounds[1:])])
+    whole, real = edges([paths])
+    assert real <= names and {k for k in whole} <= {k for k in found}
+    for name, code in found:                                   # every edge ends at a node or at a word
+        to = found[name, code]
+        assert to in names or (to.endswith("$") and to[:-1] in paths)
 
 
 # -- licences --------------------------------------------------------------------------------------------
