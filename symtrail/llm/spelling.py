@@ -263,7 +263,8 @@ def _sorted_paths(words: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int
 
     Only the first and last path of each part come to the driver."""
     sides = F.explode(F.array(F.concat(F.lit("f"), "word"), F.concat(F.lit("r"), F.reverse("word")))).alias("path")
-    dealt = words.select(sides, "n").repartitionByRange("path").sortWithinPartitions("path")
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))       # stated, or small ranges are merged
+    dealt = words.select(sides, "n").repartitionByRange(parts, "path").sortWithinPartitions("path")
     rows = cut(dealt.select(F.spark_partition_id().alias("part"), "path", "n"))
     ends = sorted(rows.groupBy("part").agg(F.min("path").alias("first"), F.max("path").alias("last")).collect(), key=lambda r: r["part"])
     between = [0, *(_shared(a["last"], b["first"]) for a, b in zip(ends, ends[1:])), 0]
@@ -363,19 +364,15 @@ def neighbours(words: DataFrame, least: int = 7) -> DataFrame:
     branching nodes on a path; a round joins on the node, of which none has more edges than there are letters."""
     rows, shared = _sorted_paths(words)
     shallowest = 1 + least // 2
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = cut(_trie(rows, shared, shallowest, EDGES))
     states = cut(_edited(_trie(rows, shared, shallowest, STATES), edges))
-    placed = None
     found = []
     while True:
         found.append(states.filter("target is not null").select("path", "n", "target", "target_n"))
         rest = states.filter("target is null")
         if rest.isEmpty():
             break
-        if placed is None:                # the edges stay where they are from now on; only states move
-            placed = cut(edges.repartition(parts, "node", "code").sortWithinPartitions("node", "code"))
-        states = cut(_followed(rest, placed))
+        states = cut(_followed(rest, edges))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
