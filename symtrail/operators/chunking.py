@@ -20,6 +20,11 @@ def module_body(imports, members):
     return F.array_join(F.concat(head, members), "\n")
 
 
+def with_keys(symbols: DataFrame) -> DataFrame:
+    """Adds `cache_key`, under which the vector of a chunk is kept."""
+    return symbols.withColumn("cache_key", X.cache_key(F.col("header_hash"), F.col("body_hash")))
+
+
 def with_chunks(symbols: DataFrame) -> DataFrame:
     """Scrub first, then hash, then build the chunk: a rule change must reach the hashes.
 
@@ -31,11 +36,10 @@ def with_chunks(symbols: DataFrame) -> DataFrame:
     scrubbed = scrubbed.withColumn("decorators", F.transform("decorators", X.scrub)).withColumn(
         "members", F.transform("members", X.scrub))
     col = F.col
-    hashed = scrubbed.withColumn("header_hash", X.header_hash(
+    hashed = with_keys(scrubbed.withColumn("header_hash", X.header_hash(
         col("rel_path"), col("enclosing_signature"), col("signature"), col("used_imports"))).withColumn(
-            "body_hash", X.body_hash(col("source_code"))).withColumn(
-                "cache_key", X.cache_key(col("header_hash"), col("body_hash"))).withColumn(
-                    "search_text", X.search_text(col("name"), col("qualified_name"), col("docstring")))
+            "body_hash", X.body_hash(col("source_code")))).withColumn(
+                "search_text", X.search_text(col("name"), col("qualified_name"), col("docstring")))
     body = (F.when(col("kind") == "class", class_body(col("signature"), col("docstring"), col("members")))
             .when(col("kind") == "module", module_body(col("used_imports"), col("members"))).otherwise(col("source_code")))
     header = X.context_header(col("rel_path"), col("enclosing_signature"), col("signature"), col("used_imports"))

@@ -129,26 +129,47 @@ def shown(related: DataFrame, symbols: DataFrame, limit: int = K.STRUCTURAL_RESU
 
 # -- bounded walk -----------------------------------------------------------------------------------
 
+def _first_sources(steps: DataFrame, targets: DataFrame, place: DataFrame, most: int) -> DataFrame:
+    """`tgt, uid, rel_path, start_line, qualified_name`: the first `most` sources of each distinct target in
+    (path, line, uid) order.  A target is expanded once, however many questions stand on it."""
+    own = targets.select(F.col("uid").alias("tgt")).distinct()
+    into = lookup(steps, own, ["tgt"], "inner").withColumnRenamed("src", "uid")
+    placed = lookup(into, place, ["uid"], "inner", bound=into)
+    order = W.partitionBy("tgt").orderBy("rel_path", "start_line", "uid")
+    return placed.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most).drop("_rn")
+
+
 def impact(entities: DataFrame, symbols: DataFrame, edges: DataFrame, kinds=K.IMPACT_KINDS,
            depth: int = K.MULTIHOP_MAX_DEPTH, limit: int = K.MULTIHOP_MAX_RESULTS) -> DataFrame:
     """Transitive callers, breadth first, at most `depth` levels and `limit` results per question.
 
     Result: `question_id, uid, level, position, path, truncated`; `path` runs from the symbol down to
     the entity.  A symbol's parent is the least uid of the level below that reaches it.  The limit
-    cuts a level in (path, line, uid) order and ends that question's walk."""
+    cuts a level in (path, line, uid) order and ends that question's walk.
+
+    A question shows at most `limit` symbols and has seen at most as many besides its entities, so of a
+    target's sources only the first 2 * limit + 1 and as many as it has entities can matter to it: the rest
+    of a hub is dropped before questions meet it."""
     steps = _step(edges, kinds).select("src", "tgt").distinct()
     over = cut(override_closure(edges))
     place = symbols.select("uid", "qualified_name", "rel_path", "start_line")
     start = entities.select("question_id", "uid").distinct().join(place.select("uid", "qualified_name"), "uid")
     frontier = cut(start.select("question_id", "uid", F.array("qualified_name").alias("path")))
+    widest = frontier.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = 2 * limit + 1 + widest
+    dispatched = not over.isEmpty()
     seen = frontier.select("question_id", "uid")
     found = None
     for level in range(1, depth + 1):
-        ends = frontier.select("question_id", "uid", F.col("uid").alias("parent"))
-        reach = ends.join(over, "uid").select("question_id", F.col("base").alias("uid"), "parent")
-        targets = ends.unionByName(reach).distinct()
-        next_ = _into(steps, targets).groupBy("question_id", "uid").agg(F.min("parent").alias("parent"))
-        next_ = next_.join(seen, ["question_id", "uid"], "left_anti").join(place, "uid")
+        targets = frontier.select("question_id", "uid", F.col("uid").alias("parent"))
+        if dispatched:
+            reach = targets.join(over, "uid").select("question_id", F.col("base").alias("uid"), "parent")
+            targets = targets.unionByName(reach).distinct()
+        near = _first_sources(steps, targets, place, most)
+        asked = targets.select("question_id", F.col("uid").alias("tgt"), "parent")
+        columns = ["rel_path", "start_line", "qualified_name"]
+        next_ = asked.join(near, "tgt").groupBy("question_id", "uid", *columns).agg(F.min("parent").alias("parent"))
+        next_ = next_.join(seen, ["question_id", "uid"], "left_anti")
         order = W.partitionBy("question_id").orderBy("rel_path", "start_line", "uid")
         ranked = next_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit + 1)
         if found is not None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from symtrail import constants as K
+from symtrail.functions.text import NUL
 from symtrail.operators.keyed import range_buckets, running_sums
+from symtrail.session import cut, small
 
 
 def first_hits(questions: DataFrame, ranked: DataFrame, gold: DataFrame) -> DataFrame:
@@ -82,6 +84,113 @@ def percentiles(df: DataFrame, keys: list[str], value: str, fractions: list[floa
         .select(*keys, "fraction", F.col("_v").alias(value))
 
 
+#: Bins of a histogram per doubling of the value, and per range that is looked at again.
+PER_DOUBLING, BINS = 8, 256
+
+#: A range with at most this many rows is settled by counting its values.
+FEW = 65_536
+
+
+def _magnitude(v: Column) -> Column:
+    """A bin that grows with the value over all numbers: by sign, then by size in eighths of a doubling."""
+    size = F.floor(F.greatest(F.least(F.log2(F.abs(v)) * PER_DOUBLING, F.lit(15_000.0)), F.lit(-15_000.0))).cast("int") + 20_000
+    return F.when(F.isnan(v), 50_000).when(v == 0, 0).when(v > 0, size).otherwise(-size)
+
+
+def rank_values(df: DataFrame, keys: list[str], value: str, fractions: list[float], index=nearest_rank_index, few: int = FEW) -> DataFrame:
+    """As `percentiles`, without sorting or counting all values: `keys, fraction, value`.
+
+    A histogram of all values, by their magnitude, is merged from those of the tasks.  Only the bin that holds
+    the wanted rank is looked at again, with bins between its own least and greatest value, until it is one
+    value or holds few rows, whose values are counted.  A round is one pass and sends a row per task and bin.
+    Nulls are left out; NaN counts as the greatest; without values there is no row."""
+    v = F.col("_v")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(v.isNotNull())
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = sizes.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("_k", index(F.col("fraction"), F.col("_n")) + 1)
+    bins = rows.groupBy(*keys, _magnitude(v).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    each = [F.col(k).eqNullSafe(F.col(f"_w.{k}")) for k in keys]
+    every = F.lit(True)
+    for one in each:
+        every = every & one
+
+    def chosen(counted: DataFrame, sought: DataFrame, by: list[str]) -> DataFrame:
+        """The bin of each wanted rank, and the rank within it."""
+        upto = W.partitionBy(*(by or [F.lit(0)])).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
+        cum = counted.withColumn("_cum", F.sum("_c").over(upto))
+        w = sought.select(F.struct(*sought.columns).alias("_w"))
+        same = every if "fraction" not in by else every & (F.col("fraction") == F.col("_w.fraction"))
+        hit = cum.join(F.broadcast(w) if small(sought) else w, same & (F.col("_cum") >= F.col("_w._k")) & (F.col("_cum") - F.col("_c") < F.col("_w._k")))
+        return hit.select(*[F.col(f"_w.{k}").alias(k) for k in keys], F.col("_w.fraction").alias("fraction"),
+                          (F.col("_w._k") - F.col("_cum") + F.col("_c")).alias("_k"), F.col("_c").alias("_n"), "_lo", "_hi")
+
+    state = cut(chosen(bins, cut(wanted.drop("_n")), keys))
+    done = []
+    while True:
+        done.append(state.filter("_lo = _hi").select(*keys, "fraction", F.col("_lo").alias(value)))
+        rest = state.filter("_lo <> _hi")
+        if rest.isEmpty():
+            break
+        w = rest.select(F.struct(*rest.columns).alias("_w"))
+        active = rows.join(F.broadcast(w) if small(rest) else w, every & v.between(F.col("_w._lo"), F.col("_w._hi")))
+        width = F.col("_w._hi") / BINS - F.col("_w._lo") / BINS
+        part = F.least(F.floor((v - F.col("_w._lo")) / width), F.lit(BINS - 1)).cast("double")
+        place = F.when((F.col("_w._n") <= few) | (width <= 0), v).otherwise(part)
+        again = active.select(*keys, F.col("_w.fraction").alias("fraction"), place.alias("_bin"), "_v").groupBy(*keys, "fraction", "_bin").agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        state = cut(chosen(again, rest.select(*keys, "fraction", "_k"), [*keys, "fraction"]))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.withColumn(value, F.col(value).cast(df.schema[value].dataType))
+
+
+# -- samples ---------------------------------------------------------------------------------------
+
+#: Hex digits of a hash that a histogram tells apart at once.
+DIGITS = 3
+
+
+def seeded_sample(df: DataFrame, n: int, key: list[Column], seed: int = 0, strata: list[str] | None = None) -> DataFrame:
+    """The `n` rows with the least hash of `seed` and `key` (of each of the `strata`), all columns.
+
+    Hashes are counted by their first digits; only the digits in which the n-th falls are looked at with more
+    digits, so no task sorts the rows or takes n from every other.  Rows of equal `key` are chosen alike: with
+    repeated keys a stratum may hold more than `n` rows, by the repeats of its last key.  The choice
+    depends on seed and keys alone, not on order, partitions or other rows' contents."""
+    by = strata or []
+    digest = F.sha1(F.concat_ws(NUL, F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in key]).cast("binary"))
+    keyed = df.withColumn("_hash", digest)
+    same = F.lit(True)
+    for s in by:
+        same = same & F.col(s).eqNullSafe(F.col(f"_t.{s}"))
+    # Thresholds: (strata, prefix, left) - hashes below the prefix are in, `left` more come from it.
+    hashes = keyed.select(*by, "_hash")
+    limits = None
+    for depth in range(DIGITS, 40 + DIGITS, DIGITS):
+        rows = hashes
+        if limits is not None:
+            t = limits.filter("_open").select(F.struct(*by, "_prefix", "_left").alias("_t"))
+            if t.isEmpty():
+                break
+            rows = hashes.join(F.broadcast(t) if small(t) else t, same & (F.substring("_hash", 1, depth - DIGITS) == F.col("_t._prefix")))
+            left = F.col("_t._left")
+        else:
+            left = F.lit(n)
+        counted = rows.groupBy(*by, F.substring("_hash", 1, depth).alias("_prefix")).agg(F.count(F.lit(1)).alias("_c"), F.first(left).alias("_want"))
+        upto = W.partitionBy(*(by or [F.lit(0)])).orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)
+        cum = counted.withColumn("_cum", F.sum("_c").over(upto))
+        at = cum.filter((F.col("_cum") >= F.col("_want")) & (F.col("_cum") - F.col("_c") < F.col("_want")))
+        left_in = F.col("_want") - F.col("_cum") + F.col("_c")
+        found = at.select(*by, "_prefix", left_in.alias("_left"), (F.col("_c") > left_in).alias("_open"))
+        closed = found if limits is None else found.unionByName(limits.filter("not _open"))
+        limits = cut(closed)
+    t = limits.select(F.struct(*by, "_prefix").alias("_t"))
+    within = F.substring("_hash", 1, F.length("_t._prefix")) <= F.col("_t._prefix")
+    out = keyed.join(F.broadcast(t) if small(t) else t, same, "left").filter(F.col("_t").isNull() | within)
+    return out.drop("_hash", "_t")
+
+
 # -- gates -----------------------------------------------------------------------------------------
 
 def gates(measures: DataFrame) -> DataFrame:

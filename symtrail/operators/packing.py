@@ -236,14 +236,23 @@ def pack(blocks: DataFrame, available: int = K.AVAILABLE, seed_share: float = K.
     `blocks(question_id, uid, role, score, rel_path, enclosing_signature, signature, docstring,
     source_code, used_imports)`.  Greedy by (score desc, uid): seeds full, else elided, else dropped
     (the first one is cut instead when nothing was packed yet); then neighbours as stubs."""
+    return fold(rendered(blocks, per_seed(available, seed_share, max_seed_frac)), available, seed_share, max_seed_frac)
+
+
+def per_seed(available: int, seed_share: float = K.SEED_SHARE, max_seed_frac: float = K.MAX_SEED_FRAC) -> int:
+    """Tokens that one seed may take."""
+    return int(int(available * seed_share) * max_seed_frac)
+
+
+def fold(ready: DataFrame, available: int = K.AVAILABLE, seed_share: float = K.SEED_SHARE, max_seed_frac: float = K.MAX_SEED_FRAC) -> DataFrame:
+    """`pack` of blocks that are rendered already."""
     seed_cap = int(available * seed_share)
-    per_seed = int(seed_cap * max_seed_frac)
-    ready = rendered(blocks, per_seed)
+    most = per_seed(available, seed_share, max_seed_frac)
     costs = F.struct((-F.col("score")).alias("o"), "uid", "full_cost", "elided_cost", "cut_cost", "stub_cost")
     listed = ready.groupBy("question_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("role") == "seed", costs))).alias("seeds"),
         F.sort_array(F.collect_list(F.when(F.col("role") != "seed", costs))).alias("stubs"))
-    folded = listed.withColumn("s", _fold_seeds(F.col("seeds"), seed_cap, per_seed)).withColumn(
+    folded = listed.withColumn("s", _fold_seeds(F.col("seeds"), seed_cap, most)).withColumn(
         "t", X.let(F.col("s.out"), lambda held: _fold_stubs(F.col("stubs"), held, available - seed_cap)))
     every = F.concat("s.out", "t.out")
     kept = F.filter(every, lambda b: b["level"] != "dropped")

@@ -11,8 +11,8 @@ from symtrail.functions import text as X
 from symtrail.operators.keyed import lookup
 from symtrail.session import cut
 
-#: Query vectors held by a task at once; a larger batch is answered in several scans.
-QUERY_BLOCK = 4096
+#: Question vectors, and vectors they are compared with, that a task holds at once.
+QUERY_BLOCK, VECTOR_TILE = 4096, 8192
 
 
 # -- inverted index ------------------------------------------------------------------------------
@@ -70,72 +70,91 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 
 # -- vectors -----------------------------------------------------------------------------------------
 
+def _unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    matrix = np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
+    length = np.linalg.norm(matrix, axis=1)
+    return matrix / np.where(length == 0, 1.0, length)[:, None]
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the `k` greatest scores of each query; all that may round to the k-th stay, so ties are
+    settled globally."""
+    floor = np.partition(scores, -k, axis=0)[-k] - 2e-9 if len(scores) > k else np.full(scores.shape[1], -np.inf)
+    return np.nonzero(scores >= floor)
+
+
 def _best_of_batches(queries: dict, k: int, uid_type: pa.DataType):
     """Per Arrow batch, the `k` best rows of each query of the row's tenant (matrix products)."""
     schema = pa.schema([("question_id", pa.string()), ("uid", uid_type), ("score", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            vectors = batch.column("vector").drop_null()
-            if len(vectors) == 0:
+            batch = batch.filter(batch.column("vector").is_valid())
+            if batch.num_rows == 0:
                 continue
-            keep = batch.column("vector").is_valid()
-            uids, tenants = batch.column("uid").filter(keep), np.array(batch.column("tenant").filter(keep).to_pylist())
-            matrix = np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(vectors), -1)
-            length = np.linalg.norm(matrix, axis=1)
-            matrix = matrix / np.where(length == 0, 1.0, length)[:, None]
+            tenants = np.array(batch.column("tenant").to_pylist())
+            matrix = _unit_rows(batch.column("vector"))
             for tenant in np.unique(tenants):
                 if tenant not in queries:
                     continue
                 ids, block = queries[tenant]
                 rows = np.flatnonzero(tenants == tenant)
                 scores = matrix[rows] @ block.T
-                # Everything that may round to the k-th best stays, so ties are settled globally.
-                floor = np.partition(scores, -k, axis=0)[-k] - 2e-9 if len(rows) > k else np.full(len(ids), -np.inf)
-                at, q = np.nonzero(scores >= floor)
+                at, q = _best(scores, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in q], pa.string()), uids.take(pa.array(rows[at])),
+                    [pa.array([ids[i] for i in q], pa.string()), batch.column("uid").take(pa.array(rows[at])),
                      pa.array(scores[at, q])], schema=schema)
 
     return run
 
 
-def nearest(vectors: DataFrame, questions: DataFrame, k: int = K.ARM_K) -> DataFrame:
+def nearest(vectors: DataFrame, questions: DataFrame, k: int = K.ARM_K, block: int = QUERY_BLOCK, tile: int = VECTOR_TILE) -> DataFrame:
     """Top `k` vectors by cosine within each question's tenant: `question_id, uid, score, rank`.
 
     `vectors(uid, tenant, vector)`, `questions(question_id, tenant, vector)`.  Exact: the tenant is
-    applied before ranking, so a small tenant never loses its rows to a large one.  Each task keeps
-    its own best `k` per query and only those are shuffled.  Queries are sent to the tasks in blocks
-    of a fixed size."""
-    asked = questions.filter("vector is not null").select("question_id", "tenant", "vector")
-    found = None
+    applied before ranking, so a small tenant never loses its rows to a large one.  Up to `block` questions
+    go to the vectors, which are scanned where they lie.  More are data like the vectors: a tenant's
+    questions in blocks meet its vectors in tiles, a block and a tile in a task, so neither a large tenant nor
+    many questions meet in one place.  Each task keeps its own best `k` per question and only those move on."""
+    asked = cut(questions.filter("vector is not null").select(F.col("question_id").cast("string").alias("question_id"), "tenant", "vector"))
     uid_type = "bigint" if dict(vectors.dtypes)["uid"] == "bigint" else "string"
     arrow = pa.int64() if uid_type == "bigint" else pa.string()
-    key = F.col("question_id").cast("string")
-    for block in _blocks(asked.withColumn("question_id", key)):
-        part = vectors.filter(F.col("tenant").isin(list(block))).select("uid", "tenant", "vector").mapInArrow(
-            _best_of_batches(block, k, arrow), f"question_id string, uid {uid_type}, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.limit(0).selectExpr("'' question_id", "uid", "0d score")
+    held = vectors.filter("vector is not null").select("uid", "tenant", "vector")
+    shape = f"question_id string, uid {uid_type}, score double"
+    few = asked.limit(block + 1).toArrow()
+    if few.num_rows <= block:
+        tenants = few.column("tenant").to_pylist()
+        queries = {}
+        for tenant in set(tenants):
+            mine = few.take(pa.array([i for i, t in enumerate(tenants) if t == tenant]))
+            queries[tenant] = (mine.column("question_id").to_pylist(), _unit_rows(mine.column("vector")))
+        found = held.filter(F.col("tenant").isin(list(queries))).mapInArrow(_best_of_batches(queries, k, arrow), shape)
+    else:
+        found = _tiled(held, asked, k, block, tile, shape, arrow)
     best = ranked(found.withColumn("score", F.round("score", 9)), k)
     return best.withColumn("question_id", F.col("question_id").cast(dict(questions.dtypes)["question_id"]))
 
 
-def _blocks(asked: DataFrame):
-    """`{tenant: (ids, unit rows)}` blocks of at most QUERY_BLOCK queries, streamed to the driver."""
-    block, size = {}, 0
-    for row in asked.toLocalIterator():
-        ids, rows = block.setdefault(row["tenant"], ([], []))
-        vector = np.asarray(row["vector"], dtype=np.float64)
-        ids.append(row["question_id"])
-        rows.append(vector / (np.linalg.norm(vector) or 1.0))
-        size += 1
-        if size == QUERY_BLOCK:
-            yield {t: (i, np.vstack(r)) for t, (i, r) in block.items()}
-            block, size = {}, 0
-    if block:
-        yield {t: (i, np.vstack(r)) for t, (i, r) in block.items()}
+def _tiled(held: DataFrame, asked: DataFrame, k: int, block: int, tile: int, shape: str, arrow: pa.DataType) -> DataFrame:
+    """The best `k` of every (question block, vector tile) of a tenant."""
+    n = lambda df, name, size: df.groupBy("tenant").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = cut(n(asked, "blocks", block).join(n(held, "tiles", tile), "tenant"))
+    part = lambda count: F.pmod(F.xxhash64(F.col("uid") if count == "tiles" else F.col("question_id")), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = lookup(held, sizes, ["tenant"], "inner").withColumn("tile", part("tiles")).withColumn("block", every("blocks"))
+    right = lookup(asked, sizes, ["tenant"], "inner").withColumn("block", part("blocks")).withColumn("tile", every("tiles"))
+    keys = ["tenant", "tile", "block"]
+
+    def best(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        if rows.num_rows == 0 or queries.num_rows == 0:
+            return pa.table({"question_id": pa.array([], pa.string()), "uid": pa.array([], arrow), "score": pa.array([], pa.float64())})
+        scores = _unit_rows(rows.column("vector")) @ _unit_rows(queries.column("vector")).T
+        at, q = _best(scores, k)
+        return pa.table({"question_id": queries.column("question_id").take(pa.array(q)), "uid": rows.column("uid").take(pa.array(at)), "score": scores[at, q]})
+
+    left, right = left.select(*keys, "uid", "vector"), right.select(*keys, "question_id", "vector")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, shape)
 
 
 # -- fusion ---------------------------------------------------------------------------------------------

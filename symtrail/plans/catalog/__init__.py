@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from symtrail.plans.catalog import answers, code, graph, lifecycle, retrieval, text  # noqa: F401
+    from symtrail.plans.catalog import answers, code, graph, lifecycle, outcomes, retrieval, text  # noqa: F401

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from symtrail import schema as SC
 from symtrail.functions import paths as P, text as X
 from symtrail.operators import maintenance as M, sessions as S
 from symtrail.plans import code_corpus as C, demo_graph as D
 from symtrail.plans.catalog import query
 from symtrail.plans.demo_graph import table
+from symtrail.session import shared_dir, table_schema
 from symtrail.sources import parse
-from symtrail.streaming import bursts
+from symtrail.sources.snapshots import Snapshots, conform
+from symtrail.streaming import bursts, quiet
 
 
 def _path():
@@ -220,6 +225,34 @@ def remap_in_place(spark, sf):
         row(out.files, "file", "rel_path"))
 
 
+@query("merged_snapshot", "WITH " + D.SQL + """,
+dead AS (SELECT uid FROM sym WHERE uid IN (SELECT concat('P:', p_partkey) FROM part WHERE p_size = 7)),
+s AS (SELECT uid, CASE WHEN uid IN (SELECT concat('P:', p_partkey) FROM part WHERE p_size > 45) THEN concat(qualified_name, '_v2') ELSE qualified_name END AS q FROM sym WHERE uid NOT IN (SELECT uid FROM dead)),
+e AS (SELECT DISTINCT src, tgt, kind, origin_path FROM edge WHERE src NOT IN (SELECT uid FROM dead) AND tgt NOT IN (SELECT uid FROM dead))
+SELECT 'symbol' AS what, concat_ws('>', uid, q) AS id FROM s UNION ALL SELECT 'edge', concat_ws('>', src, tgt, kind, origin_path) FROM e""")
+def merged_snapshot(spark, sf):
+    """A store written whole, then twice by changes: large parts are renamed, and those of one size go with their
+    edges.  Readers put the parts together."""
+    store = Snapshots(spark, f"{shared_dir(spark)}/symtrail-stores/{uuid.uuid4().hex}")
+    repo = F.lit(D.REPO).alias("repo_id")
+    symbols = conform(D.symbols(spark, sf), SC.SYMBOLS)
+    edges = conform(D.edges(spark, sf).withColumn("repo_id", repo), SC.EDGES).dropDuplicates(SC.EDGE_KEY)
+    files = conform(symbols.select("repo_id", "rel_path").distinct(), SC.FILES)
+    one = spark.createDataFrame([(D.REPO,)], "repo_id string")
+    store.commit(M.Graph(files, symbols, edges), 1, one)
+    parts = lambda condition: table(spark, sf, "part").filter(condition).select(F.concat(F.lit("P:"), "p_partkey").alias("uid"))
+    large = parts("p_size > 45").withColumn("_large", F.lit(True))
+    renamed = symbols.join(large, "uid", "left").withColumn(
+        "qualified_name", F.when(F.col("_large"), F.concat("qualified_name", F.lit("_v2"))).otherwise(F.col("qualified_name"))).drop("_large")
+    store.commit(M.Graph(files, renamed, edges), 2, one)
+    now, dead = store.read(), parts("p_size = 7")
+    left = now.edges.join(dead.withColumnRenamed("uid", "src"), "src", "left_anti").join(dead.withColumnRenamed("uid", "tgt"), "tgt", "left_anti")
+    store.commit(M.Graph(now.files, now.symbols.join(dead, "uid", "left_anti"), left), 3, one)
+    row = lambda df, what, *cols: df.select(F.lit(what).alias("what"), F.concat_ws(">", *cols).alias("id"))
+    out = store.read()
+    return row(out.symbols, "symbol", "uid", "qualified_name").unionByName(row(out.edges, "edge", "src", "tgt", "kind", "origin_path"))
+
+
 # -- bursts -------------------------------------------------------------------------------------------
 
 _BURST = """
@@ -227,15 +260,28 @@ WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts) - epoch(lag(t
 b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)"""
 
 
-@query("debounced_flushes", _BURST + """
+_FLUSHED = _BURST + """
 , f AS (SELECT *, min(ts) OVER (PARTITION BY user_id, burst) AS flush_start FROM b)
-SELECT user_id, flush_start, event_type AS path, count(*) AS writes, arg_max(event_id, (ts, event_id)) AS event_id FROM f GROUP BY user_id, flush_start, event_type""")
+SELECT user_id, flush_start, event_type AS path, count(*) AS writes, arg_max(event_id, (ts, event_id)) AS event_id FROM f GROUP BY user_id, flush_start, event_type"""
+
+
+@query("debounced_flushes", _FLUSHED)
 def debounced_flushes(spark, sf):
     """Saves per user gathered until an hour passes in silence; the last save per path wins."""
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("path"))
     return S.flushes(events, ["user_id"], "path", "ts", "event_id", 3600).drop("ts")
 
 
+@query("quiet_flushes", _FLUSHED)
+def quiet_flushes(spark, sf):
+    """The same flushes from a stream with a timer per user that every event arms again."""
+    base = f"{shared_dir(spark)}/symtrail-streams/{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table_schema(spark, f"{sf}/events.parquet")).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = quiet.run_once(spark, events, base, ["user_id"], F.col("event_type"), "ts", "event_id", 3600, "1 minute")
+    kind = events.schema["ts"].dataType
+    return out.select("user_id", F.col("flush_start").cast(kind).alias("flush_start"), F.col("slot").alias("path"), "writes", "event_id")
+
+
 @query("streamed_bursts", _BURST + """
 , s AS (SELECT user_id, min(ts) AS flush_start, max(ts) AS last_ts, count(*) AS writes, max(event_id) AS last_event FROM b GROUP BY user_id, burst)
 SELECT user_id, flush_start, writes, last_event FROM s""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from symtrail.operators import metrics as ME, packing, retrieval as R
+from symtrail.operators import metrics as ME, packing, retries as RY, retrieval as R
 from symtrail.plans.catalog import query
 from symtrail.plans.demo_graph import table, texts
-from symtrail.session import stored
+from symtrail.session import cut, stored
 
 
 def _docs(spark, sf):
@@ -231,22 +231,27 @@ def _cost_sql(text):
 _HEADER = "concat('# ', source, '/', lang, '.txt :: document ', doc_id)"
 _FIRST = "trim(split_part(trim(text, chr(10) || ' '), chr(10), 1))"
 _MARK = "concat('# ⟨truncated: ', {0}, ' of ', len(ls), ' lines shown⟩')"
-_PACK_SQL = f"""WITH RECURSIVE {_BM25}, b AS MATERIALIZED (SELECT item_id AS q, CAST(doc_id AS VARCHAR) AS uid, score, rank <= 8 AS seed, {_HEADER} AS hdr, string_split(text, chr(10)) AS ls,
-    {_cost_sql(f"concat({_HEADER}, chr(10), text)")} AS full_cost,
-    {_cost_sql(f"concat_ws(chr(10), {_HEADER}, concat('document ', doc_id), CASE WHEN {_FIRST} <> '' THEN concat('    ', chr(34), chr(34), chr(34), {_FIRST}, chr(34), chr(34), chr(34)) END)")} AS stub_cost
-  FROM ft JOIN documents USING (doc_id)),
-room AS (SELECT q, uid, hdr, ls, list_transform(ls, lambda l: 1 + {_cost_sql("l")}) AS lc, 1440 - 1 - {_cost_sql("hdr")} - 1 - {_cost_sql(_MARK.format("len(ls)"))} AS room FROM b WHERE seed AND full_cost > 1440),
-fit AS (SELECT *, len(list_filter(range(1, len(ls) + 1), lambda k: list_sum(lc[1:k]) <= room)) AS fits FROM room),
-kept AS (SELECT *, CASE WHEN fits >= len(ls) THEN len(ls) ELSE greatest(1, coalesce(list_max(list_filter(range(1, fits + 1), lambda i: trim(ls[i + 1]) <> '')), 0)) END AS kept FROM fit),
-cut AS MATERIALIZED (SELECT q, uid, {_cost_sql(f"concat(hdr, chr(10), array_to_string(ls[1:kept], chr(10)), chr(10), {_MARK.format('kept')})")} AS cut_cost FROM kept),
-s AS MATERIALIZED (SELECT b.*, coalesce(cut_cost, 0) AS cut_cost, row_number() OVER (PARTITION BY b.q, seed ORDER BY score DESC, b.uid) AS i FROM b LEFT JOIN cut USING (q, uid)),
-seeds AS (SELECT q, 0 AS i, 0::BIGINT AS used, '' AS uid, '' AS level, 0::BIGINT AS cost, 0 AS packed FROM (SELECT DISTINCT q FROM s)
+def _pack_sql(of: str, to: str = "") -> str:
+    """Steps that pack the blocks of table `of`; the tables they make end in `to`."""
+    return f"""room{to} AS (SELECT q, uid, hdr, ls, list_transform(ls, lambda l: 1 + {_cost_sql("l")}) AS lc, 1440 - 1 - {_cost_sql("hdr")} - 1 - {_cost_sql(_MARK.format("len(ls)"))} AS room FROM {of} WHERE seed AND full_cost > 1440),
+fit{to} AS (SELECT *, len(list_filter(range(1, len(ls) + 1), lambda k: list_sum(lc[1:k]) <= room)) AS fits FROM room{to}),
+kept{to} AS (SELECT *, CASE WHEN fits >= len(ls) THEN len(ls) ELSE greatest(1, coalesce(list_max(list_filter(range(1, fits + 1), lambda i: trim(ls[i + 1]) <> '')), 0)) END AS kept FROM fit{to}),
+cut{to} AS MATERIALIZED (SELECT q, uid, {_cost_sql(f"concat(hdr, chr(10), array_to_string(ls[1:kept], chr(10)), chr(10), {_MARK.format('kept')})")} AS cut_cost FROM kept{to}),
+s{to} AS MATERIALIZED (SELECT {of}.*, coalesce(cut_cost, 0) AS cut_cost, row_number() OVER (PARTITION BY {of}.q, seed ORDER BY score DESC, {of}.uid) AS i FROM {of} LEFT JOIN cut{to} USING (q, uid)),
+seeds{to} AS (SELECT q, 0 AS i, 0::BIGINT AS used, '' AS uid, '' AS level, 0::BIGINT AS cost, 0 AS packed FROM (SELECT DISTINCT q FROM s{to})
   UNION ALL SELECT q, i, used + cost, uid, level, cost, packed + (level <> 'dropped')::INT FROM (SELECT s.q, s.i::INT AS i, used, s.uid, packed,
     CASE WHEN full_cost <= 1440 AND used + full_cost <= 3600 THEN 'full' WHEN packed = 0 THEN 'truncated' ELSE 'dropped' END AS level,
-    CASE WHEN full_cost <= 1440 AND used + full_cost <= 3600 THEN full_cost WHEN packed = 0 THEN cut_cost ELSE 0 END AS cost FROM seeds p JOIN s ON s.q = p.q AND s.seed AND s.i = p.i + 1)),
-stubs AS (SELECT q, 0 AS i, 0::BIGINT AS used, '' AS uid, '' AS level, 0::BIGINT AS cost FROM (SELECT DISTINCT q FROM s)
+    CASE WHEN full_cost <= 1440 AND used + full_cost <= 3600 THEN full_cost WHEN packed = 0 THEN cut_cost ELSE 0 END AS cost FROM seeds{to} p JOIN s{to} s ON s.q = p.q AND s.seed AND s.i = p.i + 1)),
+stubs{to} AS (SELECT q, 0 AS i, 0::BIGINT AS used, '' AS uid, '' AS level, 0::BIGINT AS cost FROM (SELECT DISTINCT q FROM s{to})
   UNION ALL SELECT q, i, used + cost, uid, CASE WHEN over THEN 'dropped' ELSE 'stub' END, cost FROM (SELECT s.q, s.i::INT AS i, used, s.uid, used + stub_cost > 2400 AS over,
-    CASE WHEN used + stub_cost > 2400 THEN 0 ELSE stub_cost END AS cost FROM stubs p JOIN s ON s.q = p.q AND NOT s.seed AND s.i = p.i + 1))
+    CASE WHEN used + stub_cost > 2400 THEN 0 ELSE stub_cost END AS cost FROM stubs{to} p JOIN s{to} s ON s.q = p.q AND NOT s.seed AND s.i = p.i + 1))"""
+
+
+_BLOCK_SQL = f"""WITH RECURSIVE {_BM25}, b AS MATERIALIZED (SELECT item_id AS q, CAST(doc_id AS VARCHAR) AS uid, score, rank <= 8 AS seed, {_HEADER} AS hdr, string_split(text, chr(10)) AS ls,
+    {_cost_sql(f"concat({_HEADER}, chr(10), text)")} AS full_cost,
+    {_cost_sql(f"concat_ws(chr(10), {_HEADER}, concat('document ', doc_id), CASE WHEN {_FIRST} <> '' THEN concat('    ', chr(34), chr(34), chr(34), {_FIRST}, chr(34), chr(34), chr(34)) END)")} AS stub_cost
+  FROM ft JOIN documents USING (doc_id))"""
+_PACK_SQL = f"""{_BLOCK_SQL}, {_pack_sql("b")}
 SELECT q AS question_id, uid, level, cost FROM seeds WHERE i > 0 UNION ALL SELECT q, uid, level, cost FROM stubs WHERE i > 0"""
 
 
@@ -264,6 +269,27 @@ def packed_context(spark, sf):
                          F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
 
 
-@query("packing_report")
+@query("packing_report", f"""{_BLOCK_SQL}, {_pack_sql("b")}, l AS (SELECT q, level, cost FROM seeds WHERE i > 0 UNION ALL SELECT q, level, cost FROM stubs WHERE i > 0),
+c AS (SELECT q, count_if(level = 'full') AS "full", 0::BIGINT AS elided, count_if(level = 'truncated') AS truncated, count_if(level = 'stub') AS stub, count_if(level = 'dropped') AS dropped,
+  sum(cost)::BIGINT AS tokens, count(*) AS total FROM l GROUP BY q)
+SELECT q AS question_id, "full", elided, truncated, stub, dropped, tokens, total, dropped / total AS drop_rate,
+  concat('Context: ', concat_ws(', ', printf('%d of %d results in full', "full", total), CASE WHEN truncated > 0 THEN printf('%d truncated', truncated) END,
+    CASE WHEN stub > 0 THEN printf('%d as signatures', stub) END, CASE WHEN dropped > 0 THEN printf('%d omitted', dropped) END), printf(' (%.1fk / 6.0k tokens)', tokens / 1000.0)) AS summary FROM c""")
 def packing_report(spark, sf):
     return packing.packing_report(packing.pack(_blocks(spark, sf), available=6000), 6000)
+
+
+@query("retry_delta", f"""{_BLOCK_SQL}, {_pack_sql("b")},
+first AS (SELECT q, uid, level FROM seeds WHERE i > 0 UNION ALL SELECT q, uid, level FROM stubs WHERE i > 0),
+b2 AS MATERIALIZED (SELECT b.q, b.uid, CASE WHEN level = 'dropped' THEN max(score) OVER (PARTITION BY b.q) + 1 ELSE score END AS score, seed OR level = 'dropped' AS seed, hdr, ls, full_cost, stub_cost
+  FROM b JOIN first USING (q, uid) WHERE b.q IN (SELECT q FROM first WHERE level = 'dropped')), {_pack_sql("b2", "2")},
+second AS (SELECT q, uid, level, cost FROM seeds2 WHERE i > 0 UNION ALL SELECT q, uid, level, cost FROM stubs2 WHERE i > 0)
+SELECT q AS question_id, uid, level, cost FROM second s WHERE level <> 'dropped' AND NOT EXISTS (SELECT 1 FROM first f WHERE f.q = s.q AND f.uid = s.uid AND f.level <> 'dropped')""")
+def retry_delta(spark, sf):
+    """What a second context adds when all that was dropped from the first is promoted."""
+    blocks = _blocks(spark, sf)
+    ready = cut(packing.rendered(blocks, packing.per_seed(6000)))
+    first = cut(packing.fold(ready, 6000))
+    plan = first.filter("handle is null").select("question_id", F.lit("promote").alias("action"), "uid")
+    second = RY.repack(ready, RY.second_blocks(blocks, plan), 6000)
+    return RY.delta(first, second).select("question_id", "uid", "level", F.col("cost").cast("bigint").alias("cost"))

@@ -228,3 +228,40 @@ def test_open_bursts_keep_their_first_events(spark):
     # At 11:10 the event of 10:00 alone would be closed; its burst is open because of the later event.
     got = open_bursts(events, "user_id", "ts", "1 hour", "1 minute", F.lit("2024-01-01 11:10:00").cast("timestamp")).collect()
     assert [(r.user_id, r.flush_start.hour, r.flush_start.minute, r.writes, r.last_event) for r in got] == [("a", 10, 0, 2, 2)]
+
+
+def test_questions_in_blocks_meet_vectors_in_tiles(spark):
+    rng = random.Random(2)
+    rows = [(k, f"t{k % 3 if k % 7 else 0}", [rng.gauss(0, 1) for _ in range(6)]) for k in range(300)] + [(900, "t0", None), (901, "t1", [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "uid long, tenant string, vector array<double>")
+    asked = spark.createDataFrame([(f"q{k}", f"t{k % 4}", [rng.gauss(0, 1) for _ in range(6)]) for k in range(60)] + [("none", "t0", None)], "question_id string, tenant string, vector array<double>")
+    key = lambda df: sorted((r.question_id, r.rank, r.uid, r.score) for r in df.collect())
+    whole = key(RT.nearest(vectors, asked, 7))
+    assert key(RT.nearest(vectors, asked, 7, block=5, tile=20)) == whole
+    assert len(whole) == 45 * 7 and {q for q, *_ in whole} == {f"q{k}" for k in range(60) if k % 4 < 3}
+
+
+def test_a_hub_is_cut_before_questions_meet_it(spark):
+    """Many questions on one hub with more callers than are shown, and one question that has seen some of them."""
+    symbols = [(f"s{k:03d}", f"n{k}", f"p{k % 7}.py", k) for k in range(400)]
+    edges = [(f"s{k:03d}", "s000", "CALLS") for k in range(1, 300)] + [("s000", "s399", "CALLS"), ("s001", "s399", "CALLS"), ("s005", "s398", "CALLS"), ("s000", "s398", "CALLS"), ("s300", "s001", "CALLS")]
+    sym = spark.createDataFrame(symbols, "uid string, qualified_name string, rel_path string, start_line int")
+    edge = spark.createDataFrame(edges, "src string, tgt string, kind string")
+    starts = {"a": ["s000"], "b": ["s399"], "c": ["s398", "s399"], "d": ["s000", "s001"]}
+    ents = spark.createDataFrame([(q, u) for q, us in starts.items() for u in us], "question_id string, uid string")
+    place = {u: (p, n, u) for u, _, p, n in symbols}
+    got = {}
+    for r in G.impact(ents, sym, edge, limit=20).collect():
+        got.setdefault(r.question_id, []).append((r.position, r.uid, r.level, r.truncated))
+    for q, us in starts.items():
+        seen, frontier, out, cut = set(us), set(us), [], False
+        for level in range(1, 5):
+            new = sorted({s for s, t, _ in edges if t in frontier} - seen, key=place.get)
+            for u in new[:20 - len(out)]:
+                out.append((len(out) + 1, u, level))
+            cut = len(seen) - len(us) + len(new) > 20
+            seen |= set(new)
+            frontier = set(new)
+            if cut or not new:
+                break
+        assert sorted(got[q]) == [(*o, cut) for o in out]
