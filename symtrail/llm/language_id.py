@@ -55,10 +55,13 @@ def _softmax(x: np.ndarray, axis: int) -> np.ndarray:
     return x / x.sum(axis, keepdims=True)
 
 
-def gradients(net: Network, windows: np.ndarray, answers: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean loss over all positions of `windows` (window, byte), and its gradients through time."""
+def gradients(net: Network, windows: np.ndarray, answers: np.ndarray, lengths: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
+    """Mean loss over the first `lengths` positions of `windows` (window, byte), and its gradients through time.
+
+    A padded place has no loss and, read backwards, leaves the state at its start."""
     n, steps = windows.shape
     h = net.turn.shape[2]
+    held = np.ones((steps, n)) if lengths is None else (np.arange(steps)[:, None] < lengths).astype(float)
     states = np.zeros((2, steps + 1, h, n))
     shape, gates, candidates = np.zeros((2, steps, 2 * h, n)), np.zeros((2, steps, h, n)), np.zeros((2, steps, h, n))
     order = [range(steps), range(steps - 1, -1, -1)]
@@ -70,12 +73,14 @@ def gradients(net: Network, windows: np.ndarray, answers: np.ndarray) -> tuple[f
             g = a * scale
             gates[d, k], candidates[d, k] = 0.5 + 0.5 * g[:h], g[h:]
             states[d, k + 1] = gates[d, k] * states[d, k] + (1 - gates[d, k]) * candidates[d, k]
+            if d == 1:
+                states[d, k + 1] *= held[t]
     both = np.concatenate([states[0, 1:], states[1, :0:-1]], 1)                   # step, state, window
     p = _softmax(net.out @ both + net.bias[:, None], 1)
     target = np.zeros_like(p)
     target[:, answers, np.arange(n)] = 1
-    loss = -np.log(np.maximum((p * target).sum(1), 1e-12)).mean()
-    error = (p - target) / (n * steps)
+    loss = -(np.log(np.maximum((p * target).sum(1), 1e-12)) * held).sum() / held.sum()
+    error = (p - target) * held[:, None] / held.sum()
     d_out = np.einsum("tln,tsn->ls", error, both)
     d_states = np.einsum("ls,tln->tsn", net.out, error)
     d_embed, d_turn = np.zeros_like(net.embed), np.zeros_like(net.turn)
@@ -84,6 +89,8 @@ def gradients(net: Network, windows: np.ndarray, answers: np.ndarray) -> tuple[f
         for k in range(steps - 1, -1, -1):
             t = order[d][k]
             flow = flow + d_states[t, d * h:(d + 1) * h]
+            if d == 1:
+                flow = flow * held[t]
             z, c, before = gates[d, k], candidates[d, k], states[d, k]
             d_a = np.concatenate([0.5 * flow * (before - c), flow * (1 - z)]) * shape[d, k]
             d_turn[d] += d_a @ before.T
@@ -93,8 +100,8 @@ def gradients(net: Network, windows: np.ndarray, answers: np.ndarray) -> tuple[f
     return loss, [d_embed, d_turn, d_out, error.sum((0, 2))]
 
 
-def fitted(languages: list[str], windows: np.ndarray, answers: np.ndarray, rounds: int = 350, batch: int = 192, rate: float = 0.02, seed: int = 3) -> Network:
-    """A network fitted (Adam) to windows of bytes with the index of their language."""
+def fitted(languages: list[str], windows: np.ndarray, lengths: np.ndarray, answers: np.ndarray, rounds: int = 350, batch: int = 192, rate: float = 0.02, seed: int = 3) -> Network:
+    """A network fitted (Adam) to windows of bytes (the first `lengths` of each count) with the index of their language."""
     net = fresh(languages, seed=seed)
     if len(windows) == 0:
         return net
@@ -103,7 +110,7 @@ def fitted(languages: list[str], windows: np.ndarray, answers: np.ndarray, round
     first, second = [np.zeros_like(x) for x in tables], [np.zeros_like(x) for x in tables]
     for step in range(1, rounds + 1):
         rows = rng.integers(0, len(windows), batch)
-        _, slopes = gradients(net, windows[rows], answers[rows])
+        _, slopes = gradients(net, windows[rows], answers[rows], lengths[rows])
         norm = np.sqrt(sum((s ** 2).sum() for s in slopes))
         pace = rate * min(1.0, 2 * (1 - step / (rounds + 1)))
         for x, s, m, v in zip(tables, slopes, first, second):
@@ -174,8 +181,11 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tu
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
     """A network fitted to windows of at most `sample_docs` documents of each language.
 
-    Only text and a non-null lang of documents that are not held out are used, from rows with an id."""
-    chosen = labelled.sample(docs, "lang", *HELD_OUT, sample_docs, per_class=True)
+    Only non-empty text and a non-null lang of documents that are not held out are used, from rows with an
+    id.  Of a long text three windows are used, a text shorter than a window is one, padded: a language
+    whose texts are all short is learned like others."""
+    spoken = docs.filter(F.octet_length("text") > 0)
+    chosen = labelled.sample(spoken, "lang", *HELD_OUT, sample_docs, per_class=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,23 +193,22 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
             places, found = [], []
             for k in range(len(batch)):
                 n = int(offsets[k + 1] - offsets[k])
-                if n < TRAIN_WINDOW:
-                    continue
-                at = mixed(np.arange(SAMPLE_WINDOWS, dtype=np.uint64) + np.uint64(n)) % np.uint64(n - TRAIN_WINDOW + 1)
-                for x in at.astype(np.int64).tolist():
+                at = mixed(np.arange(SAMPLE_WINDOWS, dtype=np.uint64) + np.uint64(n)) % np.uint64(max(n - TRAIN_WINDOW, 0) + 1)
+                for x in at.astype(np.int64).tolist() if n > TRAIN_WINDOW else [0]:
                     places.append(k)
-                    found.append(data[offsets[k] + x:offsets[k] + x + TRAIN_WINDOW].tobytes())
+                    found.append(data[offsets[k] + x:min(offsets[k] + x + TRAIN_WINDOW, offsets[k + 1])].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label").take(pa.array(places, pa.int64())), pa.array(found, pa.binary())], ["lang", "bytes"])
 
-    # the bound is per language: the sample is broadcast, and its languages are few
-    found = labelled.with_label(docs.select("doc_id", "text"), chosen, "text").mapInArrow(run, "lang string, bytes binary").toArrow()
+    found = labelled.with_label(spoken.select("doc_id", "text"), chosen, "text", longest=None).mapInArrow(run, "lang string, bytes binary").toArrow()
     names = found.column("lang").to_pylist()
     languages = sorted(set(names))
-    windows = np.frombuffer(b"".join(found.column("bytes").to_pylist()), np.uint8).reshape(-1, TRAIN_WINDOW)
-    order = np.lexsort((*windows.T[:8], ))          # rows arrive in any order
+    held = found.column("bytes").to_pylist()
+    lengths = np.array([len(x) for x in held], np.int64)
+    windows = np.frombuffer(b"".join(x.ljust(TRAIN_WINDOW, b"\0") for x in held), np.uint8).reshape(-1, TRAIN_WINDOW)
     place = {x: k for k, x in enumerate(languages)}
     answers = np.array([place[x] for x in names], np.int64)
-    return fitted(languages, windows[order], answers[order])
+    order = np.lexsort((answers, lengths, *windows.T[::-1]))          # rows arrive in any order
+    return fitted(languages, windows[order], lengths[order], answers[order])
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from symtrail.llm import bpe, exact_dedup, jaccard_join, language_id, mixing, quality, suffix_array, toxicity
+from symtrail.llm import bpe, exact_dedup, jaccard_join, labelled, language_id, mixing, quality, suffix_array, toxicity
 from tests.llm.conftest import LONG, ODD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,16 +170,17 @@ def test_repeated_rows_are_those_taken(documents):
 
 # --- 5
 
-def test_gradients_through_time():
+@pytest.mark.parametrize("lengths", [None, np.array([6, 2, 4, 1])])
+def test_gradients_through_time(lengths):
     net = language_id.fresh(["a", "b"], state=3)
     windows, answers = np.random.default_rng(0).integers(0, 256, (4, 6)), np.array([0, 1, 1, 0])
-    _, slopes = language_id.gradients(net, windows, answers)
+    _, slopes = language_id.gradients(net, windows, answers, lengths)
     for table, slope in zip((net.embed, net.turn, net.out, net.bias), slopes):
         for at in [tuple(np.unravel_index(k, table.shape)) for k in np.argsort(-np.abs(slope).ravel())[:4]]:
             kept, values = table[at], []
             for step in (1e-5, -1e-5):
                 table[at] = kept + step
-                values.append(language_id.gradients(net, windows, answers)[0])
+                values.append(language_id.gradients(net, windows, answers, lengths)[0])
             table[at] = kept
             assert math.isclose((values[0] - values[1]) / 2e-5, slope[at], rel_tol=1e-3, abs_tol=1e-7)
 
@@ -208,6 +209,34 @@ def test_positions_are_labelled_as_in_training():
     assert np.allclose(sums.sum(0), total, atol=1e-3)
 
 
+def test_padding_changes_nothing():
+    net = language_id.fresh(["a", "b"], state=3)
+    windows = np.random.default_rng(1).integers(0, 256, (1, 5))
+    alone, slopes = language_id.gradients(net, windows, np.array([1]))
+    wide, padded = language_id.gradients(net, np.pad(windows, ((0, 0), (0, 4))), np.array([1]), np.array([5]))
+    assert math.isclose(alone, wide) and all(np.allclose(a, b) for a, b in zip(slopes, padded))
+
+
+def test_languages_whose_texts_are_all_short_are_learned(documents):
+    words = {"xx": "aba bab abba", "yy": "cdc dcd cddc"}
+    rows = [(k, words[lang].split()[k % 3] + " " + words[lang].split()[k % 2], "s", lang) for k, lang in ((k, ("xx", "yy")[k % 2]) for k in range(80))]
+    docs = documents(*rows)
+    net = language_id.fit(docs)
+    assert net.languages == ["xx", "yy"]
+    found = language_id.predict(docs, net).collect()
+    assert all(r["lang_pred"] == ("xx", "yy")[r["doc_id"] % 2] for r in found)
+
+
+def test_samples_are_bounded_and_of_one_text_each(documents):
+    docs = documents(*[(k, f"text {k}", "s", "en" if k % 4 else "de") for k in range(400)], (5, "another text of five", "s", "en"), (6, None, "s", "en"))
+    chosen = labelled.sample(docs, "lang", 3, 1, 20, per_class=True)
+    assert Counter(r["label"] for r in chosen.collect()) == {"en": 20, "de": 20}
+    assert {r["doc_id"] for r in chosen.collect()} == {r["doc_id"] for r in labelled.sample(docs.repartition(5), "lang", 3, 1, 20, per_class=True).collect()}
+    assert labelled.sample(docs, "lang", 3, 1, 30).count() == 30 and labelled.sample(docs.limit(0), "lang", 3, 1, 30).count() == 0
+    every = labelled.with_label(docs, labelled.sample(docs, "lang", 3, 1, 1000), "text")
+    assert every.count() == every.select("doc_id").distinct().count()
+
+
 def test_languages_of_held_out_documents(sf, documents):
     docs = sf("documents")
     net = language_id.fit(docs)
