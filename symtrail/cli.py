@@ -49,7 +49,8 @@ def main(argv: list[str] | None = None) -> None:
         answered.packed.filter("handle is not null").orderBy("position").select(
             "handle", "role", "level", F.col("text")).show(60, truncate=120)
     else:
-        (engine.sync if args.verb == "sync" else engine.reconcile)(files)
+        only = spark.createDataFrame([(repo,)], "repo_id string")        # the store may hold others
+        (engine.sync if args.verb == "sync" else engine.reconcile)(files, repos=only)
         engine.stats().show(truncate=False)
 
 

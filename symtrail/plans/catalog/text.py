@@ -320,19 +320,21 @@ def module_names(spark, sf):
 
 
 @query("git_renames", r"""
-SELECT doc_id, concat('docs/', lang, '/', split_part(regexp_replace(text, '[\s]+', ' ', 'g'), ' ', 1), '.md') AS old_path, concat('moved/', doc_id, '.md') AS new_path FROM documents WHERE doc_id % 4 <> 3""")
+SELECT doc_id, n, concat('docs/', lang, '/', line, '.md') AS old_path, concat('moved/', doc_id, '-', n, '.md') AS new_path
+FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) WHERE doc_id % 4 <> 3""")
 def git_renames(spark, sf):
-    """Porcelain rename lines with quoted, octal-escaped paths built from multilingual words."""
-    word = F.split_part(F.regexp_replace("text", r"\s+", " "), F.lit(" "), F.lit(1))
-    path = F.concat(F.lit("docs/"), "lang", F.lit("/"), word, F.lit(".md"))
+    """Porcelain rename lines with quoted, octal-escaped paths: every line of every text is one."""
+    docs = texts(spark, sf, "documents", "doc_id").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    path = F.concat(F.lit("docs/"), "lang", F.lit("/"), "line", F.lit(".md"))
     pairs = F.filter(F.split(F.hex(path.cast("binary")), "(?<=\\G..)"), lambda h: h != "")
     byte = lambda h: F.conv(h, 16, 10).cast("int")
     escape = lambda h: (F.when((byte(h) >= 128) | (byte(h) < 32), F.concat(F.lit("\\"), F.lpad(F.conv(h, 16, 8), 3, "0")))
                         .when(byte(h).isin(34, 92), F.concat(F.lit("\\"), F.char(byte(h)))).otherwise(F.char(byte(h))))
     quoted = F.concat(F.lit('"'), F.array_join(F.transform(pairs, escape), ""), F.lit('"'))
     status = F.when(F.col("doc_id") % 4 == 3, "?? ").when(F.col("doc_id") % 2 == 0, "R  ").otherwise("RM ")
-    lines = texts(spark, sf, "documents", "doc_id").select("doc_id", F.concat(status, quoted, F.lit(" -> moved/"), "doc_id", F.lit(".md")).alias("value"))
-    return lines.select("doc_id", P.git_rename(F.col("value")).alias("m")).filter("m is not null").select("doc_id", F.col("m.old").alias("old_path"), F.col("m.new").alias("new_path"))
+    lines = docs.select("doc_id", "n", F.concat(status, quoted, F.lit(" -> moved/"), "doc_id", F.lit("-"), "n", F.lit(".md")).alias("value"))
+    return lines.select("doc_id", F.col("n").cast("bigint").alias("n"), P.git_rename(F.col("value")).alias("m")).filter("m is not null").select(
+        "doc_id", "n", F.col("m.old").alias("old_path"), F.col("m.new").alias("new_path"))
 
 
 # -- vectors ------------------------------------------------------------------------------------------------------

@@ -148,6 +148,25 @@ def test_semantic_and_refused_questions(answered, engine):
     assert routes["many"] == "SEMANTIC" and routes["trace"] == "TRACE" and routes["who calls charge_card"] == "STRUCTURAL"
 
 
+def test_a_poor_answer_is_packed_again_once(spark, engine, answered):
+    asked = "who calls charge_card"
+    told = [(asked, "`common.utils.mask_email` calls `billing.tasks.charge_card` [C1]."), ("where is issue_token defined", "It is defined in `authx.services` [C1].")]
+    answers = spark.createDataFrame(told, "question_id string, text string")
+    again = engine.retry(answered, answers)
+    report = {r["question_id"]: r for r in again.report.collect()}
+    assert report[asked]["conflicts"] == 1 and report[asked]["retry"] and not report["where is issue_token defined"]["retry"]
+    first = answered.packed.filter(F.col("question_id") == asked).collect()
+    cited = next(r["uid"] for r in first if r["handle"] == "C1")
+    dropped = {r["uid"] for r in first if r["handle"] is None}
+    plan = {(r["question_id"], r["action"], r["uid"]) for r in again.plan.collect()}
+    assert plan == ({(asked, "promote", u) for u in dropped} if dropped else {(asked, "expand", cited)})
+    second = [r for r in again.packed.collect() if r["handle"]]
+    assert second and {r["question_id"] for r in second} == {asked}
+    shown = {r["uid"] for r in first if r["handle"]}
+    assert {r["uid"] for r in again.delta.collect()} == {r["uid"] for r in second} - shown
+    assert engine.retry(answered, answers, retries=1).plan.count() == 0
+
+
 def test_packed_answers(answered):
     rows = answered.packed.collect()
     per = {}
