@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from symtrail.operators.keyed import as_of, lookup, numbered, range_buckets
 from symtrail.session import cut
@@ -113,12 +113,14 @@ def remaps(moves: DataFrame, as_old: DataFrame, as_new: DataFrame) -> DataFrame:
 
     Moves are `repo_id, old_path, new_path`; both parses carry `repo_id, rel_path, seq, uid, kind, arity, ordinal, name`; a pair that differs in
     anything but a module's name is dropped, and so is a file whose parses differ in length."""
-    file = ["repo_id", "rel_path"]
-    count = lambda df: df.groupBy(*file).agg(F.count(F.lit(1)).alias("_n"))
+    each = W.partitionBy("repo_id", "rel_path")
     cols = ["seq", "uid", "kind", "arity", "ordinal", "name", "_n"]
-    old = as_old.join(count(as_old), file).select("repo_id", F.col("rel_path").alias("old_path"), *[F.col(c).alias(f"o_{c}") for c in cols])
-    new = as_new.join(count(as_new), file).select("repo_id", F.col("rel_path").alias("new_path"), *[F.col(c).alias(f"n_{c}") for c in cols])
-    both = moves.join(old, ["repo_id", "old_path"]).join(new.withColumnRenamed("n_seq", "o_seq"), ["repo_id", "new_path", "o_seq"])
+    side = lambda df, path, p: df.withColumn("_n", F.count(F.lit(1)).over(each)).select(
+        "repo_id", F.col("rel_path").alias(path), *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    old, new = side(as_old, "old_path", "o"), side(as_new, "new_path", "n")
+    # Sorted and merged: sizes that are guessed from the scanned columns would have the moves gathered by the driver.
+    both = moves.hint("merge").join(old.hint("merge"), ["repo_id", "old_path"]).hint("merge").join(
+        new.withColumnRenamed("n_seq", "o_seq").hint("merge"), ["repo_id", "new_path", "o_seq"])
     same = (F.col("o__n") == F.col("n__n"))
     for c in ("kind", "arity", "ordinal"):
         same = same & (F.col(f"o_{c}") == F.col(f"n_{c}"))

@@ -283,3 +283,18 @@ def test_a_walk_stores_names_once(spark):
     out = G.impact(ents, sym, edge)
     assert out.count() == 300 * 40 and out.filter("size(path) <> 2 or length(path[1]) < 1500").count() == 0
     assert size() - before < 2_000_000
+
+
+def test_parsed_files_are_never_gathered_by_the_driver(spark, tmp_path):
+    """Sizes guessed from a narrow scan say that two parses fit a broadcast; they must meet by shuffles all the same."""
+    rows = [("r", f"m{k}.py", seq, f"u{k}.{seq}", "function", 0, 0, f"f{seq}") for k in range(5) for seq in range(2 + k)]
+    cols = "repo_id string, rel_path string, seq int, uid string, kind string, arity int, ordinal int, name string"
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "old"))
+    old = spark.read.parquet(str(tmp_path / "old"))
+    new = old.withColumn("rel_path", F.concat(F.lit("to/"), "rel_path")).withColumn("uid", F.concat(F.lit("n"), "uid"))
+    short = new.filter("not (rel_path = 'to/m4.py' and seq = 5)")
+    moves = old.select("repo_id", F.col("rel_path").alias("old_path"), F.concat(F.lit("to/"), "rel_path").alias("new_path")).distinct()
+    out = M.remaps(moves, old, short)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(u, "n" + u, p, "to/" + p) for _, p, _, u, *_ in rows if p != "m4.py"}
+    assert {(r.old_uid, r.new_uid, r.old_path, r.new_path) for r in out.collect()} == want
