@@ -71,11 +71,14 @@ def undetected_moves(deleted: DataFrame, added: DataFrame) -> DataFrame:
     Identities are never paired with each other.  Each round every identity offers its least free new
     path and its least waiting old path (two minima); a pair that is best for both sides is what the
     ordered greedy would choose, so it is final.  Paths whose shared identities belong to the same
-    single group on both sides are matched by rank at once, which settles large groups of copies."""
+    single group on both sides are matched by rank at once, which settles large groups of copies.  An identity
+    that lies inside another (equal texts, which also have equal lengths) pairs nothing new and is left out first."""
     old = deleted.select(F.col("rel_path").alias("old"), "identity").distinct()
     new = added.select(F.col("rel_path").alias("new"), "identity").distinct()
     shared = old.select("identity").distinct().join(new.select("identity").distinct(), "identity", "left_semi")
     old, new = cut(old.join(shared, "identity", "left_semi")), cut(new.join(shared, "identity", "left_semi"))
+    inside = cut(_inside_another(old, new))
+    old, new = old.join(inside, "identity", "left_anti"), new.join(inside, "identity", "left_anti")
 
     def lone(df, side):
         """Identities all of whose paths have no other shared identity."""
@@ -102,6 +105,18 @@ def undetected_moves(deleted: DataFrame, added: DataFrame) -> DataFrame:
     return pairs.select(F.col("old").alias("old_path"), F.col("new").alias("new_path"))
 
 
+def _inside_another(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Identities whose paths all hold one other, wider identity: what they pair, that one pairs too.
+
+    Of a path only its most widely held identity is looked at, so a path of many identities is as many rows."""
+    both = old.select(F.concat(F.lit("o"), "old").alias("at"), "identity").unionByName(
+        new.select(F.concat(F.lit("n"), "new").alias("at"), "identity"))
+    held = lookup(both, both.groupBy("identity").agg(F.count(F.lit(1)).alias("n")), ["identity"], "inner")
+    widest = held.groupBy("at").agg(F.max(F.struct("n", "identity"))["identity"].alias("wide"))
+    per = both.join(widest, "at").groupBy("identity").agg(F.min("wide").alias("a"), F.max("wide").alias("b"))
+    return per.filter((F.col("a") == F.col("b")) & (F.col("a") != F.col("identity"))).select("identity")
+
+
 def _ranked(df: DataFrame, side: str) -> DataFrame:
     """Rank within an identity in path order; copies of one file are spread over range buckets."""
     ranged = range_buckets(df, "identity", side)

@@ -298,3 +298,22 @@ def test_parsed_files_are_never_gathered_by_the_driver(spark, tmp_path):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     want = {(u, "n" + u, p, "to/" + p) for _, p, _, u, *_ in rows if p != "m4.py"}
     assert {(r.old_uid, r.new_uid, r.old_path, r.new_path) for r in out.collect()} == want
+
+
+def test_copies_inside_a_wider_group_are_paired_at_once(spark, monkeypatch):
+    """Equal texts in one group of equal lengths, on both sides and in any order: no round per pair."""
+    rng = random.Random(9)
+    side = lambda p: {f"{p}{k:02d}": {"length", f"text{rng.randrange(6)}"} for k in range(25)} | {f"{p}x{k}": {"lone"} for k in range(3)}
+    before, after = side("o"), side("n")
+    want, used = set(), set()
+    for o in sorted(before):
+        for n in sorted(after):
+            if n not in used and before[o] & after[n]:
+                used.add(n)
+                want.add((o, n))
+                break
+    calls = []
+    monkeypatch.setattr(M, "cut", lambda df, f=M.cut: calls.append(1) or f(df))
+    flat = lambda d: spark.createDataFrame([(p, i) for p, ids in d.items() for i in ids], "rel_path string, identity string")
+    assert {tuple(r) for r in M.undetected_moves(flat(before), flat(after)).collect()} == want
+    assert len(calls) < 10
