@@ -1,7 +1,7 @@
 """Quiet periods as keyed state: every event arms its key's timer again, and silence flushes what is pending.
 
-The state of a key is its open bursts, when each is due, and for each slot (a path) of a burst the last write
-and the number of writes.  Contents stay out of the state; a flush names the write that counts.  Time is that of the events, with
+The state of a key is one value: its open bursts, with the last write and the number of writes of each slot (a
+path), and when the first of them is due, for which the key has its timer.  Contents stay out of the state; a flush names the write that counts.  Time is that of the events, with
 a watermark for late ones, or that of their arrival.
 """
 
@@ -16,19 +16,17 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+STATE = "due bigint, bursts array<struct<start:bigint,end:bigint,slots:array<struct<slot:string,at:bigint,ord:bigint,writes:bigint>>>>"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass
 class Span:
-    """A burst: first and last event in microseconds, and (order, writes) of each slot that this batch touched.
-
-    `stored` are the bursts of the state that went into it: start, end, and names of the slots."""
+    """A burst: first and last event in microseconds, and (order, writes) of each slot."""
 
     start: int
     end: int
     slots: dict[str, list] = field(default_factory=dict)
-    stored: list[tuple[int, int, list[str]]] = field(default_factory=list)
 
     def add(self, slot: str, order: tuple, writes: int) -> None:
         held = self.slots.get(slot)
@@ -41,9 +39,9 @@ class Span:
 class Spans:
     """Bursts of one key in order; an event joins all that it is at most the gap away from."""
 
-    def __init__(self, stored: list[tuple[int, int, list[str]]], gap: int):
+    def __init__(self, stored: list[Span], gap: int):
         self.gap = gap
-        self.spans = [Span(s, e, stored=[(s, e, names)]) for s, e, names in sorted(stored)]
+        self.spans = sorted(stored, key=lambda s: s.start)
         self.ends = [s.end for s in self.spans]
 
     def add(self, at: int, slot: str, order: tuple) -> None:
@@ -58,7 +56,6 @@ class Spans:
             one = near[0]
             one.start, one.end = min(one.start, at), max(near[-1].end, one.end, at)
             for other in near[1:]:
-                one.stored += other.stored
                 for name, (o, n) in other.slots.items():
                     one.add(name, o, n)
         one.add(slot, order, 1)
@@ -74,57 +71,49 @@ class QuietPeriods(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bursts = handle.getMapState("bursts", "start bigint", "end bigint, slots array<string>")
-        self.dues = handle.getMapState("dues", "due bigint", "start bigint")
-        self.pending = handle.getMapState("pending", "start bigint, slot string", "at bigint, ord bigint, writes bigint")
+        self.bursts = handle.getValueState("bursts", STATE)
 
     def _due(self, end: int) -> int:
         """Milliseconds at which a burst is over: an event exactly the gap later still belongs to it."""
         return (end + self.gap) // 1000 + 1
 
+    def _held(self) -> tuple[int | None, list[Span]]:
+        """When the key's timer is due, and its open bursts."""
+        value = self.bursts.get()
+        if value is None:
+            return None, []
+        return value[0], [Span(b[0], b[1], {x[0]: [(x[1], x[2]), x[3]] for x in b[2]}) for b in value[1]]
+
+    def _keep(self, was: int | None, spans: list[Span]) -> None:
+        """Open bursts as one value, read and written once a batch; one timer stands for the first that is due."""
+        due = min((self._due(s.end) for s in spans), default=None)
+        if was is not None and was != due:
+            self.handle.deleteTimer(was)
+        if due is None:
+            self.bursts.clear()
+            return
+        if was != due:
+            self.handle.registerTimer(due)
+        self.bursts.update((due, [(s.start, s.end, [(name, *order, n) for name, (order, n) in sorted(s.slots.items())]) for s in spans]))
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs() * 1000
-        spans = Spans([(k[0], v[0], list(v[1])) for k, v in self.bursts.iterator()], self.gap)
+        due, held = self._held()
+        spans = Spans(held, self.gap)
         for r in rows:
             spans.add(now if self.arrival else r["at"], r["slot"], (r["at"], r["ord"]))
-        for span in spans.spans:
-            if span.slots:
-                self._keep(span)
+        self._keep(due, spans.spans)
         return iter(())
 
-    def _keep(self, span: Span) -> None:
-        names: set[str] = set()
-        for start, end, held in span.stored:
-            if len(span.stored) > 1 or end != span.end:
-                self.handle.deleteTimer(self._due(end))
-                self.dues.removeKey((self._due(end),))
-            if start != span.start:        # a late event moved the start, or joined two bursts
-                for slot in held:
-                    at, order, writes = self.pending.getValue((start, slot))
-                    self.pending.removeKey((start, slot))
-                    span.add(slot, (at, order), writes)
-                self.bursts.removeKey((start,))
-            else:
-                names = set(held)
-        for slot, (order, writes) in span.slots.items():
-            if slot in names:
-                held = self.pending.getValue((span.start, slot))
-                order, writes = max(order, tuple(held[:2])), writes + held[2]
-            self.pending.updateValue((span.start, slot), (*order, writes))
-        self.bursts.updateValue((span.start,), (span.end, sorted(names | set(span.slots))))
-        self.dues.updateValue((self._due(span.end),), (span.start,))
-        self.handle.registerTimer(self._due(span.end))
-
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        due = (expiredTimerInfo.getExpiryTimeInMs(),)
-        (start,) = self.dues.getValue(due)
-        self.dues.removeKey(due)
-        _, slots = self.bursts.getValue((start,))
-        self.bursts.removeKey((start,))
-        for slot in slots:
-            _, order, writes = self.pending.getValue((start, slot))
-            self.pending.removeKey((start, slot))
-            yield Row(**dict(zip(self.keys, key)), start=start, slot=slot, writes=writes, ord=order)
+        told = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentProcessingTimeInMs() if self.arrival else timerValues.getCurrentWatermarkInMs()
+        due, held = self._held()
+        over = [s for s in held if self._due(s.end) <= told or self._due(s.end) < now]
+        self._keep(None if due == told else due, [s for s in held if not (self._due(s.end) <= told or self._due(s.end) < now)])
+        for span in over:
+            for slot, ((_, order), writes) in sorted(span.slots.items()):
+                yield Row(**dict(zip(self.keys, key)), start=span.start, slot=slot, writes=writes, ord=order)
 
     def close(self) -> None:
         pass
@@ -163,10 +152,10 @@ def flushes(events: DataFrame, keys: list[str], slot: Column, ts: str, order: st
 
 def armed(spark: SparkSession, checkpoint: str, keys: list[str], order: str) -> DataFrame:
     """What a stopped stream of `flushes` has pending, as it would be flushed: read from its state."""
-    state = spark.read.format("statestore").option("stateVarName", "pending").load(checkpoint)
-    return state.select(
-        *[F.col(f"key.{k}").alias(k) for k in keys], F.timestamp_micros("user_map_key.start").alias("flush_start"),
-        F.col("user_map_key.slot").alias("slot"), F.col("user_map_value.writes").alias("writes"), F.col("user_map_value.ord").alias(order))
+    state = spark.read.format("statestore").option("stateVarName", "bursts").load(checkpoint)
+    bursts = state.select(*[F.col(f"key.{k}").alias(k) for k in keys], F.explode("value.bursts").alias("b"))
+    slots = bursts.select(*keys, F.timestamp_micros("b.start").alias("flush_start"), F.explode("b.slots").alias("s"))
+    return slots.select(*keys, "flush_start", "s.slot", "s.writes", F.col("s.ord").alias(order))
 
 
 def run_once(spark: SparkSession, events: DataFrame, base: str, keys: list[str], slot: Column, ts: str, order: str, gap_seconds: float, late: str) -> DataFrame:

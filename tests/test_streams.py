@@ -174,3 +174,37 @@ def test_watch_leaves_touched_files_alone(spark, tmp_path):
     os.remove(root / "a.py")
     look()
     assert engine.writes == [([("r", "b.py", b"new!")], [("r", "a.py")], [])]
+
+
+def test_a_key_of_many_bursts_touches_its_state_once():
+    """A batch reads and writes a key's state and timer as often for 200 bursts as for one."""
+    from types import SimpleNamespace
+
+    class Value:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.update(None)
+
+    state, timers = Value(), []
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=timers.append, deleteTimer=timers.remove)
+    one = quiet.QuietPeriods(["k"], 30_000_000, False)
+    one.init(handle)
+    clock = lambda ms: SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0, getCurrentWatermarkInMs=lambda: ms)
+    rows = [{"at": k * 100_000_000, "slot": f"p{k % 3}", "ord": k} for k in range(200)]
+    assert list(one.handleInputRows((1,), iter(rows), clock(0))) == []
+    assert state.calls == 2 and timers == [30_001]
+    info = lambda: SimpleNamespace(getExpiryTimeInMs=lambda due=timers.pop(): due)
+    told = list(one.handleExpiredTimer((1,), clock(10_000_000), info()))
+    assert [(r.start, r.slot, r.writes, r.ord) for r in told] == [(k * 100_000_000, f"p{k % 3}", 1, k) for k in range(100)]
+    assert state.calls == 4 and timers == [100 * 100_000 + 30_001]
+    told = list(one.handleExpiredTimer((1,), clock(10**12), info()))
+    assert [r.ord for r in told] == list(range(100, 200)) and state.value is None and timers == []
