@@ -317,3 +317,39 @@ def test_copies_inside_a_wider_group_are_paired_at_once(spark, monkeypatch):
     flat = lambda d: spark.createDataFrame([(p, i) for p, ids in d.items() for i in ids], "rel_path string, identity string")
     assert {tuple(r) for r in M.undetected_moves(flat(before), flat(after)).collect()} == want
     assert len(calls) < 10
+
+
+def test_lookup_without_hot_keys_shuffles_each_side_once(spark, capsys):
+    left = spark.range(400).select((F.col("id") % 40).cast("int").alias("k"), F.col("id").alias("i"))
+    right = spark.range(30).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    plain = sorted(map(tuple, left.join(right, "k", "left").collect()), key=str)
+    joined = keyed.lookup(left, right, ["k"], hot_rows=1_000)
+    joined.explain()
+    assert "_salt" not in capsys.readouterr().out
+    assert sorted(map(tuple, joined.collect()), key=str) == plain
+    # Keys of different integer types, some of them hot, and a left side that is written first.
+    hot = left.unionByName(spark.range(300).select(F.lit(7).alias("k"), F.col("id").alias("i")))
+    salted = keyed.lookup(hot, right, ["k"], hot_rows=100, settle=True)
+    assert sorted(map(tuple, salted.select("k", "i", "v").collect()), key=str) == sorted(
+        map(tuple, hot.join(right, "k", "left").select("k", "i", "v").collect()), key=str)
+
+
+def test_relations_of_ambiguous_names_at_any_size(spark, monkeypatch, capsys):
+    from symtrail.operators import grounding as GR
+    symbols = spark.createDataFrame(
+        [("r", "run", f"m{i}.run", f"u{i}", f"m{i}.py") for i in range(20)] + [("r", "log", "core.log", "L", "core.py")],
+        "repo_id string, name string, qualified_name string, uid string, rel_path string")
+    edges = spark.createDataFrame([(f"u{i}", "L", "CALLS") for i in range(0, 20, 2)] + [("u1", "u2", "IMPORTS")], "src string, tgt string, kind string")
+    claims = spark.createDataFrame(
+        [("r", "a", "run", "CALLS", "log"), ("r", "b", "m1.run", "CALLS", "log"), ("r", "c", "m2.run", "CALLS", "core.log"),
+         ("r", "d", "run", "IMPORTS", "run"), ("r", "e", "ghost", "CALLS", "log"), ("r", "a", "run", "CALLS", "log")],
+        "repo_id string, answer_id string, subject string, relation string, object string")
+    columns = ["answer_id", "subject_found", "object_found", "edge_found", "contradicted"]
+    want = [("a", True, True, True, False), ("a", True, True, True, False), ("b", True, True, False, True),
+            ("c", True, True, True, False), ("d", True, True, True, False), ("e", False, True, False, False)]
+    assert sorted(map(tuple, GR.verify_relations(claims, symbols, edges).select(*columns).collect())) == want
+    monkeypatch.setattr(keyed, "small", lambda *a, **k: False)
+    out = GR.verify_relations(claims, symbols, edges).select(*columns)
+    assert sorted(map(tuple, out.collect())) == want
+    out.explain()
+    assert "_salt" not in capsys.readouterr().out
