@@ -14,6 +14,9 @@ from symtrail import constants as K
 from symtrail.functions import paths as P, text as X
 from symtrail.session import spread
 
+#: Parsing takes a millisecond or more per file, however short, so tasks follow the number of files.
+FILES_PER_TASK = 10_000
+
 _BOUND = pa.struct([("name", pa.string()), ("base", pa.string()), ("local", pa.int32()),
                     ("imported", pa.string())])
 _DEF = pa.struct([
@@ -63,7 +66,7 @@ def facts(files: DataFrame) -> DataFrame:
                           F.make_valid_utf8(F.col("content").cast("string")).alias("text")).select(
         "*", script.alias("script"), P.module_name(F.col("rel_path")).alias("module"),
         F.when(script, F.lit("")).otherwise(P.py_package(F.col("rel_path"))).alias("package"))
-    return spread(texts, "repo_id", "rel_path").mapInArrow(_extract, FACTS_DDL)
+    return spread(texts, "repo_id", "rel_path", rows_per_task=FILES_PER_TASK).mapInArrow(_extract, FACTS_DDL)
 
 
 def file_rows(files: DataFrame) -> DataFrame:

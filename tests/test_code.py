@@ -340,3 +340,12 @@ def test_prefix_refusals(spark):
                                   "repo_id string, target_hint string, exact boolean")
     got = {(r.target_hint, r.exact): (r.outcome, r.found) for r in R.by_prefix(hints, symbols).collect()}
     assert got == {("p.f.cache", False): ("resolved", "f1"), ("p.g", False): ("ambiguous", None), ("p.h", False): ("unresolved", None), ("p", False): ("resolved", "m0")}
+
+
+def test_parse_tasks_follow_the_number_of_files(spark, monkeypatch):
+    files = spark.range(60).select(F.lit("r").alias("repo_id"), F.concat(F.lit("m"), "id", F.lit(".py")).alias("rel_path"),
+                                   F.lit("def run(a):\n    return a\n").cast("binary").alias("content")).coalesce(1)
+    monkeypatch.setattr(parse, "FILES_PER_TASK", 2)
+    facts = parse.facts(files)
+    assert facts.rdd.getNumPartitions() == 30
+    assert facts.count() == 60 and {d["name"] for r in facts.collect() for d in r["defs"]} == {"run"}
