@@ -14,6 +14,9 @@ from symtrail.session import cut
 #: Question vectors, and vectors they are compared with, that a task holds at once.
 QUERY_BLOCK, VECTOR_TILE = 4096, 8192
 
+#: Postings whose documents a task scores at once; of each it may hold a score per question.
+POSTINGS_PER_TASK = 200_000
+
 
 # -- inverted index ------------------------------------------------------------------------------
 
@@ -58,7 +61,9 @@ def bm25(documents: DataFrame, questions: DataFrame, k: int = K.ARM_K, text: str
         keys.append(tenant)
     saturation = F.col("tf") * (K.BM25_K1 + 1) / (
         F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avgdl))
-    pairs = lookup(counts, weighted, keys, "inner", bound=asked).groupBy("question_id", "uid").agg(
+    # Dealt out by document, a task holds whole documents: it sums their scores and prunes to the `k` best by itself.
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // POSTINGS_PER_TASK))
+    pairs = lookup(counts.repartition(tasks, "uid"), weighted, keys, "inner", bound=asked).groupBy("question_id", "uid").agg(
         F.round(F.sum(F.col("w") * saturation), 9).alias("score"))
     return ranked(pairs, k)
 
@@ -222,6 +227,7 @@ def containing(documents: DataFrame, passages: DataFrame, width: int = 6) -> Dat
 
     runs = [hashed(kind, n) for kind, n in kinds]
     grams = body.select("uid", F.explode(F.array_distinct(F.concat(*runs))).alias("hash"))
-    pairs = lookup(grams, keyed.select("question_id", "hash"), ["hash"], "inner").select("question_id", "uid").distinct()
-    checked = pairs.join(documents.select("uid", "text"), "uid").join(passages.select("question_id", "query"), "question_id")
+    # Few documents hold a key: they are written down, so that texts meet them where they lie.
+    pairs = cut(lookup(grams, keyed.select("question_id", "hash"), ["hash"], "inner").select("question_id", "uid").distinct())
+    checked = lookup(documents.select("uid", "text"), pairs, ["uid"], "inner").join(passages.select("question_id", "query"), "question_id")
     return checked.filter(F.contains("text", F.col("query"))).select("question_id", "uid")

@@ -1,6 +1,7 @@
 """Operators against brute force on small data, including the paths for hot keys."""
 
 import bisect
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -353,3 +354,33 @@ def test_relations_of_ambiguous_names_at_any_size(spark, monkeypatch, capsys):
     assert sorted(map(tuple, out.collect())) == want
     out.explain()
     assert "_salt" not in capsys.readouterr().out
+
+
+def test_bm25_shuffles_no_pair_of_question_and_document(spark, monkeypatch, capsys):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(0, 40)))) for i in range(300)], "uid long, search_text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.sample(words, 4))) for i in range(20)], "question_id long, query string")
+    monkeypatch.setattr(RT, "POSTINGS_PER_TASK", 500)
+    out = RT.bm25(docs, asked, k=7)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(question_id" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning(question_id" in line and "uid" in line]
+    counts = {r["uid"]: r["search_text"].split() for r in docs.collect()}
+    sized = [len(w) for w in counts.values() if w]
+    mean, n = sum(sized) / len(sized), len(sized)
+    df = {w: sum(w in ws for ws in counts.values()) for w in words}
+    weights = {(r["question_id"], r["term"]): r["weight"] for r in RT.query_terms(asked).collect()}
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["question_id"], []).append((r["rank"], r["uid"]))
+    for question in range(20):
+        score = {}
+        for uid, ws in counts.items():
+            for (q, t), weight in weights.items():
+                if q == question and t in ws:
+                    tf = ws.count(t)
+                    score[uid] = score.get(uid, 0) + weight * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+        want = sorted(score, key=lambda u: (-round(score[u], 9), u))[:7]
+        assert [u for _, u in sorted(got[question])] == want
