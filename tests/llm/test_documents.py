@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -396,6 +398,33 @@ def test_near_copies_of_odd_rows(documents):
     assert jaccard_join.near_copies(documents()).count() == 0
 
 
+def peak_bytes(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_blobs_of_a_key_are_not_copied():
+    kinds, keys = pa.array([1] * 1000, pa.int32()), pa.array([k // 500 for k in range(1000)], pa.int32())
+    batch = pa.RecordBatch.from_arrays([kinds, keys, pa.array([b"x" * 10_000] * 1000, pa.binary())], ["kind", "key", "blob"])
+    found = []
+    peak = peak_bytes(lambda: found.extend((key, len(blobs), bytes(blobs[3][:2])) for key, blobs in jaccard_join._keyed(iter([batch.slice(0, 700), batch.slice(700)]), (1,))))
+    assert found == [(0, 500, b"xx"), (1, 500, b"xx")]
+    assert peak < 1_000_000
+
+
+def test_a_block_of_the_product_takes_few_bytes_a_shingle():
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 1 << 60, 1000).astype(np.uint64)
+    sets = [np.concatenate((common[:900], rng.integers(0, 1 << 60, 100).astype(np.uint64))) for _ in range(400)]
+    found = []
+    peak = peak_bytes(lambda: found.extend(jaccard_join.linked(np.arange(400), np.full(400, 1000), sets)))
+    assert len(found) == 399
+    assert peak < 30 * 400 * 1000
+
+
 def test_one_of_each_group_of_near_copies_stays(documents):
     text = lambda name, end="": " ".join(f"{name}{k}" for k in range(60)) + end
     docs = documents((1, text("a")), (2, text("a", " more")), (2, text("b")), (None, text("c")), (None, text("c", " more")), (None, text("c")),
