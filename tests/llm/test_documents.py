@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from symtrail.llm import bpe, exact_dedup, jaccard_join, labelled, language_id, mixing, quality, suffix_array, toxicity
+from symtrail.llm.components import components
 from tests.llm.conftest import LONG, ODD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -425,6 +426,20 @@ def test_a_block_of_the_product_takes_few_bytes_a_shingle():
     assert peak < 30 * 400 * 1000
 
 
+def test_components_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 40, 2)] + [(1, 2), (7, 7)], "a long, b long").mapInArrow(counted, "a long, b long")
+    found = dict(rows(components(edges), "node", "component"))
+    assert found == {0: 0, 1: 0, 2: 0, 3: 0} | {k: k // 2 * 2 for k in range(4, 40)}
+    assert made.value == 22
+
+
 def test_one_of_each_group_of_near_copies_stays(documents):
     text = lambda name, end="": " ".join(f"{name}{k}" for k in range(60)) + end
     docs = documents((1, text("a")), (2, text("a", " more")), (2, text("b")), (None, text("c")), (None, text("c", " more")), (None, text("c")),
