@@ -44,38 +44,25 @@ def hash_embedding(text: Column, dimensions: int = K.EMBED_DIM) -> Column:
     return unit(scaled)
 
 
-def vlq_decode(segment: Column) -> Column:
-    """Base64 VLQ fields of one mapping segment: 5 bits a character, the lowest bit is the sign."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("value"),
-                     F.lit(0).alias("shift"))
-
-    def step(acc, ch):
-        digit = F.instr(F.lit(K.VLQ_ALPHABET), ch) - 1
-        value = acc["value"] + _shift_left(F.pmod(digit, F.lit(32)), acc["shift"])
-        signed = F.when(F.pmod(value, F.lit(2)) == 1, -F.floor(value / 2)).otherwise(F.floor(value / 2))
-        more = digit >= 32
-        return F.when(more, F.struct(acc["out"].alias("out"), value.alias("value"),
-                                     (acc["shift"] + 5).alias("shift")))\
-            .otherwise(F.struct(F.concat(acc["out"], F.array(signed.cast("bigint"))).alias("out"),
-                                F.lit(0).cast("bigint").alias("value"), F.lit(0).alias("shift")))
+#: The characters that carry 5 bits on and those that end a field, and what base 32 writes for the same 5 bits.
+_VLQ_LAST, _VLQ_MORE, _BASE_32 = K.VLQ_ALPHABET[:32], K.VLQ_ALPHABET[32:], "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
-    chars = F.filter(F.split(segment, ""), lambda c: c != "")
-    return F.aggregate(chars, start, step, lambda acc: acc["out"])
 
+def vlq_decode(segment: Column) -> Column:
+    """Base64 VLQ fields of one mapping segment: 5 bits a character, the lowest bit is the sign.
 
-def _shift_left(value: Column, bits: Column) -> Column:
-    return (value.cast("bigint") * F.pow(F.lit(2.0), bits).cast("bigint")).cast("bigint")
+    A field is a number in base 32 with its least digit first.  A character outside the alphabet ends a field and
+    counts 31; a field that does not end is left out."""
+    known = F.regexp_replace(segment, f"[^{K.VLQ_ALPHABET}]", _VLQ_LAST[-1])
+    fields = F.regexp_extract_all(known, F.lit(f"[{_VLQ_MORE}]*[{_VLQ_LAST}]"), F.lit(0))
+    digits = lambda f: F.reverse(F.translate(f, _VLQ_MORE + _VLQ_LAST, _BASE_32 * 2))
+    numbers = F.transform(fields, lambda f: F.conv(digits(f), 32, 10).cast("bigint"))
+    return F.transform(numbers, lambda n: F.when(n.bitwiseAND(F.lit(1)) == 1, -F.shiftright(n, 1)).otherwise(F.shiftright(n, 1)))
 
 
 def vlq_encode(fields: Column) -> Column:
     """The inverse of `vlq_decode` (used to derive mapping tables from integer columns)."""
-    def field(v):
-        n = F.abs(v.cast("bigint")) * 2 + F.when(v < 0, 1).otherwise(0)
-        digits = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.pmod(
-            F.floor(n / F.pow(F.lit(32.0), i)), F.lit(32)).cast("int"))
-        last = F.aggregate(F.transform(digits, lambda d, i: F.when(d > 0, i).otherwise(0)), F.lit(0),
-                           lambda a, x: F.greatest(a, x))
-        return F.array_join(F.transform(F.slice(digits, F.lit(1), last + 1), lambda d, i: F.substr(
-            F.lit(K.VLQ_ALPHABET), d + 1 + F.when(i < last, 32).otherwise(0), F.lit(1))), "")
-
-    return F.array_join(F.transform(fields, field), "")
+    numbers = F.transform(fields, lambda v: F.abs(v.cast("bigint")) * 2 + F.when(v < 0, 1).otherwise(0))
+    digits = F.transform(numbers, lambda n: F.conv(n.cast("string"), 10, 32))
+    return F.array_join(F.transform(digits, lambda d: F.concat(
+        F.translate(F.reverse(F.substr(d, F.lit(2))), _BASE_32, _VLQ_MORE), F.translate(F.left(d, F.lit(1)), _BASE_32, _VLQ_LAST))), "")

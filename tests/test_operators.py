@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from symtrail import constants as C
 from symtrail.functions import text as X, vectors as V
 from symtrail.operators import graph as G, keyed, maintenance as M, metrics as ME, packing, retrieval as RT, sessions as S
 
@@ -209,6 +210,23 @@ def test_vlq(spark):
         assert r.d == r.v and r.e == r.s
 
 
+def test_vlq_of_long_numbers(spark):
+    def written(v):
+        n, out = abs(v) * 2 + (v < 0), ""
+        while True:
+            n, d = n >> 5, n & 31
+            out += C.VLQ_ALPHABET[d + 32 * (n > 0)]
+            if not n:
+                return out
+
+    cases = [[2 ** 40, -(2 ** 40) - 1, 7], [2 ** 54 + 1, -(2 ** 60)], [], [0, -1, 31, 32, -512, 1023]]
+    rows = spark.createDataFrame([("".join(map(written, v)), v) for v in cases], "s string, v array<bigint>")
+    for r in rows.select("s", "v", V.vlq_decode(F.col("s")).alias("d"), V.vlq_encode(F.col("v")).alias("e")).collect():
+        assert r.d == r.v and r.e == r.s
+    odd = spark.createDataFrame([("Cg",), ("C=D",), (None,)], "s string").select(V.vlq_decode(F.col("s")).alias("d"))
+    assert [r.d for r in odd.collect()] == [[1], [1, -15, -1], None]
+
+
 def test_plans_prune_and_push_down(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b", "CALLS", "x"), ("c", "b", "IMPORTS", "x")], "src string, tgt string, kind string, origin_path string")
     edges.write.partitionBy("kind").parquet(str(tmp_path / "e"))
