@@ -120,3 +120,18 @@ def test_streamed_saves(spark, tmp_path):
     graph = engine.store.read()
     assert {r.qualified_name for r in graph.symbols.collect()} == {"a", "a.new", "b", "b.go"}
     assert graph.edges.filter("kind = 'CALLS'").count() == 1
+
+
+def test_cited_names_are_looked_up_in_the_cited_blocks_only(spark):
+    from symtrail.operators import grounding as GR
+
+    answers = spark.createDataFrame([
+        ("a", "It calls `one` and `two` [C1][C2]. Then `two` runs [C1]. Nothing is cited by `one`."), ("b", "The `Shop.one` class sells [C9]."),
+        ("c", "No. `one` sells [C1]! ~~~\n. `gone` [C1]\n~~~ The `x.one.` method ends [C1]. Plain words [C1].")], "answer_id string, text string")
+    blocks = spark.createDataFrame([("a", "C1", "def one(): pass"), ("a", "C2", "two"), ("a", None, "two"), ("b", "C1", "Shop one"), ("c", "C1", "one")],
+                                   "answer_id string, handle string, text string")
+    out = GR.unsupported(GR.sentences(answers), blocks)
+    assert sorted((r.answer_id, r.sentence_no, r.missing) for r in out.collect()) == [("a", 1, ["two"]), ("c", 2, ["x.one"])]
+    # Sentences and blocks are dealt by answer once, and a sentence is judged in one place.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1
