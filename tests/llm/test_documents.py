@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from symtrail.llm import bpe, exact_dedup, jaccard_join, labelled, language_id, mixing, quality, suffix_array, toxicity
 from symtrail.llm.components import components
+from symtrail.session import cut
 from tests.llm.conftest import LONG, ODD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -478,3 +479,22 @@ def test_toxicity_of_held_out_documents(spark, documents):
     assert all(r["spans"] == [] and r["predicted"] == 0 for r in odd if r["doc_id"] in (1, 2, 3, 11))
     assert toxicity.score(documents(), chain).count() == 0
     assert not any(r["predicted"] for r in toxicity.score(docs.limit(5), toxicity.fit(docs, labels.limit(0))).collect())
+
+
+def test_near_copies_gather_no_classes_in_the_driver(spark, documents, monkeypatch):
+    plans = []
+
+    def note(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def watched(df):
+        out = cut(df)
+        note(df)
+        return out
+
+    monkeypatch.setattr("symtrail.llm.components.cut", watched)
+    texts = [(k, " ".join(f"w{k // 3}x{i}" for i in range(40)) + f" y{k}") for k in range(60)]
+    near = jaccard_join.near_copies(documents(*texts), 3)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near.collect()) == [(k, 37, k // 3 * 3) for k, _ in texts]
+    note(near)
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
