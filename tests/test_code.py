@@ -1,5 +1,7 @@
 """Parsing, resolution and questions on the small projects."""
 
+import ast
+import gc
 import itertools
 import random
 
@@ -349,3 +351,21 @@ def test_parse_tasks_follow_the_number_of_files(spark, monkeypatch):
     facts = parse.facts(files)
     assert facts.rdd.getNumPartitions() == 30
     assert facts.count() == 60 and {d["name"] for r in facts.collect() for d in r["defs"]} == {"run"}
+
+
+def test_members_and_overrides_are_looked_up_once(spark, parsed, monkeypatch):
+    calls, lookups = [], mro.lookups
+    monkeypatch.setattr(mro, "lookups", lambda *args: calls.append(1) or lookups(*args))
+    R.resolve(parsed[1], parsed[0])
+    assert len(calls) == 1
+
+
+def test_a_syntax_tree_goes_when_its_file_is_read():
+    from symtrail.sources import python_facts
+    gc.collect()
+    gc.disable()
+    try:
+        python_facts.extract("import a\nclass C(a.B):\n    def f(self):\n        return self.g(1 + 2)\n")
+        assert not [x for x in gc.get_objects() if isinstance(x, ast.FunctionDef)]
+    finally:
+        gc.enable()
