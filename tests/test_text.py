@@ -135,3 +135,20 @@ def test_cited_names_are_looked_up_in_the_cited_blocks_only(spark):
     # Sentences and blocks are dealt by answer once, and a sentence is judged in one place.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1
+
+
+def test_a_plain_word_comes_before_every_verb(spark):
+    spoken = {"calls": "CALLS", "invokes": "CALLS", "is called by": None, "is  invoked from": None, "imports": "IMPORTS", "defines": "DEFINES", "is defined in": None,
+              "dispatches to": "DISPATCHES_TO", "routes to": "DISPATCHES_TO", "inherits from": "INHERITS", "extends": "INHERITS", "is a subclass of": "INHERITS"}
+    turned = {"is called by": "CALLS", "is  invoked from": "CALLS", "is defined in": "DEFINES"}
+    found = column(spark, [f"`a.b` method of `C` {verb} the `d` class in `x/y.py`." for verb in spoken], A.relation_triples)
+    assert [[tuple(t) for t in ts] for ts in found] == [
+        [("C.a.b", kind, "d") if kind else ("d", turned[verb], "C.a.b")] for verb, kind in spoken.items()]
+    assert all(any(w in verb for words in A.VERB_WORDS for w in words) for verb in spoken)
+
+
+def test_a_report_judges_its_sentences_once(spark):
+    from symtrail.plans.catalog import QUERIES, load
+    load()
+    report = QUERIES["grounding_report"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract_all" not in report._jdf.queryExecution().executedPlan().toString()
